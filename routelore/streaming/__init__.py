@@ -1,0 +1 @@
+"""Intentionally empty: every table of this domain is bounded, so there is no streaming operator to offer."""
