@@ -1,17 +1,18 @@
 """Exact order statistics, ranks, correlations and histograms.
 
 All order statistics come from one shape: values are first counted per (group, value), then cumulated with
-``ordering.running_totals``. No group is ever gathered into one task or one aggregation buffer.
+``ordering.running_totals``, so no group is gathered into one task or one aggregation buffer. The built-in exact
+``percentile`` is used only on inputs whose size bound fits one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from routelore.functions import scalars as S
-from routelore.operators.ordering import null_safe_join, running_totals
+from routelore.operators.ordering import attach_single_row, fits_one_task, null_safe_join, running_totals
 
 
 def long_form(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str = "feature") -> DataFrame:
@@ -30,6 +31,9 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group, one column per named probability, plus ``n``."""
     keys = list(keys)
+    if not blocks and fits_one_task(df):
+        exact = [F.percentile(value, float(p)).alias(name) for name, p in probabilities.items()]
+        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("n"), *exact)
     cells = running_totals(value_counts(df, keys, value), keys, value, ["n"], **blocks)
     before = F.col("cum_n") - F.col("n")
     outs: list[Column] = []
@@ -159,7 +163,7 @@ def equal_width_bins(df: DataFrame, column: str, bins: int = 10, out: str = "bin
     width = (F.col("__hi") - F.col("__lo")) / bins
     at = F.ceil(F.try_divide(F.col(column) - F.col("__lo"), width))
     number = F.least(F.lit(bins), F.greatest(F.lit(1), F.coalesce(at, F.lit(1)))).cast("long")
-    joined = df.crossJoin(F.broadcast(bounds))  # one row
+    joined = attach_single_row(df, bounds)
     return joined.withColumn(out, F.when(F.col(column).isNotNull(), number)).select(
         *df.columns,
         out,
@@ -174,12 +178,11 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     at = F.floor(F.try_divide((F.col(column) - F.col("lo")) * bins, F.col("hi") - F.col("lo")))
     number = F.least(F.lit(bins - 1), F.coalesce(at, F.lit(0))).cast("long")
     counted = (
-        df.where(F.col(column).isNotNull())
-        .crossJoin(F.broadcast(bounds))  # one row
+        attach_single_row(df.where(F.col(column).isNotNull()).select(column), bounds)
         .groupBy(number.alias("bin"))
         .agg(F.count("*").alias("count"))
     )
-    every = bounds.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+    every = bounds.select("lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
     return every.join(counted, "bin", "left").select(
         "bin",
@@ -199,7 +202,7 @@ def counts_with_share(df: DataFrame, column: str) -> DataFrame:
     """Value counts of a column with percent of all rows. The window runs over the distinct values only."""
     counted = df.groupBy(column).agg(F.count("*").alias("count"))
     total = counted.agg(F.sum("count").alias("__t"))
-    return counted.crossJoin(F.broadcast(total)).select(
+    return attach_single_row(counted, total).select(
         column, "count", S.percent_of(F.col("count"), F.col("__t")).alias("percentage")
     )
 

@@ -3,6 +3,9 @@
 A plain window puts all rows of a key into one task. Here a key with many rows is cut into ordered blocks,
 the window runs inside each block, and the (few) block totals are added back as offsets. Split points are taken
 by hash, not by sampling, so a recomputed task sees the same blocks.
+
+The plain window is used only when the optimizer's size bound of the whole input says that it fits one task
+anyway (``fits_one_task``). Passing ``rows_per_block`` forces the block plan.
 """
 
 from __future__ import annotations
@@ -14,17 +17,30 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 ROWS_PER_BLOCK = 500_000
 MAX_BLOCKS = 1024
+ONE_TASK_BYTES = 64 * 1024 * 1024
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """True when the optimizer's size estimate of the whole frame, an upper bound for joins, is below 64 MB."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= ONE_TASK_BYTES
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys match; the right side's key columns are dropped."""
     if not keys:
-        return left.crossJoin(right)  # callers pass a one-row right side
+        return attach_single_row(left, right)
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def attach_single_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row frame to every row, as an uncorrelated scalar subquery."""
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.select("*", *[row.getField(c).alias(c) for c in one_row.columns])
+
+
 def _block_index(splits: Column, value: Column) -> Column:
     return F.size(F.filter(splits, lambda s: s <= value))
 
@@ -34,7 +50,7 @@ def ordered_positions(
     keys: Sequence[str],
     order: Sequence[str],
     following: Mapping[str, str] | None = None,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
     """Adds 0-based ``position`` by ``order`` inside ``keys`` and, per ``following``, values of the next row.
 
@@ -43,6 +59,14 @@ def ordered_positions(
     """
     following = dict(following or {})
     keys, order = list(keys), list(order)
+    if rows_per_block is None and fits_one_task(df):
+        whole = W.partitionBy(*keys).orderBy(*order)
+        return df.select(
+            "*",
+            (F.row_number().over(whole) - 1).cast("long").alias("position"),
+            *[F.lead(src).over(whole).alias(out) for out, src in following.items()],
+        )
+    rows_per_block = rows_per_block or ROWS_PER_BLOCK
     value = F.struct(*order)
     pick_hash = F.xxhash64(*order)
     big = (
@@ -97,7 +121,7 @@ def running_totals(
     value: str,
     measures: Sequence[str],
     descending: bool = False,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = None,
     blocks: int = 256,
 ) -> DataFrame:
     """Adds ``cum_<m>`` (inclusive, by ``value``) and ``all_<m>`` for each measure of one-row-per-value cells.
@@ -105,6 +129,16 @@ def running_totals(
     The number of distinct ``keys`` must be small (groups of a report); the cells of a key may be many.
     """
     keys = list(keys)
+    way = F.desc if descending else F.asc
+    if rows_per_block is None and fits_one_task(cells):
+        upto = W.partitionBy(*keys).orderBy(way(value)).rowsBetween(W.unboundedPreceding, W.currentRow)
+        every = W.partitionBy(*keys)
+        return cells.select(
+            "*",
+            *[F.sum(m).over(upto).alias(f"cum_{m}") for m in measures],
+            *[F.sum(m).over(every).alias(f"all_{m}") for m in measures],
+        )
+    rows_per_block = rows_per_block or ROWS_PER_BLOCK
     stats = (
         cells.groupBy(*keys, F.pmod(F.xxhash64(F.col(value), F.lit(17)), F.lit(blocks)).alias("__p"))
         .agg(
@@ -123,7 +157,6 @@ def running_totals(
         "__block",
         F.when(F.col("__n") > rows_per_block, _block_index(F.col("__splits"), F.col(value))).otherwise(F.lit(0)),
     )
-    way = F.desc if descending else F.asc
     per_block = tagged.groupBy(*keys, "__block").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
     across = W.partitionBy(*keys).orderBy(way("__block")).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_block.select(
@@ -143,9 +176,12 @@ def running_totals(
     )
 
 
-def hash_positions(df: DataFrame, keys: Sequence[str], hash_column: str, tie: str) -> DataFrame:
+def hash_positions(df: DataFrame, keys: Sequence[str], hash_column: str, tie: str, in_blocks: bool = False) -> DataFrame:
     """0-based ``position`` by a hex hash inside ``keys`` (may be empty). Its first two digits are the blocks."""
     keys = list(keys)
+    if not in_blocks and fits_one_task(df):
+        whole = W.partitionBy(*keys).orderBy(hash_column, tie)
+        return df.withColumn("position", (F.row_number().over(whole) - 1).cast("long"))
     tagged = df.withColumn("__block", F.substring(hash_column, 1, 2))
     local = (F.row_number().over(W.partitionBy(*keys, "__block").orderBy(hash_column, tie)) - 1).cast("long")
     across = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
