@@ -211,3 +211,11 @@ def hash_running_total(df: DataFrame, measure: str, hash_column: str, tie: str)
         .join(offsets, "__block")
         .select(*df.columns, (F.col("__local") + F.col("__before")).alias("running"))
     )
+
+
+def side_by_side(*one_rows: DataFrame) -> DataFrame:
+    """One row holding the columns of several one-row frames."""
+    out = one_rows[0]
+    for other in one_rows[1:]:
+        out = attach_single_row(out, other)
+    return out
