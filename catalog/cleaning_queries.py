@@ -8,11 +8,11 @@ from catalog import views as V
 from catalog.registry import query
 from routelore.operators import cleaning as C
 
-query("c1_stop_base_features", "SELECT * FROM stops", "stops")(V.stops)
-query("c2_route_summary", "SELECT * FROM routes", "routes")(V.routes)
-query("c3_actual_transitions", "SELECT * FROM transitions", "transitions")(V.transitions)
-query("c4_stop_package_features", "SELECT * FROM packages", "packages")(V.packages)
-query("c7_data_quality_report", "SELECT * FROM quality", "quality")(V.quality)
+query("c1_stop_base_features", "SELECT * FROM stops", "stops")(V.stops.lazy)
+query("c2_route_summary", "SELECT * FROM routes", "routes")(V.routes.lazy)
+query("c3_actual_transitions", "SELECT * FROM transitions", "transitions")(V.transitions.lazy)
+query("c4_stop_package_features", "SELECT * FROM packages", "packages")(V.packages.lazy)
+query("c7_data_quality_report", "SELECT * FROM quality", "quality")(V.quality.lazy)
 query("c8_missing_value_summary", "SELECT * FROM missing", "missing")(V.missing)
 
 

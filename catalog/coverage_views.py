@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from catalog import views as V
-from catalog.registry import cte
+from catalog.registry import cte, lazy_view, staged_view
 from routelore.operators import coverage as K
 from routelore.operators import features as X
 
 
+@staged_view
 def lookup(spark, d):
     return K.source_lookup(V.transitions(spark, d), V.edges(spark, d))
 
@@ -27,6 +28,7 @@ FROM (SELECT t.route_id, coalesce(bool_or(source = 'training_build'), false) AS
 )
 
 
+@staged_view
 def travel_detail(spark, d):
     return K.multi_source_detail(V.transitions(spark, d), V.edges(spark, d), lookup(spark, d))
 
@@ -49,6 +51,7 @@ FROM transitions t JOIN chosen c ON t.route_id = c.route_id LEFT JOIN edges e
 )
 
 
+@lazy_view
 def completeness(spark, d):
     return K.multi_source_completeness(travel_detail(spark, d))
 
@@ -63,6 +66,7 @@ cte(
 )
 
 
+@lazy_view
 def build_detail(spark, d):
     """Coverage against the first source alone."""
     build = V.edges(spark, d).where("source = 'training_build'")
@@ -85,6 +89,7 @@ cte(
 )
 
 
+@staged_view
 def features(spark, d):
     clean = K.clean_transitions(travel_detail(spark, d))
     return X.transition_features(clean, V.routes(spark, d), V.stops(spark, d), V.packages(spark, d))
@@ -121,6 +126,7 @@ LEFT JOIN packages p ON t.route_id = p.route_id AND t.to_stop = p.stop_id)))""",
 )
 
 
+@lazy_view
 def zoned(spark, d):
     """Transitions with zones compared by the blank-only rule."""
     return X.with_zone_match(V.transitions(spark, d), V.stops(spark, d), "blank_only")
@@ -137,6 +143,7 @@ LEFT JOIN stops g ON t.route_id = g.route_id AND t.to_stop = g.stop_id LEFT JOIN
 )
 
 
+@lazy_view
 def positions(spark, d):
     """Transitions with sequence progress and destination packages."""
     return X.with_destination_packages(X.with_sequence_progress(V.transitions(spark, d)), V.packages(spark, d))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import coverage_views as CV
 from catalog import views as V
-from catalog.registry import cte, query
+from catalog.registry import cte, lazy_view, query
 from routelore.operators import coverage as K
 from routelore.operators import joins as J
 from routelore.operators import ordering as O
@@ -81,7 +81,7 @@ def j5(spark, d):
 
 
 query("j6_edge_lookup", "SELECT * FROM build_detail", "build_detail")(CV.build_detail)
-query("j7_missing_side_kept", "SELECT * FROM detail", "detail")(CV.travel_detail)
+query("j7_missing_side_kept", "SELECT * FROM detail", "detail")(CV.travel_detail.lazy)
 
 
 @query(
@@ -93,6 +93,7 @@ def j8(spark, d):
     return J.keep_ids(V.transitions(spark, d), V.quality(spark, d).where("can_use_for_training"))
 
 
+@lazy_view
 def sequence(spark, d):
     from routelore.operators.pairwise import stop_sequence
 
@@ -139,7 +140,7 @@ def j12(spark, d):
     "j13_nearest_vectors",
     """SELECT t.name AS target_name, target_l_discount, target_l_tax, round(abs(l_discount - target_l_discount) + abs(l_tax - target_l_tax), 10) AS target_l1_distance,
   round(greatest(abs(l_discount - target_l_discount), abs(l_tax - target_l_tax)), 10) AS target_max_abs_distance, l_discount, l_tax, n, first_key
-FROM (VALUES ('low', 0.013, 0.021), ('high', 0.097, 0.064)) t(name, target_l_discount, target_l_tax),
+FROM (VALUES ('low', 0.013::DOUBLE, 0.021::DOUBLE), ('high', 0.097::DOUBLE, 0.064::DOUBLE)) t(name, target_l_discount, target_l_tax),
   (SELECT l_discount, l_tax, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first_key FROM lineitem GROUP BY ALL) g
 QUALIFY row_number() OVER (PARTITION BY t.name ORDER BY round(abs(l_discount - target_l_discount) + abs(l_tax - target_l_tax), 10),
   round(greatest(abs(l_discount - target_l_discount), abs(l_tax - target_l_tax)), 10), first_key) = 1""",
@@ -261,6 +262,7 @@ def q5b(spark, d):
     return flagged.select("route_id", "stop_id", "outlier_flags")
 
 
+@lazy_view
 def station_check(spark, d):
     return Q.station_sequence_check(V.routes(spark, d), V.quality(spark, d), V.transitions(spark, d))
 
@@ -277,6 +279,7 @@ FROM routes r LEFT JOIN quality q ON r.route_id = q.route_id LEFT JOIN (SELECT r
 query("q6_station_sequence_check", "SELECT * FROM station_check", "station_check")(station_check)
 
 
+@lazy_view
 def dropoff_check(spark, d):
     return Q.dropoff_package_check(V.stops(spark, d), V.packages(spark, d))
 
@@ -344,6 +347,7 @@ def q9c(spark, d):
     return K.single_source_summary(CV.build_detail(spark, d))
 
 
+@lazy_view
 def ready(spark, d):
     return Q.training_ready_routes(
         V.routes(spark, d),
@@ -373,7 +377,7 @@ LEFT JOIN completeness c ON r.route_id = c.route_id LEFT JOIN dropoff_check k ON
     "routes", "quality", "station_check", "completeness", "dropoff_check",
 )
 query("q10_training_ready_routes", "SELECT * FROM ready", "ready")(ready)
-query("q11_source_lookup", "SELECT * FROM lookup", "lookup")(CV.lookup)
+query("q11_source_lookup", "SELECT * FROM lookup", "lookup")(CV.lookup.lazy)
 query("q12_multi_source_completeness", "SELECT * FROM completeness", "completeness")(CV.completeness)
 
 

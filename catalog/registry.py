@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from routelore.sources.staging import stage_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
+# A view is a lazy definition: remembering it saves repeated schema reads and plan building, never data.
+lazy_view = lru_cache(maxsize=None)
+
+
+def staged_view(fn):
+    """A lazy view whose result is written once per session and folder, as each job's output table is."""
+
+    @lru_cache(maxsize=None)
+    def staged(spark: SparkSession, d: str) -> DataFrame:
+        return stage_table(fn(spark, d), fn.__name__)
+
+    staged.lazy = fn
+    return staged
+
+
 def cte(name: str, sql: str, *needs: str) -> None:
     CTES[name] = (needs, sql)
 

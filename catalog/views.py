@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog.registry import cte
+from catalog.registry import cte, lazy_view, staged_view
 from routelore.operators import cleaning as C
 from routelore.operators.ordering import ordered_positions
 
 BAND_BACK, BAND_AHEAD = 3, 10
 
 
+@lazy_view
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 # ---- raw rows ---------------------------------------------------------------------------------------------------
+@lazy_view
 def raw_stops(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     first = e.groupBy("user_id").agg(F.min("ts").alias("first_ts"))
@@ -51,6 +53,7 @@ FROM events e JOIN (SELECT user_id, min(ts) AS first_ts FROM events GROUP BY use
 )
 
 
+@lazy_view
 def raw_routes(spark: SparkSession, d: str) -> DataFrame:
     users = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_ts"))
     c = table(spark, d, "customer")
@@ -81,6 +84,7 @@ FROM (SELECT user_id, min(ts) AS first_ts FROM events GROUP BY user_id) u LEFT J
 )
 
 
+@lazy_view
 def raw_sequence(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     kept = ~((F.col("event_type") == "signup") & (F.col("value") > 300))
@@ -98,6 +102,7 @@ FROM events WHERE NOT (event_type = 'signup' AND value > 300)""",
 )
 
 
+@lazy_view
 def raw_packages(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     e = table(spark, d, "events").select("event_id", "user_id")
@@ -138,6 +143,7 @@ FROM lineitem l LEFT JOIN events e ON l.l_orderkey = e.event_id""",
 
 
 # ---- cleaned tables ---------------------------------------------------------------------------------------------
+@staged_view
 def stops(spark: SparkSession, d: str) -> DataFrame:
     return C.stop_base_features(raw_stops(spark, d))
 
@@ -150,6 +156,7 @@ cte(
 )
 
 
+@staged_view
 def routes(spark: SparkSession, d: str) -> DataFrame:
     return C.route_summary(raw_routes(spark, d), raw_stops(spark, d))
 
@@ -171,6 +178,7 @@ ON r.route_id = a.route_id""",
 )
 
 
+@staged_view
 def transitions(spark: SparkSession, d: str) -> DataFrame:
     return C.actual_transitions(raw_sequence(spark, d))
 
@@ -189,6 +197,7 @@ FROM sequence a JOIN sequence b ON a.route_id = b.route_id AND b.position = a.po
 )
 
 
+@staged_view
 def packages(spark: SparkSession, d: str) -> DataFrame:
     return C.stop_package_features(raw_packages(spark, d))
 
@@ -209,6 +218,7 @@ FROM raw_packages GROUP BY route_id, stop_id""",
 )
 
 
+@staged_view
 def quality(spark: SparkSession, d: str) -> DataFrame:
     return C.data_quality_report(routes(spark, d), raw_stops(spark, d), raw_sequence(spark, d), raw_packages(spark, d))
 
@@ -236,6 +246,7 @@ LEFT JOIN (SELECT coalesce(a.route_id, b.route_id) AS route_id, count(*) AS diff
 )
 
 
+@lazy_view
 def missing(spark: SparkSession, d: str) -> DataFrame:
     return C.missing_value_summary(routes(spark, d), raw_packages(spark, d))
 
@@ -255,6 +266,7 @@ cte(
 
 
 # ---- travel graph -----------------------------------------------------------------------------------------------
+@staged_view
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """route_id, from_stop, to_stop, travel_time, source. A route can be in several sources or in none."""
     e = table(spark, d, "events").select(

@@ -37,8 +37,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def attach_single_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row frame to every row, as an uncorrelated scalar subquery."""
-    row = one_row.select(F.struct(*one_row.columns)).scalar()
-    return df.select("*", *[row.getField(c).alias(c) for c in one_row.columns])
+    held = df.withColumn("__row", one_row.select(F.struct(*one_row.columns)).scalar())
+    return held.select(*df.columns, "__row.*")
 
 
 def _block_index(splits: Column, value: Column) -> Column:
