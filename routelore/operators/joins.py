@@ -87,19 +87,24 @@ def candidate_ranges(sequence: DataFrame, gap: int) -> DataFrame:
     )
 
 
-def nearest_vectors(grid: DataFrame, targets: Sequence[tuple[str, Mapping[str, float]]], rank: str) -> DataFrame:
+def nearest_vectors(grid: DataFrame, targets: Sequence[tuple[str, Mapping[str, float | Column]]], rank: str) -> DataFrame:
     """For each named target vector the grid row with least L1 distance, then least maximum distance, then rank.
 
-    The targets are a short literal list; each becomes one aggregate column, so the grid is read once.
+    The targets are a short list of numbers or expressions that are constant over the grid; each becomes one
+    aggregate column, so the grid is read once.
     """
+
+    def value(v) -> Column:
+        return v if isinstance(v, Column) else F.lit(float(v))
+
     picks = []
     for name, vector in targets:
-        gaps = [F.abs(F.col(c) - F.lit(float(v))) for c, v in vector.items()]
+        gaps = [F.abs(F.col(c) - value(v)) for c, v in vector.items()]
         l1 = F.round(reduce(lambda a, b: a + b, gaps), 10)
         linf = F.round(F.greatest(*gaps), 10)
         row = F.struct(
             F.lit(name).alias("target_name"),
-            *[F.lit(float(v)).alias(f"target_{c}") for c, v in vector.items()],
+            *[value(v).alias(f"target_{c}") for c, v in vector.items()],
             l1.alias("target_l1_distance"),
             linf.alias("target_max_abs_distance"),
             *[F.col(c) for c in grid.columns],

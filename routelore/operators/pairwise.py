@@ -104,6 +104,24 @@ def requested_routes(splits: DataFrame, routes: DataFrame, lookup: DataFrame) ->
     return joined.withColumn("route_score", F.coalesce("route_score", F.lit("Missing")))
 
 
+def attributed_sequence(transitions: DataFrame, stops: DataFrame, packages: DataFrame, requested: DataFrame) -> DataFrame:
+    """The stops of the requested routes in order, with the route's header and each stop's attributes."""
+    routed = stop_sequence(transitions).join(requested, "route_id")
+    stops_or_length = F.when(F.coalesce("number_of_stops", F.lit(0)) != 0, F.col("number_of_stops")).otherwise(
+        F.col("sequence_length")
+    )
+    return routed.join(_stop_attributes(stops, packages), ["route_id", "stop_id"], "left").withColumns(
+        {
+            "number_of_stops": stops_or_length,
+            "zone": F.coalesce("zone", F.lit(S.UNKNOWN_ZONE)),
+            "type": F.coalesce("type", F.lit("")),
+            "is_station": F.coalesce("is_station", F.lit(0).cast("long")),
+            "is_dropoff": F.coalesce("is_dropoff", F.lit(0).cast("long")),
+            **{c: F.coalesce(F.col(c), F.lit(0.0)) for c in PACKAGE_COLUMNS},
+        }
+    )
+
+
 def candidate_rows(
     transitions: DataFrame,
     edges: DataFrame,
@@ -119,16 +137,7 @@ def candidate_rows(
     Attributes join to the stops once, before drawing. The draws then meet stops by (route, position) and edges by
     (route, from, to, source), so the work is (1 + negatives) rows per decision and no key is as coarse as a route.
     """
-    routed = stop_sequence(transitions).join(requested.where(F.col("source").isNotNull()), "route_id")
-    known = routed.join(_stop_attributes(stops, packages), ["route_id", "stop_id"], "left").withColumns(
-        {
-            "zone": F.coalesce("zone", F.lit(S.UNKNOWN_ZONE)),
-            "type": F.coalesce("type", F.lit("")),
-            "is_station": F.coalesce("is_station", F.lit(0).cast("long")),
-            "is_dropoff": F.coalesce("is_dropoff", F.lit(0).cast("long")),
-            **{c: F.coalesce(F.col(c), F.lit(0.0)) for c in PACKAGE_COLUMNS},
-        }
-    )
+    known = attributed_sequence(transitions, stops, packages, requested.where(F.col("source").isNotNull()))
     header = ["route_id", "split", "route_score", "number_of_stops", "source", "position", "sequence_length", "next_stop"]
     side = ["zone", "type", "is_station", "is_dropoff"]
     decisions = known.select(
@@ -153,13 +162,9 @@ def candidate_rows(
     ).where(F.col("travel_time_ij").isNotNull())
     timed = pairs.join(times, ["route_id", "current_stop", "candidate_stop", "source"], "left")
     flags = S.zone_pair_flags(F.col("current_zone"), F.col("candidate_zone"))
-    stops_or_length = F.when(F.coalesce("number_of_stops", F.lit(0)) != 0, F.col("number_of_stops")).otherwise(
-        F.col("sequence_length")
-    )
     full = timed.withColumns(flags).withColumns(
         {
             "actual_next_stop": F.col("next_stop"),
-            "number_of_stops": stops_or_length,
             "route_progress": S.progress_of_sequence(F.col("position"), F.col("sequence_length")),
             "remaining_stop_count": F.col("sequence_length") - F.col("position") - 1,
             "candidate_has_time_window": F.col("candidate_has_time_window").cast("long"),

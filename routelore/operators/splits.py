@@ -135,4 +135,4 @@ def split_summary(splits: DataFrame) -> DataFrame:
 
 def score_by_split_wide(splits: DataFrame) -> DataFrame:
     """Route counts, one row per score and one column per split."""
-    return splits.groupBy("route_score").pivot("split", list(SPLITS)).agg(F.count("*")).na.fill(0)
+    return splits.groupBy("route_score").pivot("split", list(SPLITS)).agg(F.count("route_id")).na.fill(0)
