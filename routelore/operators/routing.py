@@ -211,7 +211,8 @@ def _greedy_batch(m: pd.DataFrame, travel: np.ndarray, plans: Sequence[Plan], sc
     unknown = zone == S.UNKNOWN_ZONE
     missing = unknown[:, None] | unknown[None, :]
     same = ~missing & (codes[:, None] == codes[None, :])
-    changed = ~missing & ~same
+    penalties = np.where(missing, 0.5, (~missing & ~same).astype(float))
+    same, changed, missing = same.astype(float), (~missing & ~same).astype(float), missing.astype(float)
     arrays = {c: m[c].to_numpy(float) for c in STOP_FEATURES}
     station, dropoff = m["is_station"].to_numpy(float), m["is_dropoff"].to_numpy(float)
     load = (
@@ -222,6 +223,9 @@ def _greedy_batch(m: pd.DataFrame, travel: np.ndarray, plans: Sequence[Plan], sc
     risk = np.where(arrays["has_time_window"] == 1, 0.0, 1.0)
     methods = np.array([p[0] for p in plans])
     weights = np.array([list(p[2]) for p in plans], float).reshape(w, 5)
+    by_candidate = {f"candidate_{c}": a[None, :] for c, a in arrays.items()}
+    by_candidate |= {"candidate_is_station": station[None, :], "candidate_is_dropoff": dropoff[None, :]}
+    by_candidate |= {f: np.zeros((1, n)) for f in scorer.features if f not in by_candidate}  # unknown features serve as 0
     rows = np.arange(w)
     current = np.zeros(w, int)
     free = np.ones((w, n), bool)
@@ -231,25 +235,22 @@ def _greedy_batch(m: pd.DataFrame, travel: np.ndarray, plans: Sequence[Plan], sc
     for step in range(n - 1):
         tt = travel[current]
         known = np.isfinite(tt)
-        features = {
-            "travel_time_ij": np.where(known, tt, 0.0),
-            "same_zone": same[current].astype(float),
-            "zone_changed": changed[current].astype(float),
-            "zone_missing_in_pair": missing[current].astype(float),
-            "number_of_stops": np.full((w, 1), n_stops),
-            "route_progress": np.full((w, 1), step / max(n_stops - 1, 1)),
-            "remaining_stop_count": np.full((w, 1), float(n - 1 - step)),
-            "current_is_station": station[current][:, None],
-            "current_is_dropoff": dropoff[current][:, None],
-            "candidate_is_station": station[None, :],
-            "candidate_is_dropoff": dropoff[None, :],
-            **{f"candidate_{c}": a[None, :] for c, a in arrays.items()},
+        step_features = {
+            "travel_time_ij": lambda: np.where(known, tt, 0.0),
+            "same_zone": lambda: same[current],
+            "zone_changed": lambda: changed[current],
+            "zone_missing_in_pair": lambda: missing[current],
+            "number_of_stops": lambda: np.full((w, 1), n_stops),
+            "route_progress": lambda: np.full((w, 1), step / max(n_stops - 1, 1)),
+            "remaining_stop_count": lambda: np.full((w, 1), float(n - 1 - step)),
+            "current_is_station": lambda: station[current][:, None],
+            "current_is_dropoff": lambda: dropoff[current][:, None],
         }
+        features = {f: step_features[f]() if f in step_features else by_candidate[f] for f in scorer.features}
         p = np.broadcast_to(scorer.probability(features), (w, n))
         p = np.clip(np.nan_to_num(p, nan=0.0, posinf=1.0, neginf=0.0), 0.0, 1.0)
-        penalty = np.where(missing[current], 0.5, changed[current].astype(float))
         parts = (
-            _masked_scale(tt, free & known, 1.0), 1.0 - p, penalty, np.broadcast_to(risk, (w, n)),
+            _masked_scale(tt, free & known, 1.0), 1.0 - p, penalties[current], np.broadcast_to(risk, (w, n)),
             _masked_scale(np.broadcast_to(load, (w, n)), free, 0.0),
         )
         cost = weights[:, 0:1] * parts[0]
@@ -325,7 +326,10 @@ def generate_routes(
     small = members.where(fits).select(*needed)
     small_edges = edges.join(members.where(fits & (F.col("position") == 0)).select("route_id"), "route_id", "left_semi")
     run = _greedy_route([(a, b, tuple(c)) for a, b, c in plans], scorer)
-    walked = small.groupBy("route_id").cogroup(small_edges.groupBy("route_id")).applyInPandas(run, STEP_SCHEMA)
+    # Walking is heavy per row, so both sides keep a full set of partitions instead of being coalesced by their size.
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    left, right = (x.repartition(tasks, "route_id").groupBy("route_id") for x in (small, small_edges))
+    walked = left.cogroup(right).applyInPandas(run, STEP_SCHEMA)
     walked = S.sanitize(walked)
     large = members.where(~fits)
     longest = large.agg(F.max("sequence_length")).first()[0]
