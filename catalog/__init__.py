@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cleaning_queries", "quality_queries", "eda_queries", "pairwise_queries", "routing_queries", "report_queries")
+MODULES = ("cleaning_queries", "quality_queries", "eda_queries", "pairwise_queries", "routing_queries", "report_queries", "scalar_queries", "source_queries")
 
 
 def load_all() -> None:
