@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from catalog.decimals import DECIMALS
 from routelore.sources.staging import stage_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,9 +63,19 @@ def query(name: str, sql: str | None = None, *tables: str, recursive: bool = Fal
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        columns = {c: k for k, text in DECIMALS.get(name, {}).items() for c in text.split()} if sql is not None else {}
+
+        def rounded(spark: SparkSession, d: str) -> DataFrame:
+            # Adding 0.0 turns a negative zero into zero.
+            return fn(spark, d).withColumns({c: F.round(F.col(c), k) + F.lit(0.0) for c, k in columns.items()})
+
+        QUERIES[name] = rounded if columns else fn
         if sql is not None:
-            ORACLES[name] = with_tables(sql, *tables, recursive=recursive)
+            text = with_tables(sql, *tables, recursive=recursive)
+            if columns:
+                parts = ", ".join(f'round("{c}", {k}) + 0.0::DOUBLE AS "{c}"' for c, k in columns.items())
+                text = f"SELECT * REPLACE ({parts}) FROM ({text})"
+            ORACLES[name] = text
         return fn
 
     return register

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 
 from routelore.functions import scalars as S
 from routelore.schemas import PAIRWISE_SAMPLES
-from routelore.sources.nested import path_exists
+from routelore.sources.nested import count_paths, path_exists
 
 
 def require_columns(df: DataFrame, required: Sequence[str], label: str) -> DataFrame:
@@ -110,11 +110,9 @@ def write_summary(one_row: DataFrame, path: str, overwrite: bool = False) -> Non
 
 def read_chunks(spark: SparkSession, pattern: str, schema: T.StructType, expected: int | None = None) -> DataFrame:
     """Union of chunk folders with the folder's name as ``chunk``; optionally their number is checked."""
-    df = spark.read.schema(schema).parquet(pattern).withColumn(
+    found = count_paths(spark, pattern)
+    if expected is not None and found != expected:
+        raise ValueError(f"expected {expected} chunks, found {found}")
+    return spark.read.schema(schema).parquet(pattern).withColumn(
         "chunk", F.element_at(F.split(F.input_file_name(), "/"), -2)
     )
-    if expected is not None:
-        found = df.select("chunk").distinct().count()
-        if found != expected:
-            raise ValueError(f"expected {expected} chunks, found {found}")
-    return df

@@ -26,11 +26,14 @@ class Part:
     travel_times: str | None = None
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def count_paths(spark: SparkSession, pattern: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     matches = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
-    return matches is not None and len(matches) > 0
+    return 0 if matches is None else len(matches)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return count_paths(spark, path) > 0
 
 
 def read_keyed(spark: SparkSession, path: str, value: T.DataType) -> DataFrame:

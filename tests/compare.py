@@ -53,7 +53,7 @@ def plain(v):
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float):
-        return f"{v + 0.0:.6g}"
+        return repr(v)
     return str(v) if not isinstance(v, (bool, int)) else str(v)
 
 
