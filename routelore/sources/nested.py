@@ -102,8 +102,8 @@ def package_rows(keyed: DataFrame) -> DataFrame:
         "stop_id",
         "package_id",
         S.finite(p["planned_service_time_seconds"]).alias("planned_service_time_seconds"),
-        _text(p["time_window.start_time_utc"]).alias("start_time_utc"),
-        _text(p["time_window.end_time_utc"]).alias("end_time_utc"),
+        _text(F.col("p.time_window.start_time_utc")).alias("start_time_utc"),
+        _text(F.col("p.time_window.end_time_utc")).alias("end_time_utc"),
         S.finite(length).alias("length_cm"),
         S.finite(F.try_element_at(d, F.lit("width_cm"))).alias("width_cm"),
         S.finite(F.try_element_at(d, F.lit("height_cm"))).alias("height_cm"),
