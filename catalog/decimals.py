@@ -6,24 +6,23 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "lat lng",
     },
     "c2_route_summary": {
-        4: "executor_capacity_cm3",
-        6: "missing_zone_ratio",
+        6: "executor_capacity_cm3 missing_zone_ratio",
     },
     "c4_stop_package_features": {
-        2: "total_package_volume_cm3",
+        4: "total_package_volume_cm3",
         6: "total_planned_service_time",
     },
     "c8_missing_value_summary": {
         6: "missing_ratio",
     },
     "j2_stop_packages_zero_filled": {
-        2: "total_package_volume_cm3",
+        4: "total_package_volume_cm3",
     },
     "j6_edge_lookup": {
-        4: "travel_time_ij",
+        6: "travel_time_ij",
     },
     "j7_missing_side_kept": {
-        4: "travel_time_ij",
+        6: "travel_time_ij",
     },
     "j13_nearest_vectors": {
         6: "target_l_discount target_l_tax target_l1_distance target_max_abs_distance l_discount l_tax",
@@ -32,13 +31,14 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "usable_route_percentage",
     },
     "q4_route_outlier_summary": {
-        4: "mean std max p25 p50 p75 p95 p99 lower_bound upper_bound",
-        6: "min p01 p05 outlier_percentage",
+        6: "mean std max p25 p50 p75 p95 p99 lower_bound upper_bound min p01 p05 outlier_percentage",
     },
     "q4_package_outlier_summary": {
-        2: "max",
-        4: "mean std p05 p25 p50 p75 p95 p99 lower_bound upper_bound extreme_high_threshold_p99",
-        6: "min p01 outlier_percentage zero_value_percentage",
+        4: "max",
+        6: (
+            "mean std p05 p25 p50 p75 p95 p99 lower_bound upper_bound extreme_high_threshold_p99 min p01 "
+            "outlier_percentage zero_value_percentage"
+        ),
     },
     "q7_dropoff_package_check": {
         6: "station_package_count dropoff_zero_package_ratio",
@@ -47,21 +47,19 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "missing_ratio",
     },
     "q9_single_source_summary": {
-        4: (
+        6: (
             "average_actual_transition_travel_time max_actual_transition_travel_time "
-            "median_actual_transition_travel_time p95_actual_transition_travel_time"
+            "median_actual_transition_travel_time p95_actual_transition_travel_time missing_travel_time_ratio"
         ),
-        6: "missing_travel_time_ratio",
     },
     "q12_multi_source_completeness": {
         6: "missing_travel_time_ratio",
     },
     "q12_multi_source_integrity": {
-        4: (
+        6: (
             "average_actual_transition_travel_time max_actual_transition_travel_time "
-            "median_actual_transition_travel_time p95_actual_transition_travel_time"
+            "median_actual_transition_travel_time p95_actual_transition_travel_time missing_travel_time_ratio"
         ),
-        6: "missing_travel_time_ratio",
     },
     "q12_source_transition_summary": {
         6: "missing_travel_time_ratio",
@@ -82,8 +80,8 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "missing_zone_ratio",
     },
     "q16_package_feature_summary": {
-        2: "total_package_volume_cm3",
-        4: "package_count total_planned_service_time",
+        4: "total_package_volume_cm3",
+        6: "package_count total_planned_service_time",
     },
     "q16_time_window_summary": {
         6: "percentage",
@@ -95,7 +93,7 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "same_zone_ratio",
     },
     "q17_travel_time_by_same_zone": {
-        4: "mean median p95",
+        6: "mean median p95",
     },
     "q18_progress_by_time_window": {
         6: "mean median std min max",
@@ -107,12 +105,11 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "bin_low bin_high time_window_stop_rate",
     },
     "q19_burden_by_bin": {
-        4: "total_package_volume_cm3",
-        6: "bin_low bin_high package_count total_planned_service_time",
+        6: "total_package_volume_cm3 bin_low bin_high package_count total_planned_service_time",
     },
     "q19_burden_stats_by_bin": {
-        4: "to_total_package_volume_cm3_mean to_total_package_volume_cm3_median to_total_package_volume_cm3_p95",
         6: (
+            "to_total_package_volume_cm3_mean to_total_package_volume_cm3_median to_total_package_volume_cm3_p95 "
             "to_package_count_mean to_package_count_median to_package_count_p95 "
             "to_total_planned_service_time_mean to_total_planned_service_time_median "
             "to_total_planned_service_time_p95"
@@ -125,21 +122,19 @@ DECIMALS: dict[str, dict[int, str]] = {
         ),
     },
     "q21_transition_features": {
-        2: "to_total_package_volume_cm3",
-        4: "travel_time_ij",
-        6: "route_progress to_total_planned_service_time",
+        4: "to_total_package_volume_cm3",
+        6: "travel_time_ij route_progress to_total_planned_service_time",
     },
     "q22_travel_time_summary": {
-        4: "value",
+        6: "value",
     },
     "q22_travel_time_by_score": {
-        4: "mean median p95",
+        6: "mean median p95",
     },
     "q23_score_feature_comparison": {
-        4: "average_travel_time_ij average_to_total_package_volume_cm3",
         6: (
-            "same_zone_ratio average_to_package_count average_to_total_planned_service_time "
-            "time_window_stop_ratio"
+            "average_travel_time_ij average_to_total_package_volume_cm3 same_zone_ratio average_to_package_count "
+            "average_to_total_planned_service_time time_window_stop_ratio"
         ),
     },
     "q28_route_size_summary": {
@@ -155,13 +150,13 @@ DECIMALS: dict[str, dict[int, str]] = {
         ),
     },
     "a1_sums_and_means_with_null_groups": {
-        4: "mean_capacity",
+        6: "mean_capacity",
     },
     "a3_exact_quantiles": {
-        4: "p01 p50 p99",
+        6: "p01 p50 p99",
     },
     "a3_exact_quantiles_in_blocks": {
-        4: "p01 p50 p99",
+        6: "p01 p50 p99",
     },
     "a5_route_score_distribution": {
         6: "percentage",
@@ -176,34 +171,30 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "route_progress",
     },
     "w9_average_ranks": {
-        4: "average_rank",
-        6: "value",
+        6: "average_rank value",
     },
     "w9_average_ranks_in_blocks": {
-        4: "average_rank",
-        6: "value",
+        6: "average_rank value",
     },
     "b1_equal_width_bins": {
-        4: "l_extendedprice bin_low bin_high",
+        6: "l_extendedprice bin_low bin_high",
     },
     "b4_histogram": {
-        4: "bin_low bin_high",
+        6: "bin_low bin_high",
     },
     "b5_five_numbers": {
-        4: "q1 median q3 max",
-        6: "min",
+        6: "q1 median q3 max min",
     },
     "k5_best_row": {
-        4: "executor_capacity_cm3",
+        6: "executor_capacity_cm3",
     },
     "p6_split_summary": {
         6: "percentage_of_all_routes percentage_within_split",
     },
     "m1_pairwise_samples": {
-        2: "candidate_total_package_volume_cm3",
-        4: "travel_time_ij",
+        4: "candidate_total_package_volume_cm3",
         6: (
-            "route_progress candidate_package_count candidate_total_planned_service_time "
+            "travel_time_ij route_progress candidate_package_count candidate_total_planned_service_time "
             "candidate_time_window_package_count candidate_delivered_count candidate_attempted_count "
             "candidate_rejected_count candidate_unknown_status_count"
         ),
@@ -268,15 +259,13 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "class_weight",
     },
     "g3_candidate_features": {
-        4: "travel_time travel_time_ij",
         6: (
-            "number_of_stops remaining_stop_count candidate_package_count candidate_has_time_window travel_norm "
-            "zone_penalty time_window_risk workload_norm"
+            "travel_time travel_time_ij number_of_stops remaining_stop_count candidate_package_count "
+            "candidate_has_time_window travel_norm zone_penalty time_window_risk workload_norm"
         ),
     },
     "g5_greedy_routes": {
-        4: "travel_time",
-        6: "probability",
+        6: "travel_time probability",
     },
     "g6_actual_route_totals": {
         6: "total_travel_time same_zone_ratio",
@@ -316,7 +305,7 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "travel_weight preference_weight zone_weight time_window_weight workload_weight",
     },
     "g19_stops_from_samples": {
-        2: "total_package_volume_cm3",
+        4: "total_package_volume_cm3",
         6: (
             "package_count total_planned_service_time has_time_window time_window_package_count delivered_count "
             "attempted_count rejected_count unknown_status_count"
@@ -426,7 +415,7 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "q",
     },
     "f13_status_window_volume": {
-        4: "volume",
+        6: "volume",
     },
     "f16_progress_and_costs": {
         6: "of_stops of_sequence of_serving p zone_penalty risk workload cost",
@@ -435,30 +424,28 @@ DECIMALS: dict[str, dict[int, str]] = {
         6: "percentage",
     },
     "f24_names_directions_rounding": {
-        4: "price",
+        6: "price",
     },
     "s1_nested_stops": {
         6: "lat lng",
     },
     "s2_multi_part_union": {
-        4: "executor_capacity_cm3",
+        6: "executor_capacity_cm3",
     },
     "s3_travel_matrix_edges": {
-        4: "travel_time",
+        6: "travel_time",
     },
     "s4_checked_csv": {
-        2: "total_package_volume_cm3",
+        4: "total_package_volume_cm3",
         6: "total_planned_service_time",
     },
     "s5_pruned_sample_columns": {
-        4: "travel_time_ij",
-        6: "route_progress",
+        6: "travel_time_ij route_progress",
     },
     "s7_typed_sample_table": {
-        2: "candidate_total_package_volume_cm3",
-        4: "travel_time_ij",
+        4: "candidate_total_package_volume_cm3",
         6: (
-            "route_progress candidate_package_count candidate_total_planned_service_time "
+            "travel_time_ij route_progress candidate_package_count candidate_total_planned_service_time "
             "candidate_time_window_package_count candidate_delivered_count candidate_attempted_count "
             "candidate_rejected_count candidate_unknown_status_count"
         ),
