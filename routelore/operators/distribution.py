@@ -32,8 +32,10 @@ def quantiles(
     """Exact quantiles with linear interpolation: one row per group, one column per named probability, plus ``n``."""
     keys = list(keys)
     if not blocks and fits_one_task(df):
-        exact = [F.percentile(value, float(p)).alias(name) for name, p in probabilities.items()]
-        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("n"), *exact)
+        # One buffer serves all probabilities.
+        every = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities.values()]))
+        found = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("n"), every.alias("__q"))
+        return found.select(*keys, "n", *[F.col("__q")[i].alias(name) for i, name in enumerate(probabilities)])
     cells = running_totals(value_counts(df, keys, value), keys, value, ["n"], **blocks)
     before = F.col("cum_n") - F.col("n")
     outs: list[Column] = []

@@ -47,32 +47,59 @@ def _y() -> Column:
     return F.col("label")
 
 
-def threshold_metrics(df: DataFrame, by: Sequence[str], threshold: float = 0.5) -> DataFrame:
-    """Counts, accuracy, precision, recall, F1 (0 on zero division) and log loss per group."""
-    hit = _p() >= threshold
-    p = S.clip_probability(_p())
-    counts = df.groupBy(*by).agg(
-        F.count("*").alias("rows"),
-        F.count_if(_y() == 1).alias("positive_rows"),
-        F.count_if(_y() == 0).alias("negative_rows"),
-        F.count_if(hit & (_y() == 1)).alias("__tp"),
-        F.count_if(hit & (_y() == 0)).alias("__fp"),
-        F.count_if(~hit & (_y() == 1)).alias("__fn"),
-        F.avg(F.when(_y() == 1, -F.log(p)).otherwise(-F.log(1 - p))).alias("log_loss"),
+def _cells(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Positive and negative rows per (group, probability): all that the threshold and curve metrics need."""
+    return df.groupBy(*by, "predicted_probability").agg(
+        F.count_if(_y() == 1).alias("pos"), F.count_if(_y() == 0).alias("neg"), F.count("*").alias("n")
     )
+
+
+def _threshold_sums(threshold: float) -> list[Column]:
+    hit, p = _p() >= threshold, S.clip_probability(_p())
+    pos, neg = F.col("pos"), F.col("neg")
+    return [
+        F.sum("n").alias("rows"),
+        F.sum(pos).alias("positive_rows"),
+        F.sum(neg).alias("negative_rows"),
+        F.sum(F.when(hit, pos).otherwise(0)).alias("__tp"),
+        F.sum(F.when(hit, neg).otherwise(0)).alias("__fp"),
+        F.sum(F.when(hit, 0).otherwise(pos)).alias("__fn"),
+        F.try_divide(F.sum(-F.log(p) * pos - F.log(1 - p) * neg), F.sum("n")).alias("log_loss"),
+    ]
+
+
+def _threshold_columns() -> list[Column]:
     tp, fp, fn, n = (F.col(c) for c in ("__tp", "__fp", "__fn", "rows"))
-    return counts.select(
-        *by,
-        "rows",
-        "positive_rows",
-        "negative_rows",
+    return [
+        n,
+        F.col("positive_rows"),
+        F.col("negative_rows"),
         S.ratio(F.col("positive_rows"), n).alias("positive_rate"),
         S.ratio(n - fp - fn, n).alias("accuracy"),
         S.ratio(tp, tp + fp).alias("precision"),
         S.ratio(tp, tp + fn).alias("recall"),
         S.ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        "log_loss",
-    )
+        F.col("log_loss"),
+    ]
+
+
+def threshold_metrics(df: DataFrame, by: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """Counts, accuracy, precision, recall, F1 (0 on zero division) and log loss per group."""
+    sums = _cells(df, by).groupBy(*by).agg(*_threshold_sums(threshold))
+    return sums.select(*by, *_threshold_columns())
+
+
+def _curve_sums() -> list[Column]:
+    pos, neg, above, below = (F.col(c).cast("double") for c in ("pos", "neg", "cum_pos", "cum_neg"))
+    n_pos, n_neg = F.max("all_pos").cast("double"), F.max("all_neg").cast("double")
+    return [
+        F.try_divide(F.sum(neg * (above - pos / 2)), n_pos * n_neg).alias("roc_auc"),
+        F.coalesce(F.try_divide(F.sum(pos * above / (above + below)), n_pos), F.lit(0.0)).alias("average_precision"),
+    ]
+
+
+def _falling(df: DataFrame, by: Sequence[str], **blocks: int) -> DataFrame:
+    return running_totals(_cells(df, by), list(by), "predicted_probability", ["pos", "neg"], descending=True, **blocks)
 
 
 def curve_metrics(df: DataFrame, by: Sequence[str], **blocks: int) -> DataFrame:
@@ -80,18 +107,13 @@ def curve_metrics(df: DataFrame, by: Sequence[str], **blocks: int) -> DataFrame:
 
     Rows are first reduced to one cell per (group, probability); cells are cumulated by falling probability.
     """
-    cells = df.groupBy(*by, "predicted_probability").agg(
-        F.count_if(_y() == 1).alias("pos"), F.count_if(_y() == 0).alias("neg")
-    )
-    cum = running_totals(cells, list(by), "predicted_probability", ["pos", "neg"], descending=True, **blocks)
-    pos, neg, above, below = (F.col(c).cast("double") for c in ("pos", "neg", "cum_pos", "cum_neg"))
-    area = F.sum(neg * (above - pos / 2))
-    precise = F.sum(pos * above / (above + below))
-    n_pos, n_neg = F.max("all_pos").cast("double"), F.max("all_neg").cast("double")
-    return cum.groupBy(*by).agg(
-        F.try_divide(area, n_pos * n_neg).alias("roc_auc"),
-        F.coalesce(F.try_divide(precise, n_pos), F.lit(0.0)).alias("average_precision"),
-    )
+    return _falling(df, by, **blocks).groupBy(*by).agg(*_curve_sums())
+
+
+def classification_metrics(df: DataFrame, by: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """Threshold and curve metrics from the same cells, in one pass over the rows."""
+    sums = _falling(df, by).groupBy(*by).agg(*_threshold_sums(threshold), *_curve_sums())
+    return sums.select(*by, *_threshold_columns(), "roc_auc", "average_precision")
 
 
 def positive_ranks(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -101,12 +123,14 @@ def positive_ranks(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     keys = [*by, "route_id", "position"]
     order = F.struct((-_p()).alias("p"), F.col("negative_sample_rank").alias("r"), F.col("candidate_stop").alias("s"))
-    best = df.groupBy(*keys).agg(F.min(F.when(_y() == 1, order)).alias("__best"), F.count_if(_y() == 1).alias("positives"))
-    joined = null_safe_join(df.select(*keys, order.alias("__o")), best, keys, "inner")
-    return joined.groupBy(*keys).agg(
+    # One struct key: null parts compare equal in it, and aggregation and join share its partitioning.
+    rows = df.select(F.struct(*keys).alias("__c"), order.alias("__o"), _y().alias("__y"))
+    best = rows.groupBy("__c").agg(F.min(F.when(F.col("__y") == 1, F.col("__o"))).alias("__best"), F.count_if(F.col("__y") == 1).alias("positives"))
+    ranked = rows.join(best, "__c").groupBy("__c").agg(
         F.max("positives").alias("positives"),
         F.when(F.max("positives") > 0, F.count_if(F.col("__o") < F.col("__best")) + 1).alias("rank"),
     )
+    return ranked.select("__c.*", "positives", "rank")
 
 
 def ranking_metrics(df: DataFrame, by: Sequence[str], extended: bool = True) -> DataFrame:
@@ -132,8 +156,7 @@ def ranking_metrics(df: DataFrame, by: Sequence[str], extended: bool = True) ->
 def all_metrics(df: DataFrame, by: Sequence[str], extended: bool = True) -> DataFrame:
     """Every metric of a group in one row."""
     by = list(by)
-    out = null_safe_join(threshold_metrics(df, by), curve_metrics(df, by), by, "left")
-    return null_safe_join(out, ranking_metrics(df, by, extended), by, "left")
+    return null_safe_join(classification_metrics(df, by), ranking_metrics(df, by, extended), by, "left")
 
 
 def with_subgroups(df: DataFrame) -> DataFrame:
