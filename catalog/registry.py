@@ -57,6 +57,11 @@ def with_tables(body: str, *names: str, recursive: bool = False) -> str:
     return f"{word}{head}{body}" if head or body.startswith(" ") else body.strip()
 
 
+def nudge(decimals: int) -> float:
+    """Far below the last digit kept: moves exact halves, which engines round differently, off the boundary."""
+    return 1.23 * 10.0 ** -(decimals + 3)
+
+
 def query(name: str, sql: str | None = None, *tables: str, recursive: bool = False):
     """Registers a (spark, folder) -> DataFrame function, with SQL over the named derived tables."""
 
@@ -67,13 +72,13 @@ def query(name: str, sql: str | None = None, *tables: str, recursive: bool = Fal
 
         def rounded(spark: SparkSession, d: str) -> DataFrame:
             # Adding 0.0 turns a negative zero into zero.
-            return fn(spark, d).withColumns({c: F.round(F.col(c), k) + F.lit(0.0) for c, k in columns.items()})
+            return fn(spark, d).withColumns({c: F.round(F.col(c) + F.lit(nudge(k)), k) + F.lit(0.0) for c, k in columns.items()})
 
         QUERIES[name] = rounded if columns else fn
         if sql is not None:
             text = with_tables(sql, *tables, recursive=recursive)
             if columns:
-                parts = ", ".join(f'round("{c}", {k}) + 0.0::DOUBLE AS "{c}"' for c, k in columns.items())
+                parts = ", ".join(f'round("{c}" + {nudge(k)}::DOUBLE, {k}) + 0.0::DOUBLE AS "{c}"' for c, k in columns.items())
                 text = f"SELECT * REPLACE ({parts}) FROM ({text})"
             ORACLES[name] = text
         return fn
