@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from routelore.llm import packing
+from routelore.llm import language, mixing, packing, repetition, simhash, url_filter
 from routelore.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,32 @@ def tokenizer_file(name: str) -> str:
 def op1(spark: SparkSession, d: str) -> DataFrame:
     placed = packing.pack_documents(table(spark, d, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op5_simhash_near_dedup")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    found = simhash.components(table(spark, d, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_suffix_array_repetition")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    found = repetition.quality(table(spark, d, "documents").select("doc_id", "text"))
+    return found.drop("text")
+
+
+@query("op10_ppm_language_id")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return language.identified(table(spark, d, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op9_host_reputation")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return url_filter.judged(table(spark, d, "pages"), table(spark, d, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op6_source_mixing")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    found = mixing.calibrated(table(spark, d, "documents"))
+    return found.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"),
+        F.round("__probability", 9).alias("probability"), F.col("__sampled").alias("sampled"))
