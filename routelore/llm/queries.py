@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from routelore.llm import language, mixing, packing, repetition, simhash, url_filter
+from routelore.llm import language, mixing, neighbours, oracles, packing, repetition, simhash, token_counts, toxicity, url_filter, warc
 from routelore.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,13 +52,35 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return language.identified(table(spark, d, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query("op9_host_reputation")
+@query("op9_host_reputation", oracles.op9())
 def op9(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.judged(table(spark, d, "pages"), table(spark, d, "labels")).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op6_source_mixing")
+@query("op6_source_mixing", oracles.op6())
 def op6(spark: SparkSession, d: str) -> DataFrame:
     found = mixing.calibrated(table(spark, d, "documents"))
     return found.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"),
         F.round("__probability", 9).alias("probability"), F.col("__sampled").alias("sampled"))
+
+
+@query("op2_zip_archive_records", oracles.OP2)
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    found = warc.round_trip(table(spark, d, "pages"), payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_unigram_token_counts")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, d, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op4_toxicity_chain")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.judged(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op8_multiprobe_neighbours")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
