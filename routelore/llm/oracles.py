@@ -48,15 +48,17 @@ def op9() -> str:
              "known AS (SELECT own.*, bad FROM own LEFT JOIN bads ON number = try_cast(nullif(regexp_extract(path, '^/[a-z][a-z]/([0-9]{1,18})', 1), '') AS BIGINT))",
              """hosts AS MATERIALIZED (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix,
       count(bad)::DOUBLE AS pages, coalesce(sum(bad), 0)::DOUBLE AS bad FROM known GROUP BY host)""",
-             f"m0 AS (SELECT (coalesce(sum(bad), 0) + {u.PRIOR_BAD}) / (coalesce(sum(pages), 0) + {u.PRIOR_BAD} + {u.PRIOR_GOOD}) AS parent FROM hosts)"]
+             f"m0 AS (SELECT coalesce(sum(pages), 0) AS up_pages, coalesce(sum(bad), 0) AS up_bad, {u.PRIOR_BAD + u.PRIOR_GOOD}::DOUBLE AS up_strength, {u.PRIOR_BAD / (u.PRIOR_BAD + u.PRIOR_GOOD)}::DOUBLE AS up_mean FROM hosts)"]
     for depth, level in enumerate(u.LEVELS):
         keys, up = ", ".join(u.LEVELS[: depth + 1]), ", ".join(u.LEVELS[:depth])
-        join = f"JOIN (SELECT {up}, parent FROM m{depth}) USING ({up})" if depth else "CROSS JOIN m0"
-        parts.append(f"n{depth} AS MATERIALIZED (SELECT * FROM (SELECT {keys}, sum(pages) AS pages, sum(bad) AS bad FROM hosts GROUP BY {keys}) {join})")
+        join = f"JOIN m{depth} USING ({up})" if depth else "CROSS JOIN m0"
+        parts.append(f"""n{depth} AS MATERIALIZED (SELECT {keys}, pages, bad, (up_bad - bad + up_strength * up_mean) / (up_pages - pages + up_strength) AS parent
+          FROM (SELECT {keys}, sum(pages) AS pages, sum(bad) AS bad FROM hosts GROUP BY {keys}) {join})""")
         parts.append(f"""s{depth} AS (SELECT round(CASE WHEN extra > 0 THEN greatest({u.WEAKEST}, least({u.STRONGEST}, scale / extra - 1)) ELSE {u.STRONGEST} END, 6) AS strength
           FROM (SELECT sum(pow(bad - pages * parent, 2) - pages * parent * (1 - parent)) AS extra, sum(pages * (pages - 1) * parent * (1 - parent)) AS scale FROM n{depth}))""")
-        parts.append(f"m{depth + 1} AS MATERIALIZED (SELECT {keys}, (bad + strength * parent) / (pages + strength) AS parent, pages, strength FROM n{depth} CROSS JOIN s{depth})")
+        parts.append(f"m{depth + 1} AS MATERIALIZED (SELECT {keys}, pages AS up_pages, bad AS up_bad, strength AS up_strength, parent AS up_mean FROM n{depth} CROSS JOIN s{depth})")
+    parts.append("final AS (SELECT host, up_pages, up_strength, (up_bad + up_strength * up_mean) / (up_pages + up_strength) AS mean FROM m3)")
     return f"""WITH {", ".join(parts)}
 SELECT page_id, host, path, {rule.format(*names)} AS rule,
-  coalesce({rule.format(*kinds)}, CASE WHEN parent - {u.DEVIATIONS} * sqrt(parent * (1 - parent) / (m3.pages + strength + 1)) > {u.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM known JOIN m3 USING (host)"""
+  coalesce({rule.format(*kinds)}, CASE WHEN mean - {u.DEVIATIONS} * sqrt(mean * (1 - mean) / (up_pages + up_strength + 1)) > {u.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM known JOIN final USING (host)"""

@@ -1,9 +1,10 @@
 """URL filter with empirical-Bayes host reputation.
 
 Labelled pages are good or bad outcomes. Counts are summed up a tree: host, registered domain (the last two labels), suffix (the
-last label), all. From the top down, the mean of a level is shrunk toward its parent's: a beta prior with the parent's posterior
-mean and a strength estimated per level by the method of moments over all nodes of that level. A host is blocked if the lower
-bound of its posterior bad share lies above a limit. DataFrame and SQL functions only.
+last label), all. From the top down, the mean of a node is shrunk toward its parent's: a beta prior whose mean is the parent's
+posterior mean without the node's own outcomes (so none counts twice), and whose strength is estimated per level by the method of
+moments over all nodes of that level. A host is blocked if the lower bound of its posterior bad share lies above a limit.
+DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: Prior of all pages, strengths of the levels when moments give none, posterior standard deviations, and the limit.
 PRIOR_BAD, PRIOR_GOOD = 1.0, 9.0
 WEAKEST, STRONGEST = 2.0, 200.0
-DEVIATIONS, LIMIT = 1.0, 0.15
+DEVIATIONS, LIMIT = 1.28, 0.15
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -49,14 +50,16 @@ def reputation(outcomes: DataFrame, deviations: float = DEVIATIONS) -> DataFrame
     last = lambda n: F.substring_index("host", ".", -n)
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("pages"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     hosts = stage_table(hosts.select("host", last(2).alias("domain"), last(1).alias("suffix"), "pages", "bad"), "host_outcomes")
-    total = hosts.agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad"))
-    mean = (F.coalesce("bad", F.lit(0.0)) + PRIOR_BAD) / (F.coalesce("pages", F.lit(0.0)) + PRIOR_BAD + PRIOR_GOOD)
-    above = total.select(mean.alias("mean"))  # one row
+    # What a node inherits: its parent's counts, strength and prior mean. The top is one row.
+    inherits = ["up_pages", "up_bad", "up_strength", "up_mean"]
+    above = hosts.agg(F.coalesce(F.sum("pages"), F.lit(0.0)).alias("up_pages"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("up_bad"))
+    above = above.withColumns({"up_strength": F.lit(PRIOR_BAD + PRIOR_GOOD), "up_mean": F.lit(PRIOR_BAD / (PRIOR_BAD + PRIOR_GOOD))})
     for depth, level in enumerate(LEVELS):
         keys = list(LEVELS[: depth + 1])
         nodes = hosts.groupBy(*keys).agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad"))
-        nodes = nodes.join(F.broadcast(above)) if depth == 0 else salted_join(nodes, above, keys[:-1], [level], how="inner")  # the top is one row
-        nodes = stage_table(nodes.withColumnRenamed("mean", "parent"), f"{level}_nodes")
+        nodes = nodes.join(F.broadcast(above)) if depth == 0 else salted_join(nodes, above, keys[:-1], [level], how="inner")
+        rest = (F.col("up_bad") - F.col("bad") + F.col("up_strength") * F.col("up_mean")) / (F.col("up_pages") - F.col("pages") + F.col("up_strength"))
+        nodes = stage_table(nodes.withColumn("parent", rest).drop(*inherits), f"{level}_nodes")
         # Spread of the nodes' shares around their parents beyond that of the binomial gives the prior's strength.
         p, n = F.col("parent"), F.col("pages")
         square = F.pow(F.col("bad") - n * p, 2)
@@ -65,7 +68,7 @@ def reputation(outcomes: DataFrame, deviations: float = DEVIATIONS) -> DataFrame
         strength = F.when(F.col("extra") > 0, F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), raw))).otherwise(F.lit(STRONGEST))
         nodes = nodes.join(F.broadcast(moments.select(F.round(F.coalesce(strength, F.lit(STRONGEST)), 6).alias("strength"))))  # one row
         nodes = nodes.withColumn("mean", (F.col("bad") + F.col("strength") * p) / (n + F.col("strength")))
-        above = nodes.select(*keys, "mean")
+        above = nodes.select(*keys, *[F.col(c).alias(n) for c, n in zip(("pages", "bad", "strength", "parent"), inherits)])
     bound = F.col("mean") - deviations * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("pages") + F.col("strength") + 1))
     return nodes.select("host", "pages", "bad", "mean", bound.alias("bound"))
 
