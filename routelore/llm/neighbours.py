@@ -21,16 +21,15 @@ from routelore.llm.shared import salted_join
 from routelore.sources.staging import stage_table
 
 #: Production parameters. On vectors of 64 dimensions whose neighbours are far (cosine 0.5) they find over 0.9 of the true ones.
-TABLES, HASHES, WIDTH, PROBES = 8, 8, 2.0, 64
+TABLES, HASHES, WIDTH, PROBES = 8, 8, 2.0, 128
 BLOCK = 4096
 TOP = 5
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) without null and zero vectors and those with null or non-finite parts."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and v, the embedding, without null and zero vectors and those with null or non-finite parts."""
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select("vec_id", v.alias("v")).where(F.coalesce(good, F.lit(False)))
+    return vectors.select("vec_id", F.col("embedding").alias("v")).where(F.coalesce(good, F.lit(False)))
 
 
 def directions(dim: int, tables: int, hashes: int, width: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +77,10 @@ def probe_steps(inside: np.ndarray, probes: int) -> np.ndarray:
     return np.array(steps)
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one size as doubles."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1)
 
 
 def keyed(vectors: DataFrame, keep: str, tables: int, hashes: int, width: float, probes: int) -> DataFrame:
@@ -131,7 +132,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
     blocks = index.groupBy(*slot).agg(F.count("*").alias("n")).where(F.col("n") > block).select(*slot, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     blocks = stage_table(blocks, "large_buckets")
     dealt = salted_join(index, blocks, slot, ["class"], salts=8).withColumn("block", F.pmod(F.xxhash64("class"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-    probed = keyed(asked, "query_id", tables, hashes, width, probes).distinct()
+    probed = keyed(asked, "query_id", tables, hashes, width, probes)
     probed = salted_join(probed, blocks, slot, ["query_id"], salts=8).withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
 
     right = salted_join(dealt, classes, ["class"], ["table"], salts=1, how="inner")
@@ -142,11 +143,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
         types = [pa.int64(), pa.int64(), pa.float64()]
         if not asked.num_rows or not held.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
-        v, lists = matrix(held.column("v").combine_chunks()), held.column("ids").to_pylist()
+        v, lists = matrix(held.column("v")), held.column("ids").to_pylist()
         out: list[tuple] = []
         for lo in range(0, asked.num_rows, 256):
             some = asked.slice(lo, 256)
-            scores = exact_scores(matrix(some.column("v").combine_chunks()), v)
+            scores = exact_scores(matrix(some.column("v")), v)
             many = min(top + 1, len(lists))  # one class may hold only the query
             for q, row in zip(some.column("query_id").to_pylist(), scores):
                 least = np.partition(row, -many)[-many]
