@@ -1,112 +1,174 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another by linear models over hashed words; the model of a category also sees the probabilities
-of the categories before it. While learning, these probabilities come from models fitted without the document's own fold, so a
-later model meets the same kind of input as in use.
+Categories are predicted one after another by logistic models over hashed words and word beginnings; the model of a category also
+sees the probabilities of the categories before it. While learning, these probabilities come from models fitted without the
+document's own fold, so a later model meets the same kind of input as in use.
+
+Learning takes a bounded sample of labelled documents (``SAMPLE_ROWS`` of at most ``SAMPLE_BYTES`` bytes each), whose features come
+to the driver; every document is scored, whole, in tasks that hold the few chosen features only.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
+import zlib
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from routelore.sources.staging import scratch_folder, stage_table
+from routelore.sources.staging import stage_table
 
-#: Labelled documents learned from at most (by expectation; chosen by a hash), hashed features, and folds.
-SAMPLE_ROWS, FEATURES, FOLDS = 12_000, 1 << 17, 3
-#: Partitions of the bounded sample and rounds of a fit; each round is a job over them.
-PARTS, ROUNDS = 4, 15
+SAMPLE_ROWS, SAMPLE_BYTES, FOLDS = 12_000, 20_000, 3
+#: Hashed features, those a model may use, letters of a word's beginning, and words a task remembers.
+FEATURES, CHOSEN, BEGINNING, REMEMBERED = 1 << 18, 512, 5, 1 << 18
 #: Categories in the order of the chain, with the condition on ``labels``.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
-
-
-def with_features(docs: DataFrame, features: int = FEATURES) -> DataFrame:
-    """Adds __features: which words (letters, lower case) a text has; null counts as empty."""
-    words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"\p{L}+", gaps=False, minTokenLength=2)
-    hashing = HashingTF(inputCol="__words", outputCol="__features", numFeatures=features, binary=True)
-    marked = docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    return hashing.transform(words.transform(marked)).drop("__text", "__words")
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, text, fold and a 0/1 column for each category, for a bounded sample of labelled documents.
+WORD = re.compile(r"[^\W\d_]{2,}")
+
+
+def word_features(word: str) -> tuple[int, ...]:
+    """The word itself, and its beginning if it is longer."""
+    own = (word, word[:BEGINNING] + "*") if len(word) > BEGINNING else (word,)
+    return tuple(zlib.crc32(w.encode()) % FEATURES for w in own)
+
+
+def text_words(text: str | None) -> set[str]:
+    return set(WORD.findall(text.lower())) if text else set()
+
+
+@dataclass
+class Linear:
+    """A logistic model: weights of chosen features, of the probabilities before it, and the intercept."""
+
+    weights: dict[int, float]
+    before: np.ndarray
+    intercept: float
+
+    def probability(self, features: set[int], before: Sequence[float]) -> float:
+        z = self.intercept + sum(map(self.weights.get, self.weights.keys() & features)) + float(np.dot(self.before, before))
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def chosen_features(rows: Sequence[np.ndarray], y: np.ndarray, many: int, least: int = 5) -> np.ndarray:
+    """Which features differ most between the classes, by their standard score; rare ones are left out."""
+    flat, own = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
+    seen, share = np.bincount(flat, minlength=FEATURES), y.mean()
+    score = np.abs(np.bincount(flat, own, FEATURES) - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
+    score[seen < least] = 0
+    best = np.argsort(-score, kind="stable")[:many]
+    return best[score[best] > 0]
+
+
+def fitted(rows: Sequence[np.ndarray], y: np.ndarray, before: np.ndarray, epochs: int = 40, rate: float = 0.5, penalty: float = 1e-4, batch: int = 128) -> Linear:
+    """Logistic regression by AdaGrad over seeded shuffles. Labels all alike give their share as a constant."""
+    share = float(y.mean()) if len(y) else 0.0
+    if share in (0.0, 1.0):
+        return Linear({}, np.zeros(before.shape[1]), 30.0 if share else -30.0)
+    chosen = chosen_features(rows, y, CHOSEN)
+    place = np.full(FEATURES, -1)
+    place[chosen] = np.arange(len(chosen))
+    rows = [p[p >= 0] for p in (place[r] for r in rows)]
+    k = before.shape[1]
+    w, squares = np.zeros(len(chosen) + k + 1), np.full(len(chosen) + k + 1, 1e-8)
+    w[-1] = np.log(share / (1 - share))
+    rng = np.random.default_rng(0)
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for lo in range(0, len(order), batch):
+            part = order[lo : lo + batch]
+            flat, own = np.concatenate([rows[i] for i in part]), np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+            z = np.bincount(own, w[flat], len(part)) + (before[part] * w[len(chosen) : -1]).sum(axis=1) + w[-1]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
+            slope = np.concatenate([np.bincount(flat, error[own], len(chosen)), (before[part] * error[:, None]).sum(axis=0), [error.sum()]])
+            slope[: len(chosen)] += penalty * w[: len(chosen)]
+            squares += slope * slope
+            w -= rate * slope / np.sqrt(squares)
+    return Linear(dict(zip(chosen.tolist(), w[: len(chosen)].tolist())), w[len(chosen) : -1].copy(), float(w[-1]))
+
+
+def chain(rows: Sequence[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> list[Linear]:
+    """One model per column of ``labels``, each with out-of-fold probabilities of those before it."""
+    models, before = [], np.zeros((len(rows), 0))
+    sets = [set(r.tolist()) for r in rows]
+    for k in range(labels.shape[1]):
+        y = labels[:, k].astype(float)
+        models.append(fitted(rows, y, before))
+        held = np.zeros(len(rows))
+        for f in range(FOLDS if k < labels.shape[1] - 1 else 0):
+            own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+            model = fitted([rows[i] for i in rest], y[rest], before[rest])
+            held[own] = [model.probability(sets[i], before[i]) for i in own]
+        before = np.column_stack([before, held])
+    return models
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """text, fold and a 0/1 column for each category, for a bounded sample of labelled documents, chosen by a hash.
 
     Labels of one doc_id are merged: a category holds if any row says so. Rows whose labels are all null are left out.
     """
     merged = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.expr(f"CAST({c} AS INT)")).alias(f"__{n}") for n, c in categories])
     merged = stage_table(merged.where(F.coalesce(*[f"__{n}" for n, _ in categories]).isNotNull()), "merged_labels")
-    total = max(1, merged.count())
-    chosen = merged.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.lit(int((sample_rows << 30) / total)))
-    chosen = chosen.fillna(0).withColumn("__fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most about sample_rows narrow rows
-
-
-class Chain:
-    """Fitted models of the categories, in order; ``None`` stands for a category all of whose labels are alike."""
-
-    def __init__(self, names: list[str], models: list, shares: list[float]):
-        self.names, self.models, self.shares = names, models, shares
-
-    def scored(self, featured: DataFrame) -> DataFrame:
-        """Adds p_<category> for every category; __features goes."""
-        for k, name in enumerate(self.names):
-            featured = featured.withColumn(f"p_{name}", self._probability(featured, k)) if self.models[k] is None else one_step(featured, self.models[k], self.names[:k], name)
-        return featured.drop("__features")
-
-    def _probability(self, featured: DataFrame, k: int) -> Column:
-        return F.lit(float(self.shares[k]))
+    chance = int((sample_rows << 30) / max(1, merged.count()))
+    chosen = merged.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.lit(chance)).fillna(0)
+    chosen = chosen.withColumn("__fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    # At most about sample_rows narrow rows are broadcast.
+    return docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id")
 
 
-def chain_input(featured: DataFrame, before: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=["__features", *[f"p_{n}" for n in before]], outputCol="__input").transform(featured)
+def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS) -> list[Linear]:
+    names = [f"__{n}" for n, _ in categories]
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sorted({f for w in text_words(t.as_py()) for f in word_features(w)}) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "__fold", *names)] + [pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "__fold", *names, "own"])
 
-def one_step(featured: DataFrame, model: LogisticRegressionModel, before: list[str], name: str) -> DataFrame:
-    found = model.transform(chain_input(featured, before))
-    return found.withColumn(f"p_{name}", vector_to_array("__probability")[1]).drop("__input", "__probability")
+    sample = training_rows(docs, labels, categories, sample_rows)
+    fields = [sample.schema["doc_id"], *[T.StructField(n, T.IntegerType()) for n in ("__fold", *names)], T.StructField("own", T.ArrayType(T.IntegerType()))]
+    held = sample.select("doc_id", "text", "__fold", *names).mapInArrow(numbered, T.StructType(fields)).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = [np.array(r, np.int64) for r in held.column("own").to_pylist()]
+    return chain(rows, np.column_stack([held.column(n).to_numpy() for n in names]).reshape(-1, len(names)), held.column("__fold").to_numpy())
 
 
-def fitted(rows: DataFrame, before: list[str], name: str, strength: float) -> LogisticRegressionModel | None:
-    """A logistic model of one category, read back without its training summary (which holds the session)."""
-    known = rows.agg(F.min(f"__{name}").alias("lo"), F.max(f"__{name}").alias("hi")).first()
-    if known.lo is None or known.lo == known.hi:
-        return None
-    learner = LogisticRegression(featuresCol="__input", labelCol=f"__{name}", probabilityCol="__probability", rawPredictionCol="", predictionCol="", regParam=strength, maxIter=ROUNDS, standardization=False)
-    path = f"{scratch_folder(rows.sparkSession)}/chain-{uuid.uuid4().hex}"
-    learner.fit(chain_input(rows, before)).write().save(path)
-    return LogisticRegressionModel.load(path)
+class Known(dict):
+    """Chosen features of a word, remembered; bounded."""
 
+    def __init__(self, chosen: set[int]):
+        super().__init__()
+        self.chosen = chosen
 
-def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, strength: float = 0.002) -> Chain:
-    rows = stage_table(with_features(training_rows(docs, labels, categories, sample_rows), features).drop("text").repartition(PARTS), "chain_rows")
-    names, models, shares = [n for n, _ in categories], [], []
-    for k, name in enumerate(names):
-        shares.append(rows.agg(F.avg(f"__{name}")).first()[0] or 0.0)
-        models.append(fitted(rows, names[:k], name, strength))
-        if k == len(names) - 1:
-            break
-        held = []
-        for fold in range(FOLDS):  # probabilities by a model that has not seen the fold
-            model = fitted(rows.where(F.col("__fold") != fold), names[:k], name, strength)
-            part = rows.where(F.col("__fold") == fold)
-            held.append(part.withColumn(f"p_{name}", F.lit(float(shares[k]))) if model is None else one_step(part, model, names[:k], name))
-        out = held[0]
-        for part in held[1:]:
-            out = out.unionByName(part)
-        rows = stage_table(out.repartition(PARTS), "chain_rows")
-    return Chain(names, models, shares)
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = tuple(f for f in word_features(word) if f in self.chosen)
+        return found
 
 
 def judged(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
     """doc_id, p_<category> for each category, and flagged: whether the last category's probability reaches the threshold.
 
-    A null or empty text is judged by the models' intercepts. Without usable labels every probability is the share of the category
-    (0 if there are no labels at all). Repeated rows stay; other columns are left out; an empty table gives an empty table.
+    A null or empty text is judged by the models' intercepts. A category whose labels are all alike, or that has none, gets
+    probability (almost) 1 or 0. Repeated rows stay; other columns are left out; an empty table gives an empty table.
     """
-    chain = learn(docs, labels, categories, sample_rows)
-    found = chain.scored(with_features(docs.select("doc_id", "text")).drop("text"))
-    return found.withColumn("flagged", F.col(f"p_{chain.names[-1]}") >= threshold)
+    models = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, categories, sample_rows))
+    names = [f"p_{n}" for n, _ in categories]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = models.value
+        known = Known({f for m in own for f in m.weights})
+        for b in batches:
+            out: list[list[float]] = []
+            for text in b.column("text"):
+                features = {f for w in text_words(text.as_py()) for f in known[w]}
+                row: list[float] = []
+                for model in own:
+                    row.append(model.probability(features, row))
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in out], pa.float64()) for k in range(len(names)))], names=["doc_id", *names])
+
+    fields = [docs.schema["doc_id"], *[T.StructField(n, T.DoubleType()) for n in names]]
+    return docs.select("doc_id", "text").mapInArrow(scored, T.StructType(fields)).withColumn("flagged", F.col(names[-1]) >= threshold)

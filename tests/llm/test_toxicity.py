@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,13 +23,23 @@ def test_chain(spark, documents):
 
 
 def test_without_labels(spark, documents):
-    docs = documents([(1, "a b"), (2, None)])
-    assert [(r.p_low_quality, r.p_toxic, r.flagged) for r in toxicity.judged(docs, spark.createDataFrame([], LABELS)).collect()] == [(0.0, 0.0, False)] * 2
+    docs, low = documents([(1, "a b"), (2, None)]), pytest.approx(0, abs=1e-12)
+    assert [(r.p_low_quality, r.p_toxic, r.flagged) for r in toxicity.judged(docs, spark.createDataFrame([], LABELS)).collect()] == [(low, low, False)] * 2
     one_kind = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], LABELS)
-    assert [(r.p_low_quality, r.p_toxic) for r in toxicity.judged(docs, one_kind).collect()] == [(0.0, 1.0)] * 2
+    assert [(r.p_low_quality, r.p_toxic) for r in toxicity.judged(docs, one_kind).collect()] == [(low, pytest.approx(1))] * 2
     assert toxicity.judged(documents([]), one_kind).collect() == []
 
 
+def test_chain_uses_out_of_fold_probabilities():
+    rng = np.random.default_rng(0)
+    rows = [np.array([i % 2, 10 + rng.integers(0, 400)]) for i in range(900)]  # the second word tells nothing
+    first = np.array([i % 2 for i in range(900)])
+    first[rng.random(900) < 0.2] ^= 1
+    models = toxicity.chain(rows, np.column_stack([first, first]), np.arange(900) % toxicity.FOLDS)
+    assert len(models) == 2 and models[1].before.shape == (1,)
+    assert models[1].probability({1}, [0.9]) > 0.6 > 0.4 > models[1].probability({0}, [0.1])
+
+
 def test_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
