@@ -19,7 +19,7 @@ query("p4_stratified_split", "SELECT * FROM splits", "splits")(PV.splits.lazy)
 
 @query("p4_stratified_split_in_blocks", "SELECT * FROM splits", "splits")
 def p4_blocks(spark, d):
-    return SP.stratified_split(SP.modelling_routes(V.routes(spark, d), V.routes(spark, d)), PV.RATIOS, PV.SEED, in_blocks=True)
+    return SP.stratified_split(SP.modelling_routes(V.routes(spark, d), V.routes(spark, d)), PV.RATIOS, PV.SEED, rows_per_block=20)
 
 
 @query(
@@ -337,7 +337,7 @@ def m17b(spark, d):
 def _fit(spark, d, name: str):
     rows = PV.samples(spark, d)
     features = ML.feature_columns([rows])
-    return ML.train(name, rows.where("split = 'train'"), features, trees=20, depth=5), rows, features
+    return ML.train(name, rows.where("split = 'train'"), features), rows, features
 
 
 @query("m6_logistic_regression_topk")

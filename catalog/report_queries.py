@@ -98,12 +98,12 @@ def t5(spark, d):
 
 @query("t6_bootstrap_intervals")
 def t6(spark, d):
-    return T.bootstrap_intervals(pairs(spark, d), iterations=500)
+    return T.bootstrap_intervals(pairs(spark, d))
 
 
 @staged_view
 def tests(spark, d):
-    return T.paired_tests(RV.metrics(spark, d), COMPARISONS, iterations=500)
+    return T.paired_tests(RV.metrics(spark, d), COMPARISONS)
 
 
 query("t7_paired_tests")(tests.lazy)

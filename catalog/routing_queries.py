@@ -129,8 +129,8 @@ def g12(spark, d):
 
 @query("g15_weight_search")
 def g15(spark, d):
-    """Fifteen vectors of the 0.25 grid on all admitted routes, averaged, scored and ranked."""
-    grid = WT.weight_grid(spark, 0.25, 15)
+    """300 vectors of the 0.05 grid on all admitted routes, averaged, scored and ranked."""
+    grid = WT.weight_grid(spark, 0.05, 300)
     members = RV.members(spark, d)
     evaluated = WT.evaluate_weights(members, RV.chosen_edges(spark, d), grid, RV.SCORER, RV.actual(spark, d))
     return WT.weight_results(evaluated)

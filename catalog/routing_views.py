@@ -16,8 +16,6 @@ from routelore.schemas import WEIGHTS
 SCORER = LogitScorer(*PV.LOGIT["steady"], decimals=9)
 BEST = (0.70, 0.15, 0.15, 0.0, 0.0)
 PLANS = [(G.NEAREST, "", (0.0,) * 5), (G.PREFERENCE, "", (0.0,) * 5), (G.HYBRID, "best", BEST)]
-# Routes of up to 127 stops are walked inside one task here; this keeps both ways of walking in use.
-MAX_STOPS = G.MAX_STOPS
 
 
 @staged_view
@@ -87,7 +85,7 @@ def zones(spark, d):
 
 @staged_view
 def steps(spark, d):
-    return G.generate_routes(members(spark, d), chosen_edges(spark, d), PLANS, SCORER, MAX_STOPS)
+    return G.generate_routes(members(spark, d), chosen_edges(spark, d), PLANS, SCORER)
 
 
 def probability(c: str) -> str:

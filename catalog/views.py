@@ -12,7 +12,7 @@ from catalog.registry import cte, lazy_view, staged_view
 from routelore.operators import cleaning as C
 from routelore.operators.ordering import ordered_positions
 
-BAND_BACK, BAND_AHEAD = 3, 10
+BAND_BACK, BAND_AHEAD = 3, 100
 
 
 @lazy_view

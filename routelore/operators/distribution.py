@@ -1,8 +1,7 @@
 """Exact order statistics, ranks, correlations and histograms.
 
 All order statistics come from one shape: values are first counted per (group, value), then cumulated with
-``ordering.running_totals``, so no group is gathered into one task or one aggregation buffer. The built-in exact
-``percentile`` is used only on inputs whose size bound fits one task.
+``ordering.running_totals``, so no group is gathered into one task or one aggregation buffer.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from routelore.functions import scalars as S
-from routelore.operators.ordering import attach_single_row, fits_one_task, null_safe_join, running_totals
+from routelore.operators.ordering import attach_single_row, null_safe_join, running_totals
 
 
 def long_form(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str = "feature") -> DataFrame:
@@ -31,11 +30,6 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group, one column per named probability, plus ``n``."""
     keys = list(keys)
-    if not blocks and fits_one_task(df):
-        # One buffer serves all probabilities.
-        every = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities.values()]))
-        found = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("n"), every.alias("__q"))
-        return found.select(*keys, "n", *[F.col("__q")[i].alias(name) for i, name in enumerate(probabilities)])
     cells = running_totals(value_counts(df, keys, value), keys, value, ["n"], **blocks)
     before = F.col("cum_n") - F.col("n")
     outs: list[Column] = []
@@ -122,35 +116,38 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         return cum.select(*names, side, (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias(f"r{side}"))
 
     ranked = tall.join(ranks("x"), [*names, "x"]).join(ranks("y"), [*names, "y"])
-    sums = ranked.groupBy(*names).agg(
-        F.sum("w").alias("n"), *_weighted_sums("x", "y", "p"), *_weighted_sums("rx", "ry", "s")
+    w = F.col("w").cast("double")
+    middles = ranked.groupBy(*names).agg(
+        F.sum("w").alias("n"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"m{c}") for c in ("x", "y", "rx", "ry")]
+    )
+    sums = null_safe_join(ranked, middles, names, "inner").groupBy(*names).agg(
+        F.first("n").alias("n"), F.first("mx").alias("mx"), F.first("my").alias("my"),
+        F.first("mrx").alias("mrx"), F.first("mry").alias("mry"), *_centred_sums("x", "y"), *_centred_sums("rx", "ry"),
     )
     return sums.select(
         *names,
         "n",
-        F.when(F.col("n") >= 3, _weighted_corr("p")).alias("pearson"),
-        F.when(F.col("n") >= 3, _weighted_corr("s")).alias("spearman"),
+        F.when(F.col("n") >= 3, _centred_corr("x", "y")).alias("pearson"),
+        F.when(F.col("n") >= 3, _centred_corr("rx", "ry")).alias("spearman"),
     )
 
 
-def _weighted_sums(x: str, y: str, tag: str) -> list[Column]:
-    w, cx, cy = F.col("w").cast("double"), F.col(x), F.col(y)
+def _centred_sums(x: str, y: str) -> list[Column]:
+    w, dx, dy = F.col("w").cast("double"), F.col(x) - F.col(f"m{x}"), F.col(y) - F.col(f"m{y}")
     return [
-        F.sum(w * cx).alias(f"{tag}x"),
-        F.sum(w * cy).alias(f"{tag}y"),
-        F.sum(w * cx * cx).alias(f"{tag}xx"),
-        F.sum(w * cy * cy).alias(f"{tag}yy"),
-        F.sum(w * cx * cy).alias(f"{tag}xy"),
+        F.sum(w * dx).alias(f"s{x}"), F.sum(w * dy).alias(f"s{y}"), F.sum(w * dx * dx).alias(f"{x}{x}"),
+        F.sum(w * dy * dy).alias(f"{y}{y}"), F.sum(w * dx * dy).alias(f"{x}{y}"),
     ]
 
 
-def _weighted_corr(tag: str) -> Column:
+def _centred_corr(x: str, y: str) -> Column:
+    """Correlation from sums around the means; what is left of the sums themselves takes out the means' rounding."""
     n = F.col("n").cast("double")
-    sx, sy, sxx, syy, sxy = (F.col(f"{tag}{k}") for k in ("x", "y", "xx", "yy", "xy"))
-    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    # A variance below rounding noise is a constant column: its correlation is undefined.
-    noise = 1e-12
-    return F.when((vx > noise * n * sxx) & (vy > noise * n * syy), (n * sxy - sx * sy) / F.sqrt(vx) / F.sqrt(vy))
+    vx = F.col(f"{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}") / n
+    vy = F.col(f"{y}{y}") - F.col(f"s{y}") * F.col(f"s{y}") / n
+    # Deviations at the rounding of the mean belong to a constant column: its correlation is undefined.
+    spread = lambda v, m: v > n * F.pow(1e-14 * F.abs(F.col(f"m{m}")), 2)
+    return F.when(spread(vx, x) & spread(vy, y), (F.col(f"{x}{y}") - F.col(f"s{x}") * F.col(f"s{y}") / n) / F.sqrt(vx) / F.sqrt(vy))
 
 
 def adjusted_skewness(c: Column) -> Column:

@@ -4,8 +4,8 @@ A plain window puts all rows of a key into one task. Here a key with many rows i
 the window runs inside each block, and the (few) block totals are added back as offsets. Split points are taken
 by hash, not by sampling, so a recomputed task sees the same blocks.
 
-The plain window is used only when the optimizer's size bound of the whole input says that it fits one task
-anyway (``fits_one_task``). Passing ``rows_per_block`` forces the block plan.
+There is one plan for every size: the number of blocks is the number of rows by ``rows_per_block``, so small keys
+have one block and need no offsets.
 """
 
 from __future__ import annotations
@@ -16,14 +16,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 ROWS_PER_BLOCK = 500_000
-MAX_BLOCKS = 1024
-ONE_TASK_BYTES = 64 * 1024 * 1024
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """True when the optimizer's size estimate of the whole frame, an upper bound for joins, is below 64 MB."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= ONE_TASK_BYTES
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -59,13 +51,6 @@ def ordered_positions(
     """
     following = dict(following or {})
     keys, order = list(keys), list(order)
-    if rows_per_block is None and fits_one_task(df):
-        whole = W.partitionBy(*keys).orderBy(*order)
-        return df.select(
-            "*",
-            (F.row_number().over(whole) - 1).cast("long").alias("position"),
-            *[F.lead(src).over(whole).alias(out) for out, src in following.items()],
-        )
     rows_per_block = rows_per_block or ROWS_PER_BLOCK
     value = F.struct(*order)
     pick_hash = F.xxhash64(*order)
@@ -73,7 +58,7 @@ def ordered_positions(
         df.groupBy(*keys)
         .agg(F.count("*").alias("__n"))
         .where(F.col("__n") > rows_per_block)
-        .withColumn("__nb", F.least(F.ceil(F.col("__n") / rows_per_block), F.lit(MAX_BLOCKS)).cast("long"))
+        .withColumn("__nb", F.ceil(F.col("__n") / rows_per_block).cast("long"))
     )
     splits = (
         df.select(*keys, *order)
@@ -122,7 +107,6 @@ def running_totals(
     measures: Sequence[str],
     descending: bool = False,
     rows_per_block: int | None = None,
-    blocks: int = 256,
 ) -> DataFrame:
     """Adds ``cum_<m>`` (inclusive, by ``value``) and ``all_<m>`` for each measure of one-row-per-value cells.
 
@@ -130,32 +114,21 @@ def running_totals(
     """
     keys = list(keys)
     way = F.desc if descending else F.asc
-    if rows_per_block is None and fits_one_task(cells):
-        upto = W.partitionBy(*keys).orderBy(way(value)).rowsBetween(W.unboundedPreceding, W.currentRow)
-        every = W.partitionBy(*keys)
-        return cells.select(
-            "*",
-            *[F.sum(m).over(upto).alias(f"cum_{m}") for m in measures],
-            *[F.sum(m).over(every).alias(f"all_{m}") for m in measures],
-        )
     rows_per_block = rows_per_block or ROWS_PER_BLOCK
-    stats = (
-        cells.groupBy(*keys, F.pmod(F.xxhash64(F.col(value), F.lit(17)), F.lit(blocks)).alias("__p"))
-        .agg(
-            F.min_by(value, F.xxhash64(value)).alias("__s"),
-            F.count("*").alias("__n"),
-            *[F.sum(m).alias(f"all_{m}") for m in measures],
-        )
+    sizes = cells.groupBy(*keys).agg(
+        F.ceil(F.count("*") / rows_per_block).cast("long").alias("__nb"), *[F.sum(m).alias(f"all_{m}") for m in measures]
+    )
+    sized = null_safe_join(cells, sizes, keys, "inner")
+    splits = (
+        sized.where(F.col("__nb") > 1)
+        .groupBy(*keys, F.pmod(F.xxhash64(F.col(value), F.lit(17)), F.col("__nb")).alias("__p"))
+        .agg(F.min_by(value, F.xxhash64(value)).alias("__s"))
         .groupBy(*keys)
-        .agg(
-            F.array_sort(F.collect_list("__s")).alias("__splits"),
-            F.sum("__n").alias("__n"),
-            *[F.sum(f"all_{m}").alias(f"all_{m}") for m in measures],
-        )
+        .agg(F.array_sort(F.collect_list("__s")).alias("__splits"))
     )
-    tagged = null_safe_join(cells, stats, keys, "inner").withColumn(
-        "__block",
-        F.when(F.col("__n") > rows_per_block, _block_index(F.col("__splits"), F.col(value))).otherwise(F.lit(0)),
+    found = null_safe_join(sized, splits, keys) if keys else attach_single_row(sized, splits.agg(F.first("__splits").alias("__splits")))
+    tagged = found.withColumn(
+        "__block", F.when(F.col("__splits").isNotNull(), _block_index(F.col("__splits"), F.col(value))).otherwise(F.lit(0))
     )
     per_block = tagged.groupBy(*keys, "__block").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
     across = W.partitionBy(*keys).orderBy(way("__block")).rowsBetween(W.unboundedPreceding, -1)
@@ -176,13 +149,19 @@ def running_totals(
     )
 
 
-def hash_positions(df: DataFrame, keys: Sequence[str], hash_column: str, tie: str, in_blocks: bool = False) -> DataFrame:
-    """0-based ``position`` by a hex hash inside ``keys`` (may be empty). Its first two digits are the blocks."""
+def _hash_blocks(df: DataFrame, hash_column: str, rows_per_block: int | None) -> DataFrame:
+    """Adds ``__block``: as many leading hex digits of the hash as the number of rows asks for, none for few rows."""
+    counted = df.agg(F.greatest(F.lit(1.0), F.count("*") / (rows_per_block or ROWS_PER_BLOCK)).alias("__many"))
+    digits = F.ceil(F.log(16.0, F.col("__many"))).cast("int")
+    return attach_single_row(df, counted).withColumn("__block", F.substring(hash_column, F.lit(1), digits)).drop("__many")
+
+
+def hash_positions(
+    df: DataFrame, keys: Sequence[str], hash_column: str, tie: str, rows_per_block: int | None = None
+) -> DataFrame:
+    """0-based ``position`` by a hex hash inside ``keys`` (may be empty), in blocks of the hash's first digits."""
     keys = list(keys)
-    if not in_blocks and fits_one_task(df):
-        whole = W.partitionBy(*keys).orderBy(hash_column, tie)
-        return df.withColumn("position", (F.row_number().over(whole) - 1).cast("long"))
-    tagged = df.withColumn("__block", F.substring(hash_column, 1, 2))
+    tagged = _hash_blocks(df, hash_column, rows_per_block)
     local = (F.row_number().over(W.partitionBy(*keys, "__block").orderBy(hash_column, tie)) - 1).cast("long")
     across = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -196,11 +175,11 @@ def hash_positions(df: DataFrame, keys: Sequence[str], hash_column: str, tie: st
     )
 
 
-def hash_running_total(df: DataFrame, measure: str, hash_column: str, tie: str) -> DataFrame:
+def hash_running_total(df: DataFrame, measure: str, hash_column: str, tie: str, rows_per_block: int | None = None) -> DataFrame:
     """Adds ``running``: sum of ``measure`` over all rows up to this one in hash order."""
-    tagged = df.withColumn("__block", F.substring(hash_column, 1, 2))
+    tagged = _hash_blocks(df, hash_column, rows_per_block)
     inside = W.partitionBy("__block").orderBy(hash_column, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    across = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)  # at most 256 rows
+    across = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)  # one row per block
     offsets = (
         tagged.groupBy("__block")
         .agg(F.sum(measure).alias("__t"))

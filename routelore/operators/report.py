@@ -15,9 +15,6 @@ from routelore.schemas import WEIGHTS
 
 # Display names and the column choice of each table.
 MODEL_NAMES = {
-    "xgboost": "XGBoost",
-    "lightgbm": "LightGBM",
-    "catboost": "CatBoost",
     "random_forest": "Random Forest",
     "logistic_regression": "Logistic Regression",
     "gradient_boosted_trees": "Gradient Boosted Trees",

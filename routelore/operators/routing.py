@@ -7,7 +7,6 @@ Members are ``pairwise.attributed_sequence`` rows of admitted routes; edges hold
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,11 +16,11 @@ from routelore.functions import scalars as S
 from routelore.operators.joins import choose_source
 from routelore.operators.ordering import null_safe_join
 from routelore.schemas import WEIGHTS
-from routelore.sources.staging import stage_table
 
 NEAREST, PREFERENCE, HYBRID = "travel_time_nearest_neighbor", "preference_greedy", "hybrid_greedy"
 BEST_LABEL = "hybrid_greedy_best_weight"
-MAX_STOPS = 1000
+#: Weight plans of a route that one task walks together.
+PLANS_AT_ONCE = 50
 STEP_SCHEMA = (
     "route_id string, method string, weight_id string, position long, stop_id string, actual_position long, "
     "candidate_count long, travel_time double, probability double, cost double"
@@ -203,16 +202,16 @@ def _masked_scale(values: np.ndarray, use: np.ndarray, missing: float) -> np.nda
     return np.where(use, scaled, missing)
 
 
-def _greedy_batch(m: pd.DataFrame, travel: np.ndarray, plans: Sequence[Plan], scorer) -> dict[str, np.ndarray]:
-    """All plans of one route at once: arrays (plan, step) of chosen stops and their figures."""
+def _greedy_batch(m: pd.DataFrame, edges: tuple[np.ndarray, ...], plans: Sequence[Plan], scorer) -> dict[str, np.ndarray]:
+    """Some plans of one route at once: arrays (plan, step) of chosen stops and their figures.
+
+    ``edges``: where each stop's edges begin, the stops they lead to, and their times. Memory is plans x stops.
+    """
+    begin, to, time = edges
     n, w = len(m), len(plans)
     zone = m["zone"].to_numpy()
     codes = pd.factorize(zone)[0]
     unknown = zone == S.UNKNOWN_ZONE
-    missing = unknown[:, None] | unknown[None, :]
-    same = ~missing & (codes[:, None] == codes[None, :])
-    penalties = np.where(missing, 0.5, (~missing & ~same).astype(float))
-    same, changed, missing = same.astype(float), (~missing & ~same).astype(float), missing.astype(float)
     arrays = {c: m[c].to_numpy(float) for c in STOP_FEATURES}
     station, dropoff = m["is_station"].to_numpy(float), m["is_dropoff"].to_numpy(float)
     load = (
@@ -233,13 +232,20 @@ def _greedy_batch(m: pd.DataFrame, travel: np.ndarray, plans: Sequence[Plan], sc
     out = {k: np.full((w, n - 1), np.nan) for k in ("travel", "probability", "cost")}
     picked = np.zeros((w, n - 1), int)
     for step in range(n - 1):
-        tt = travel[current]
+        tt = np.full((w, n), np.nan)
+        for row, stop in enumerate(current):
+            own = slice(begin[stop], begin[stop + 1])
+            tt[row, to[own]] = time[own]
         known = np.isfinite(tt)
+        missing = unknown[current][:, None] | unknown[None, :]
+        same = ~missing & (codes[current][:, None] == codes[None, :])
+        changed = ~missing & ~same
+        penalty = np.where(missing, 0.5, changed.astype(float))
         step_features = {
             "travel_time_ij": lambda: np.where(known, tt, 0.0),
-            "same_zone": lambda: same[current],
-            "zone_changed": lambda: changed[current],
-            "zone_missing_in_pair": lambda: missing[current],
+            "same_zone": lambda: same.astype(float),
+            "zone_changed": lambda: changed.astype(float),
+            "zone_missing_in_pair": lambda: missing.astype(float),
             "number_of_stops": lambda: np.full((w, 1), n_stops),
             "route_progress": lambda: np.full((w, 1), step / max(n_stops - 1, 1)),
             "remaining_stop_count": lambda: np.full((w, 1), float(n - 1 - step)),
@@ -250,7 +256,7 @@ def _greedy_batch(m: pd.DataFrame, travel: np.ndarray, plans: Sequence[Plan], sc
         p = np.broadcast_to(scorer.probability(features), (w, n))
         p = np.clip(np.nan_to_num(p, nan=0.0, posinf=1.0, neginf=0.0), 0.0, 1.0)
         parts = (
-            _masked_scale(tt, free & known, 1.0), 1.0 - p, penalties[current], np.broadcast_to(risk, (w, n)),
+            _masked_scale(tt, free & known, 1.0), 1.0 - p, penalty, np.broadcast_to(risk, (w, n)),
             _masked_scale(np.broadcast_to(load, (w, n)), free, 0.0),
         )
         cost = weights[:, 0:1] * parts[0]
@@ -268,23 +274,25 @@ def _greedy_batch(m: pd.DataFrame, travel: np.ndarray, plans: Sequence[Plan], sc
     return {"picked": picked, **out}
 
 
-def _greedy_route(plans: Sequence[Plan], scorer, cells: int = 2_000_000):
-    """Function for one route's (members, edges) frames: its steps under every plan."""
+def _greedy_route(batches: Sequence[Sequence[Plan]], scorer, cells: int = 2_000_000):
+    """Function for the (members, edges) frames of one route and batch of plans: its steps under every plan of the batch."""
 
-    def run(m: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, m: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         m = m.sort_values("position", kind="stable").reset_index(drop=True)
         n = len(m)
         at = pd.Series(np.arange(n), index=m["stop_id"])
-        travel = np.full((n, n), np.nan)
-        if len(e):
-            e = e[e["from_stop"].isin(at.index) & e["to_stop"].isin(at.index)]
-            travel[at.loc[e["from_stop"]].to_numpy(), at.loc[e["to_stop"]].to_numpy()] = e["travel_time"].to_numpy(float)
+        e = e[e["from_stop"].isin(at.index) & e["to_stop"].isin(at.index)]
+        source = at.reindex(e["from_stop"]).to_numpy(int)
+        order = np.argsort(source, kind="stable")
+        begin = np.searchsorted(source[order], np.arange(n + 1))
+        edges = (begin, at.reindex(e["to_stop"]).to_numpy(int)[order], e["travel_time"].to_numpy(float)[order])
         stop_ids = m["stop_id"].to_numpy()
+        plans = batches[key[1]]
         parts = []
-        size = max(1, cells // n)
-        for start in range(0, len(plans), size):
+        size = max(1, cells // max(n, 1))
+        for start in range(0, len(plans) if n else 0, size):
             batch = plans[start : start + size]
-            got = _greedy_batch(m, travel, batch, scorer)
+            got = _greedy_batch(m, edges, batch, scorer)
             w = len(batch)
             picked = np.concatenate([np.zeros((w, 1), int), got["picked"]], axis=1)
 
@@ -307,88 +315,32 @@ def _greedy_route(plans: Sequence[Plan], scorer, cells: int = 2_000_000):
                     }
                 )
             )
-        return pd.concat(parts, ignore_index=True)
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c.split()[0]: [] for c in STEP_SCHEMA.split(", ")})
 
     return run
 
 
 def generate_routes(
-    members: DataFrame, edges: DataFrame, plans: Sequence[Plan], scorer, max_stops: int = MAX_STOPS
+    members: DataFrame, edges: DataFrame, plans: Sequence[Plan], scorer, plans_at_once: int = PLANS_AT_ONCE
 ) -> DataFrame:
     """Every step of the greedy route of every (route, plan); position 0 is the given start.
 
-    Choosing the next stop depends on all earlier choices, so a route is walked step by step: inside one task for
-    routes up to ``max_stops`` (its payload is then bounded), all plans together; longer routes take
-    ``generate_by_steps``, where every step is a distributed job over all of them.
+    Choosing the next stop depends on all earlier choices, so a route is walked in one task, whatever its length, with
+    its edges as a sparse index. Work is dealt by (route, batch of plans), so no task holds the whole weight grid.
     """
     needed = ["route_id", "position", "stop_id", "zone", "is_station", "is_dropoff", "number_of_stops", *STOP_FEATURES]
-    fits = F.col("sequence_length") <= max_stops
-    small = members.where(fits).select(*needed)
-    small_edges = edges.join(members.where(fits & (F.col("position") == 0)).select("route_id"), "route_id", "left_semi")
-    run = _greedy_route([(a, b, tuple(c)) for a, b, c in plans], scorer)
+    own = [(a, b, tuple(c)) for a, b, c in plans]
+    batches = [own[i : i + plans_at_once] for i in range(0, len(own), plans_at_once)]
+    run = _greedy_route(batches, scorer)
     # Walking is heavy per row, so both sides keep a full set of partitions instead of being coalesced by their size.
     tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    left, right = (x.repartition(tasks, "route_id").groupBy("route_id") for x in (small, small_edges))
-    walked = left.cogroup(right).applyInPandas(run, STEP_SCHEMA)
-    walked = S.sanitize(walked)
-    large = members.where(~fits)
-    longest = large.agg(F.max("sequence_length")).first()[0]
-    if longest is None:
-        return walked
-    large_edges = edges.join(large.where(F.col("position") == 0).select("route_id"), "route_id", "left_semi")
-    return walked.unionByName(generate_by_steps(large, large_edges, plans, scorer, int(longest)))
-
-
-def generate_by_steps(
-    members: DataFrame, edges: DataFrame, plans: Sequence[Plan], scorer, longest: int, every: int = 1
-) -> DataFrame:
-    """Same result as ``generate_routes``, one distributed job per step; state is written to a stage table each step."""
-    keys = ["route_id", "method", "weight_id"]
-    spark = members.sparkSession
-    plan_rows = spark.createDataFrame(
-        [(a, b, *map(float, c)) for a, b, c in plans], f"method string, weight_id string, {', '.join(f'{w} double' for w in WEIGHTS)}"
+    dealt = F.explode(F.array(*[F.lit(i) for i in range(len(batches))])).alias("batch")
+    wanted = edges.join(members.where(F.col("position") == 0).select("route_id"), "route_id", "left_semi")
+    left, right = (
+        x.repartition(tasks, "route_id", "batch").groupBy("route_id", "batch")
+        for x in (members.select(*needed, dealt), wanted.select("route_id", "from_stop", "to_stop", "travel_time", dealt))
     )
-    every_plan = F.array(*[F.struct(F.lit(a).alias("method"), F.lit(b).alias("weight_id")) for a, b, _ in plans])
-    planned = members.select("*", F.explode(every_plan).alias("p")).select(*members.columns, "p.*")
-    # The plan list is a literal, so repeating the members per plan needs no join.
-    unvisited = stage_table(planned.where(F.col("position") > 0), "unvisited")
-    current = planned.where(F.col("position") == 0).select(
-        *keys,
-        F.lit(0).cast("long").alias("step"),
-        F.col("stop_id").alias("current_stop"),
-        F.col("zone").alias("current_zone"),
-        F.col("is_station").alias("current_is_station"),
-        F.col("is_dropoff").alias("current_is_dropoff"),
-    )
-    columns = [f.split()[0] for f in STEP_SCHEMA.split(", ")]
-    null = F.lit(None).cast("double")
-    done = planned.where(F.col("position") == 0).select(
-        *keys, F.lit(0).cast("long").alias("position"), "stop_id", F.lit(0).cast("long").alias("actual_position"),
-        F.col("sequence_length").alias("candidate_count"), null.alias("travel_time"), null.alias("probability"), null.alias("cost"),
-    )
-    parts = [done.select(*columns)]
-    for step in range(longest - 1):
-        candidates = decision_candidates(current, unvisited, edges, keys).join(F.broadcast(plan_rows), ["method", "weight_id"])
-        costed = with_costs(candidates, scorer.column(), [F.col(w) for w in WEIGHTS])
-        chosen = stage_table(choose_next(costed, keys, F.col("method")), "chosen")
-        parts.append(
-            chosen.select(
-                *keys, F.lit(step + 1).cast("long").alias("position"), F.col("candidate_stop").alias("stop_id"),
-                "actual_position", "candidate_count", "travel_time", "probability", F.col("hybrid_cost").alias("cost"),
-            ).select(*columns)
-        )
-        taken = chosen.select(*keys, F.col("candidate_stop").alias("stop_id"))
-        current = unvisited.join(taken, [*keys, "stop_id"]).select(
-            *keys,
-            F.lit(step + 1).cast("long").alias("step"),
-            F.col("stop_id").alias("current_stop"),
-            F.col("zone").alias("current_zone"),
-            F.col("is_station").alias("current_is_station"),
-            F.col("is_dropoff").alias("current_is_dropoff"),
-        )
-        current = stage_table(current, "current")
-        unvisited = stage_table(unvisited.join(taken, [*keys, "stop_id"], "left_anti"), "unvisited")
-    return reduce(DataFrame.unionByName, parts)
+    return S.sanitize(left.cogroup(right).applyInPandas(run, STEP_SCHEMA))
 
 
 # ---- evaluation -------------------------------------------------------------------------------------------------
@@ -424,50 +376,23 @@ def longest_increasing(values: np.ndarray) -> int:
     return len(tails)
 
 
-def lcs_lengths(matched: DataFrame, keys: Sequence[str], max_stops: int = MAX_STOPS, block: int = 100_000) -> DataFrame:
+def lcs_lengths(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Longest common subsequence of two orders of the same distinct stops, per key.
 
-    ``matched``: keys, position (generated), actual_position. It equals the longest increasing run of actual positions.
-    Sequences up to ``max_stops`` are short arrays handled by a small Arrow function; longer ones are peeled: the
-    prefix minima form one layer, and the number of layers is the length.
+    ``matched``: keys, position (generated), actual_position. It equals the longest increasing run of actual positions,
+    found in one pass over a sequence's positions (one number per stop) by a small Arrow function, whatever its length.
     """
     keys = list(keys)
-    sizes = matched.groupBy(*keys).agg(F.count("*").alias("__n"))
-    short = null_safe_join(matched, sizes.where(F.col("__n") <= max_stops), keys, "inner")
-    arrays = short.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "actual_position"))).alias("__p"))
+    arrays = matched.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "actual_position"))).alias("__p"))
 
     @F.pandas_udf("long")
     def length(rows: pd.Series) -> pd.Series:
         return rows.map(longest_increasing)
 
-    small = arrays.select(*keys, length(F.transform("__p", lambda x: x["actual_position"])).alias("lcs_length"))
-    if sizes.where(F.col("__n") > max_stops).isEmpty():
-        return small
-    rest = null_safe_join(matched, sizes.where(F.col("__n") > max_stops), keys, "inner").select(*keys, "position", "actual_position")
-    return small.unionByName(_peel_layers(rest, keys, block))
-
-
-def _peel_layers(rows: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    rest = stage_table(rows, "layers")
-    found = []
-    while not rest.isEmpty():
-        blocked = rest.withColumn("__b", F.floor(F.col("position") / block))
-        inside = W.partitionBy(*keys, "__b").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
-        across = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-        lows = blocked.groupBy(*keys, "__b").agg(F.min("actual_position").alias("__m"))
-        before = lows.select(*keys, "__b", F.min("__m").over(across).alias("__before"))
-        marked = blocked.withColumn("__inside", F.min("actual_position").over(inside)).join(before, [*keys, "__b"])
-        lowest = F.least("__inside", "__before")  # least skips nulls
-        marked = marked.withColumn("__record", lowest.isNull() | (F.col("actual_position") < lowest))
-        found.append(rest.select(*keys).distinct())
-        rest = stage_table(marked.where(~F.col("__record")).select(*rest.columns), "layers")
-    layers = reduce(DataFrame.unionByName, found)
-    return layers.groupBy(*keys).agg(F.count("*").alias("lcs_length"))
-
-
-def order_agreement(generated: DataFrame, actual: DataFrame, keys: Sequence[str], max_stops: int = MAX_STOPS) -> DataFrame:
+    return arrays.select(*keys, length(F.transform("__p", lambda x: x["actual_position"])).alias("lcs_length"))
+
+
+def order_agreement(generated: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per generated sequence: lcs_similarity, position_match_ratio and route_valid against the driven sequence."""
     keys = list(keys)
     known = actual.select("route_id", "stop_id", F.col("position").alias("actual_position"))
@@ -482,7 +407,7 @@ def order_agreement(generated: DataFrame, actual: DataFrame, keys: Sequence[str]
         )
         .join(lengths, "route_id")
     )
-    lcs = lcs_lengths(matched.where(F.col("actual_position").isNotNull()).select(*keys, "position", "actual_position"), keys, max_stops)
+    lcs = lcs_lengths(matched.where(F.col("actual_position").isNotNull()).select(*keys, "position", "actual_position"), keys)
     n = F.col("stop_count")
     return null_safe_join(per, lcs, keys, "left").select(
         *keys,

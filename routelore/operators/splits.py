@@ -40,7 +40,7 @@ def modelling_routes(complete: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def stratified_split(
-    routes: DataFrame, ratios: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 42, in_blocks: bool = False
+    routes: DataFrame, ratios: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 42, rows_per_block: int | None = None
 ) -> DataFrame:
     """route_id, route_score, split: hash order inside each score, then moved to meet the overall targets exactly.
 
@@ -52,7 +52,7 @@ def stratified_split(
     sizes = hashed.groupBy("route_score").agg(F.count("*").alias("__n"))
     shares = largest_remainder(F.col("__n"), ratios)
     bounds = sizes.select("route_score", shares[0].alias("__a"), (shares[0] + shares[1]).alias("__b"))
-    placed = hash_positions(hashed, ["route_score"], "__h", "route_id", in_blocks).join(bounds, "route_score")
+    placed = hash_positions(hashed, ["route_score"], "__h", "route_id", rows_per_block).join(bounds, "route_score")
     first = placed.select(
         "route_id",
         "route_score",
@@ -62,15 +62,15 @@ def stratified_split(
         .otherwise(SPLITS[2])
         .alias("split"),
     )
-    return _rebalance(first, ratios, in_blocks)
+    return _rebalance(first, ratios, rows_per_block)
 
 
-def _rebalance(first: DataFrame, ratios: Sequence[float], in_blocks: bool) -> DataFrame:
+def _rebalance(first: DataFrame, ratios: Sequence[float], rows_per_block: int | None) -> DataFrame:
     """Moves the highest-hash routes of overfull splits to underfull ones, both in split order."""
     counts = first.agg(F.count("*").alias("__all"), *[F.count_if(F.col("split") == s).alias(f"__c_{s}") for s in SPLITS])
     targets = largest_remainder(F.col("__all"), ratios)
     plan = counts.select(*counts.columns, *[t.alias(f"__t_{s}") for s, t in zip(SPLITS, targets)])
-    ranked = attach_single_row(hash_positions(first, ["split"], "__h", "route_id", in_blocks), plan)
+    ranked = attach_single_row(hash_positions(first, ["split"], "__h", "route_id", rows_per_block), plan)
     keep = (
         F.when(F.col("split") == SPLITS[0], F.col(f"__t_{SPLITS[0]}"))
         .when(F.col("split") == SPLITS[1], F.col(f"__t_{SPLITS[1]}"))

@@ -14,6 +14,7 @@ from routelore.operators import (
     ablation,
     cleaning,
     coverage,
+    distribution,
     eda,
     features,
     metrics,
@@ -81,6 +82,8 @@ def check_quality(t: Tables) -> None:
     t.write("unusable_routes_detail", quality.unusable_routes(report_rows, routes))
     t.write("route_level_outlier_summary", quality.outlier_summary(routes, quality.ROUTE_OUTLIER_COLUMNS))
     t.write("stop_package_outlier_summary", quality.outlier_summary(packages, quality.PACKAGE_OUTLIER_COLUMNS, True))
+    t.write("route_outlier_flags", quality.with_outlier_flags(routes, quality.ROUTE_OUTLIER_COLUMNS))
+    t.write("stop_package_outlier_flags", quality.with_outlier_flags(packages, quality.PACKAGE_OUTLIER_COLUMNS))
     station = t.write("station_sequence_check", quality.station_sequence_check(routes, report_rows, moves))
     dropoff = t.write("dropoff_package_check", quality.dropoff_package_check(stops, packages))
     t.write("feature_reliability_summary", quality.feature_reliability(missing, stops, packages))
@@ -90,10 +93,14 @@ def check_quality(t: Tables) -> None:
     t.write("travel_time_integrity_summary", coverage.multi_source_integrity(lookup, detail))
     t.write("travel_time_source_transition_summary", coverage.source_transition_summary(complete))
     t.write("travel_time_complete_routes", coverage.complete_routes(complete))
-    t.write(
+    single = coverage.single_source_detail(moves, edges.where(F.col("source") == "training_build"))
+    t.write("single_source_completeness", coverage.single_source_completeness(single))
+    t.write("single_source_summary", coverage.single_source_summary(single))
+    ready = t.write(
         "training_ready_routes",
         quality.training_ready_routes(routes, report_rows, station, complete, routes, dropoff),
     )
+    t.write("quality_closing_summary", quality.quality_closing_summary(missing, station, dropoff, ready, detail))
 
 
 def explore(t: Tables) -> None:
@@ -107,6 +114,22 @@ def explore(t: Tables) -> None:
     t.write("route_score_feature_comparison", eda.score_feature_comparison(frame))
     t.write("package_service_position_summary", eda.burden_stats_by_bin(frame))
     t.write("feature_justification_summary", eda.feature_justification(frame))
+    report_rows, moves = t.read("data_quality_report"), t.read("actual_transitions")
+    t.write("route_score_distribution", eda.route_score_distribution(routes))
+    t.write("training_flag_summary", eda.training_flag_summary(report_rows))
+    t.write("zone_missing_by_route_score", eda.zone_missing_summary(stops, routes))
+    t.write("package_feature_summary", eda.package_feature_summary(packages))
+    t.write("time_window_distribution", eda.time_window_summary(packages))
+    t.write("progress_quartiles_by_time_window", eda.progress_quartiles_by_time_window(frame))
+    t.write("time_window_rate_by_progress_bin", eda.time_window_rate_by_bin(frame))
+    t.write("travel_time_by_same_zone", eda.travel_time_by_same_zone(frame))
+    t.write("route_size_summary", distribution.describe(routes, ["number_of_stops"]))
+    t.write("route_size_histogram", distribution.histogram(routes, "number_of_stops", 30))
+    t.write("travel_time_histogram", distribution.histogram(frame, "travel_time_ij", 40))
+    t.write("travel_time_box_by_route_score", distribution.five_numbers(frame, ["route_score"], "travel_time_ij"))
+    names = eda.NUMERIC_FEATURES
+    t.write("feature_correlations", distribution.correlations(frame, [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]))
+    t.write("eda_closing_summary", eda.eda_closing_summary(routes, stops, packages, moves, report_rows, frame))
 
 
 def split(t: Tables, ratios: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 42, complete_only: bool = True) -> None:
@@ -119,6 +142,10 @@ def split(t: Tables, ratios: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 4
     if found:
         raise ValueError(f"invalid split: {found}")
     t.write("split_summary", splitting.split_summary(out))
+    t.write("split_overlap_check", eda.split_overlap(out))
+    t.write("route_score_by_split", eda.score_by_split(out))
+    known = {n: t.read(n) for n in ("actual_transitions", "stop_package_features", "travel_time_complete_routes")}
+    t.write("split_sample_coverage", eda.sample_coverage(out, known))
 
 
 def sample(t: Tables, negatives: int = 5, seed: int = 42, generation_timestamp: str = "") -> None:
@@ -159,6 +186,8 @@ def train(t: Tables, names: Sequence[str] = models.MODEL_NAMES, seed: int = 42,
         "best_model_summary",
         metrics.best_model_summary(validation, test, used, pairwise.training_data_summary(rows), seed),
     )
+    # Coefficients and tree splits refer to features by place, so scoring must use this very list.
+    t.write("model_features", t.spark.createDataFrame(list(enumerate(used)), "place int, feature string").coalesce(1))
     for name, model in fitted.items():
         model.write().overwrite().save(t.path(f"models/{name}"))
     importances = [models.feature_importance(m, n, used, t.spark) for n, m in fitted.items()]
@@ -171,10 +200,14 @@ def train(t: Tables, names: Sequence[str] = models.MODEL_NAMES, seed: int = 42,
     return best
 
 
-def load_scorer(t: Tables, name: str, used: Sequence[str] = models.FEATURE_COLUMNS):
+def load_scorer(t: Tables, name: str):
+    """Scorer of a saved model over the features it was trained on, in their order."""
     from pyspark.ml import PipelineModel
 
-    return from_pipeline(PipelineModel.load(t.path(f"models/{name}")), models.serving_columns(used))
+    used = [r["feature"] for r in t.read("model_features").orderBy("place").collect()]  # as many as the model has
+    if models.serving_columns(used) != used:
+        raise ValueError("the saved feature list has blanks, repeats or the route score")
+    return from_pipeline(PipelineModel.load(t.path(f"models/{name}")), used)
 
 
 def _admit(t: Tables, split_names: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -220,6 +253,7 @@ def generate(t: Tables, scorer, split_names: Sequence[str] = ("validation", "tes
     ).join(header, "route_id")
     rows = t.write("route_metrics", rows)
     t.write("method_summary", routing.method_summary(rows, ["split", "method"]))
+    t.write("baseline_route_metrics", weights.baseline_metrics(rows, t.read("weight_route_metrics"), t.read("best_weight_summary")))
 
 
 def compare(t: Tables, iterations: int = 2000, alpha: float = 0.05, seed: int = 42) -> None:
@@ -254,5 +288,15 @@ def final_tables(t: Tables, selected_model: str) -> DataFrame:
         "table_09_subgroup_route_progress": report.subgroup_table(t.read("subgroup_metrics"), "route_progress_bin"),
         "table_10_top_feature_importance": report.importance_table(t.read("feature_importance"), selected_model),
     }
+    figures = {
+        "figure_model_comparison": report.model_pivot(tables["table_01_model_comparison"]),
+        "figure_best_weights": report.weight_bars(tables["table_02_best_hybrid_weights"]),
+        "figure_tradeoff": report.tradeoff_points(tables["table_03_route_generation_summary"]),
+        "figure_zone_changes": report.zone_change_bars(tables["table_03_route_generation_summary"]),
+        "figure_component_families": report.family_bars(t.read("component_family_summary")),
+        "figure_route_progress": report.progress_line(tables["table_09_subgroup_route_progress"]),
+    }
+    for name, df in figures.items():
+        t.write(name, df)
     written = {n: t.write(n, df) for n, df in tables.items()}
     return t.write("manifest", report.manifest(written))

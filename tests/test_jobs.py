@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation, functions as F
 
 from routelore.plans import jobs
 from routelore.sources.nested import Part
@@ -46,6 +47,12 @@ def test_all_jobs(spark, tmp_path):
     summary = {r["split"]: r for r in t.read("pairwise_sample_summary").collect()}
     assert summary["train"]["routes_processed"] == 28
     assert sum(r["skipped_positive_missing_travel_time"] for r in summary.values()) == 0
+    for name in ("route_outlier_flags", "single_source_summary", "quality_closing_summary", "training_flag_summary", "zone_missing_by_route_score", "route_size_histogram",
+                 "travel_time_box_by_route_score", "feature_correlations", "eda_closing_summary", "split_overlap_check", "split_sample_coverage"):
+        assert t.read(name).count() > 0, name
+    seen = Observation("rows")  # a query observed by the user must not keep models from being sent to tasks
+    t.read("routes_summary").observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 40
     best = jobs.train(t, ["logistic_regression", "gradient_boosted_trees"], trees=5, depth=3)
     for name in (best, "gradient_boosted_trees"):
         scorer = jobs.load_scorer(t, name)
@@ -57,7 +64,25 @@ def test_all_jobs(spark, tmp_path):
     jobs.compare(t, iterations=200)
     manifest = jobs.final_tables(t, best)
     assert manifest.count() == 10
+    assert t.read("figure_tradeoff").count() == 3 and t.read("baseline_route_metrics").count() > 0
     with pytest.raises(FileExistsError):
         jobs.split(t)
     with pytest.raises(FileNotFoundError):
         jobs.Tables(spark, str(tmp_path / "none")).read("route_splits")
+
+
+def test_scorer_uses_the_saved_features(spark, tmp_path):
+    from routelore.operators import models
+
+    rng = np.random.default_rng(1)
+    rows = [("train" if i % 3 else "test", float(rng.normal()), float(i % 2), float(rng.normal()), i % 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "split string, travel_time_ij double, same_zone double, route_progress double, label int")
+    used = models.feature_columns([df])
+    t = jobs.Tables(spark, str(tmp_path))
+    model = models.train("logistic_regression", df, used)
+    model.write().save(t.path("models/logistic_regression"))
+    t.write("model_features", spark.createDataFrame(list(enumerate(used)), "place int, feature string"))
+    scorer = jobs.load_scorer(t, "logistic_regression")
+    got = scorer.probability({f: np.array(df.toPandas()[f]) for f in used})
+    want = models.score(model, df, used).toPandas()["predicted_probability"]
+    assert np.allclose(np.sort(got), np.sort(want), atol=1e-5)

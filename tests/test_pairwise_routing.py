@@ -107,11 +107,11 @@ SCORER = LogitScorer(0.2, {"travel_time_ij": -0.05, "same_zone": 0.7, "route_pro
 PLANS = [(G.NEAREST, "", (0,) * 5), (G.PREFERENCE, "", (0,) * 5), (G.HYBRID, "w1", (0.35, 0.4, 0.15, 0.05, 0.05)), (G.HYBRID, "w2", (0.7, 0.15, 0.15, 0, 0))]
 
 
-def test_long_routes_walk_the_same_way(spark):
+def test_plan_batches_walk_the_same_way(spark):
     members, edges = members_frame(spark)
     keys = ["route_id", "method", "weight_id", "position"]
     short = G.generate_routes(members, edges, PLANS, SCORER).toPandas().sort_values(keys).reset_index(drop=True)
-    long = G.generate_routes(members, edges, PLANS, SCORER, max_stops=5).toPandas().sort_values(keys).reset_index(drop=True)
+    long = G.generate_routes(members, edges, PLANS, SCORER, plans_at_once=1).toPandas().sort_values(keys).reset_index(drop=True)
     assert (short[[*keys, "stop_id", "candidate_count"]] == long[[*keys, "stop_id", "candidate_count"]]).all().all()
     assert np.allclose(short["cost"].fillna(-1), long["cost"].fillna(-1))
     for _key, part in short.groupby(keys[:3]):
@@ -129,14 +129,15 @@ def brute_lis(a):
     return max(len(c) for k in range(len(a) + 1) for c in itertools.combinations(a, k) if list(c) == sorted(set(c)))
 
 
-def test_lcs_by_array_and_by_layers(spark):
+def test_lcs_lengths(spark):
     rng = np.random.default_rng(1)
     perms = {f"k{i}": rng.permutation(9) for i in range(6)}
     rows = [(k, i, int(v)) for k, p in perms.items() for i, v in enumerate(p)]
     df = spark.createDataFrame(rows, "key string, position long, actual_position long")
     want = {k: brute_lis(list(map(int, p))) for k, p in perms.items()}
     assert {r[0]: r[1] for r in G.lcs_lengths(df, ["key"]).collect()} == want
-    assert {r[0]: r[1] for r in G.lcs_lengths(df, ["key"], max_stops=3, block=4).collect()} == want
+    long = spark.range(5000).select(F.lit("k").alias("key"), F.col("id").alias("position"), F.col("id").alias("actual_position"))
+    assert G.lcs_lengths(long, ["key"]).first()["lcs_length"] == 5000
 
 
 def test_route_metrics_of_the_driven_order(spark):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routelore.operators import distribution as D
+from routelore.operators import joins as J
 from routelore.operators import ordering as O
 from routelore.operators import splits as SP
 
@@ -57,6 +58,10 @@ def test_ranks_and_correlation(skewed):
     row = D.correlations(df, [("x", "id")]).first()
     assert row["pearson"] == pytest.approx(pdf["x"].corr(pdf["id"]))
     assert row["spearman"] == pytest.approx(pdf["x"].rank().corr(pdf["id"].rank()))
+    shifted = df.select((F.col("x") + 1e9).alias("x"), (F.col("id") * 0.001 + 1e9).alias("id"), F.lit(1e9 + 0.1).alias("same"))
+    far, flat = D.correlations(shifted, [("x", "id"), ("x", "same")]).orderBy("y_name").collect()
+    big = shifted.toPandas()
+    assert far["pearson"] == pytest.approx((big["x"] - 1e9).corr(big["id"] - 1e9), rel=1e-9) and flat["pearson"] is None
     few = D.correlations(df.limit(2), [("x", "id")]).first()
     assert few["pearson"] is None and few["n"] == 2
 
@@ -65,12 +70,19 @@ def test_hash_order_in_blocks(skewed):
     pdf, df = skewed
     hashed = df.withColumn("h", F.md5(F.col("id").cast("string")))
     plain = O.hash_positions(hashed, ["k"], "h", "id").toPandas().set_index("id")["position"]
-    blocks = O.hash_positions(hashed, ["k"], "h", "id", in_blocks=True).toPandas().set_index("id")["position"]
+    blocks = O.hash_positions(hashed, ["k"], "h", "id", rows_per_block=10).toPandas().set_index("id")["position"]
     assert (plain.sort_index() == blocks.sort_index()).all()
     running = O.hash_running_total(hashed, "id", "h", "id").toPandas().sort_values("h")
     assert (running["running"] == running["id"].cumsum()).all()
 
 
+def test_repeated_stops_do_not_multiply_transitions(spark):
+    transitions = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c")], "route_id string, from_stop string, to_stop string")
+    stops = spark.createDataFrame([("r", "a", "z1", "Station"), ("r", "a", "z1", "Station"), ("r", "b", None, "Dropoff"), ("r", "b", "z2", "Dropoff")], "route_id string, stop_id string, zone_id string, type string")
+    rows = J.with_stop_roles(transitions, stops).orderBy("from_stop").collect()
+    assert [(r["from_zone"], r["to_zone"], r["to_type"]) for r in rows] == [("z1", "z2", "Dropoff"), ("z2", None, None)]
+
+
 @pytest.mark.parametrize("n", [3, 7, 20, 101])
 def test_split_meets_targets_and_is_complete(spark, n):
     routes = spark.range(n).select(
@@ -84,5 +96,5 @@ def test_split_meets_targets_and_is_complete(spark, n):
     for _rest, i in sorted(((x - int(x), i) for i, x in enumerate(raw)), reverse=True)[: n - sum(want)]:
         want[i] += 1
     assert [counts.get(s, 0) for s in SP.SPLITS] == want
-    again = SP.stratified_split(routes.repartition(5), in_blocks=True)
+    again = SP.stratified_split(routes.repartition(5), rows_per_block=2)
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in again.collect()}
