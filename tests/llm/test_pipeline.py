@@ -77,3 +77,35 @@ def test_run(spark, documents, tmp_path):
 
 def test_words_are_the_contracts():
     assert words_of("a\x1cb\tc\x0bd") == ["a\x1cb", "c", "d"] and repetition.measure(["a\x1cb\tc\x0bd"], 8)[0][0] == 3
+
+
+def five_word_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def test_near_dedup_against_brute_force_jaccard(spark, documents):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows = [[rng.choice(vocabulary) for _ in range(rng.randint(60, 300))] for _ in range(25)]
+    for own in rows[:20]:  # copies with 1 to 8 words changed, chains of them, and a large family
+        for k in range(1, 9):
+            other = list(own)
+            for i in rng.sample(range(len(own)), k):
+                other[i] = rng.choice(vocabulary)
+            rows.append(other)
+    rows += [[*rows[0], f"tail{i}"] for i in range(40)]
+    rng.shuffle(rows)
+    texts = [" ".join(w) for w in rows] + ["", "one two", "One  two"]
+    sets = [five_word_set(t) for t in texts]
+    root, middle = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            middle += 0.8 <= alike < 0.95
+            if alike >= corpus_pipeline.SIMILARITY and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert middle > 30 and len(set(root)) > 30
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, documents(list(enumerate(texts))), None)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
