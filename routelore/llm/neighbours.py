@@ -4,7 +4,8 @@ A vector of length 1 is projected on Gaussian directions, shifted, and cut into
 bucket, and there are several tables. A query visits, beside its own bucket, those whose cells are one off where that is most
 likely: perturbations in rising order of the summed squared distances to the cell borders that are crossed. Queries and vectors
 meet by an equality shuffle on (table, bucket, block); inside, scores are products of matrices, and each query leaves with its
-best few only. Equal vectors are one vector with their smallest ids, and large buckets are cut into blocks that every query of
+best few only. Queries that find too few, or whose last neighbour is so far that hashing may miss nearer ones, then meet every
+vector of their size exactly, in blocks. Equal vectors are one vector with their smallest ids, and large buckets are cut into blocks that every query of
 the bucket visits, so nothing is dropped and no pair list is written.
 """
 
@@ -24,6 +25,8 @@ from routelore.sources.staging import stage_table
 TABLES, HASHES, WIDTH, PROBES = 8, 8, 2.0, 128
 BLOCK = 4096
 TOP = 5
+#: A query whose last found score is below this meets all vectors: at lower cosines the probes reach too few.
+SURE = 0.4
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -118,7 +121,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
 
     Score is the cosine of the original vectors in double precision; ties go to the smaller vec_id, and the query's own id is no
     candidate (nor are rows repeating it). Vectors that are null, zero or have null or non-finite parts take no part, on either
-    side; vectors of different sizes do not meet. Fewer candidates give fewer rows, an empty table none.
+    side; vectors of different sizes do not meet. Only fewer candidates give fewer rows, an empty table none.
     """
     own = stage_table(usable(vectors).where("vec_id IS NOT NULL").dropDuplicates(["vec_id"]), "vectors")
     # Equal vectors: the smallest ids suffice, one more than asked for as the query may be among them.
@@ -157,6 +160,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
 
     key = [*slot, "block"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = stage_table(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    # What was found too little or too far meets all blocks of its size.
+    sizes = stage_table(own.groupBy(F.size("v").alias("dim")).agg(F.least(F.count("*") - 1, F.lit(top)).alias("due")), "sizes")
+    got = best.groupBy("query_id").agg(F.count("*").alias("got"), F.min("score").alias("last"))
+    named = salted_join(asked.select("query_id", F.size("v").alias("dim")), sizes, ["dim"], ["query_id"], salts=8, how="inner")
+    short = named.join(got, "query_id", "left").where((F.coalesce("got", F.lit(0)) < F.col("due")) | (F.col("last") < SURE))
+    short = stage_table(short.select("query_id", "dim"), "short_queries")
+
+    def pieces(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+    sized = classes.withColumn("dim", F.size("v"))
+    held, sets = stage_table(pieces(sized, "blocks"), "blocks"), stage_table(pieces(short, "sets"), "query_sets")
+    whole = stage_table(held.join(sets, "dim"), "exact_blocks")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
+    left = salted_join(short, whole, ["dim"], ["query_id"], salts=8, how="inner").join(asked, "query_id")
+    left = left.withColumn("set", part("query_id", "sets")).withColumn("block", every("blocks"))
+    right = salted_join(sized, whole, ["dim"], ["class"], salts=8, how="inner")
+    right = right.withColumn("block", part("class", "blocks")).withColumn("set", every("sets"))
+    key = ["dim", "block", "set"]
+    exact = left.select(*key, "query_id", "v").groupBy(*key).cogroup(right.select(*key, "ids", "v").groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    merged = best.select("query_id", "vec_id", "score").unionAll(exact).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -56,3 +56,20 @@ def test_copies_odd_vectors_and_blocks(spark):
         truth = exact(rows, [105])[105]
         assert [s for _, s in found[105]] == [round(s, 9) for _, s in truth]
     assert neighbours.nearest(vectors.limit(0), queries.limit(0)).collect() == []
+
+
+def test_few_orthogonal_and_opposed_vectors(spark):
+    axes = np.eye(64)
+    few = [(0, axes[0]), (1, axes[1]), (2, -axes[0]), (3, axes[2] - axes[0]), (4, axes[0] + axes[3])]
+    few += [(10, np.array([1.0, 0.0])), (11, np.array([-1.0, 0.0])), (20, np.ones(3))]
+    rng = np.random.default_rng(6)
+    crowd = [(100 + i, np.r_[0.0, rng.normal(size=63)]) for i in range(300)] + [(99, axes[0])]  # 99 is orthogonal to all of them
+    for rows, asked, block in ((few, [i for i, _ in few], 4096), (few, [i for i, _ in few], 2), (crowd, [99], 64)):
+        rows = [(i, v.tolist()) for i, v in rows]
+        vectors = spark.createDataFrame(rows, SCHEMA)
+        found = {}
+        for r in neighbours.nearest(vectors, vectors.where(F.col("vec_id").isin(asked)), block=block).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+        truth = {q: [(i, round(s, 9)) for i, s in near] for q, near in exact(rows, asked).items() if near}
+        assert found.keys() == truth.keys()
+        assert all([s for _, s in found[q]] == [s for _, s in truth[q]] and len({i for i, _ in found[q]}) == len(found[q]) for q in truth)
