@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from routelore.llm import mixing, url_filter
+from routelore.llm import merkle, mixing, resampling, url_filter
 from routelore.llm.shared import LOWER, UPPER
 
 OP2 = """
@@ -62,3 +62,63 @@ def op9() -> str:
 SELECT page_id, host, path, {rule.format(*names)} AS rule,
   coalesce({rule.format(*kinds)}, CASE WHEN mean - {u.DEVIATIONS} * sqrt(mean * (1 - mean) / (up_pages + up_strength + 1)) > {u.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM known JOIN final USING (host)"""
+
+
+#: A list of the 256 steps of CRC-32, made from its polynomial.
+CRC_STEPS = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS steps FROM (SELECT unnest(range(256))::BIGINT AS i)"
+
+
+def crc32(codes: str) -> str:
+    """Unsigned CRC-32 of a list of byte values, given the column ``steps``."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def op11(levels: int = 16) -> str:
+    """The two trees unrolled, one table per level; ``levels`` of arity three are enough for 43 million leaves."""
+    arity = merkle.ARITY
+    spelled = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join([*map(spelled, merkle.FIELDS[:-1]), spelled(text)]) + ")"
+    even = crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)") + " % 2 = 0"
+    parts = [f"crc AS ({CRC_STEPS})",
+             f"""own AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+               FROM (SELECT doc_id, coalesce(':' || source, '') AS tree, {leaf("text")} AS h, CASE WHEN doc_id IS NOT NULL AND {even} THEN {leaf("replace(text, chr(10), '')")} END AS other FROM documents, crc))""",
+             "a0 AS MATERIALIZED (SELECT tree, pos, n, h FROM own)",
+             "c0 AS MATERIALIZED (SELECT doc_id, tree, pos, h AS leaf, coalesce(other, h) AS acc, '' AS sib FROM own)"]
+
+    def climb(a: str, c: str) -> None:
+        for j in range(levels):
+            run = f"PARTITION BY tree, pos // {arity} ORDER BY pos"
+            parts.append(f"""{a}s{j} AS MATERIALIZED (SELECT tree, pos, coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+              coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {a}{j} WHERE n > 1)""")
+            parts.append(f"""{a}{j + 1} AS MATERIALIZED (SELECT tree, pos // {arity} AS pos, (n + {arity - 1}) // {arity} AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {a}{j} WHERE n > 1 GROUP BY tree, pos // {arity}, n
+              UNION ALL SELECT tree, pos, n, h FROM {a}{j} WHERE n = 1)""")
+            parts.append(f"""{c}{j + 1} AS MATERIALIZED (SELECT x.* REPLACE (CASE WHEN l IS NULL THEN acc ELSE sha256(l || acc || r) END AS acc, sib || coalesce(l || r, '') AS sib, x.pos // {arity} AS pos)
+              FROM {c}{j} x LEFT JOIN {a}s{j} s ON x.tree = s.tree AND x.pos = s.pos)""")
+
+    climb("a", "c")
+    parts.append(f"subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM a{levels})")
+    parts.append("b0 AS MATERIALIZED (SELECT '' AS tree, pos, n, h FROM subroots)")
+    parts.append(f"d0 AS MATERIALIZED (SELECT doc_id, leaf, s.h AS subroot, acc, sib, '' AS tree, s.pos AS pos FROM c{levels} x JOIN subroots s ON x.tree = s.tree)")
+    climb("b", "d")
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(sib) AS proof_sha256, acc AS folded_root, acc = h AS verified FROM d{levels} CROSS JOIN (SELECT h FROM b{levels})"""
+
+
+def op12() -> str:
+    u = resampling
+    words = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    codes = "list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)"
+    return f"""WITH crc AS ({CRC_STEPS}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce({words}, []) AS words FROM documents),
+seen AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(words) AS w FROM docs) GROUP BY r, w),
+aims AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest({words}) AS w FROM benchmark) GROUP BY w),
+named AS MATERIALIZED (SELECT w, {crc32(codes)} % {u.BUCKETS} AS bucket FROM (SELECT w FROM seen UNION SELECT w FROM aims), crc),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM seen JOIN named USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS t FROM aims JOIN named USING (w) GROUP BY bucket),
+gains AS MATERIALIZED (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + {u.BUCKETS}))::DOUBLE / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + {u.BUCKETS}))::DOUBLE))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT r, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM seen JOIN named USING (w) JOIN gains USING (bucket) GROUP BY r),
+scores AS MATERIALIZED (SELECT r, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000::DOUBLE * ln(-ln((('0x' || substr(sha256('{u.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM docs LEFT JOIN weights USING (r)),
+ranks AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank, count(*) OVER () AS many FROM scores WHERE n_features >= {u.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {u.PERCENT} * many // 100 THEN rank END AS rank FROM scores LEFT JOIN ranks USING (r)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from routelore.llm import language, mixing, neighbours, oracles, packing, repetition, simhash, token_counts, toxicity, url_filter, warc
+from routelore.llm import language, merkle, mixing, neighbours, oracles, packing, repetition, resampling, sharding, simhash, token_counts, toxicity, url_filter, warc
 from routelore.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,23 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 def op8(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op11_merkle_manifest", oracles.op11())
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    tampered = F.expr("crc32(CAST(doc_id AS STRING)) % 2 = 0")
+    found = merkle.manifest(table(spark, d, "documents"), tampered, F.regexp_replace("text", "\n", ""))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_importance_resampling", oracles.op12())
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    found = resampling.resampled(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_external_shuffle")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    written = sharding.write_shards(table(spark, d, "documents"))
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return written.select("doc_id", sharding.record_size().alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
