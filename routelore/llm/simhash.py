@@ -6,9 +6,7 @@ linked fingerprints share a variant, equal variants meet by an equality shuffle,
 Variants shared by very many fingerprints are cut once more, by the bytes of the other half, one of which must be equal.
 A bucket gives a spanning forest of its links, never its pairs; components follow by alternating large and small stars.
 
-That binds copies of similarity near 1 only. ``similar_components`` links texts whose sets of word shingles have at least a given
-Jaccard similarity: 64 bits cannot tell 0.8 (about 10 differing bits) from chance by equal segments, so candidates are texts that
-agree in one of ``BANDS`` groups of ``ROWS`` minimum hashes, and every link is verified on the sets themselves.
+That binds copies of similarity near 1 only; ``similar`` links by the similarity itself.
 """
 
 from __future__ import annotations
@@ -25,10 +23,6 @@ from routelore.sources.staging import stage_table
 BITS = 3
 #: Buckets of more fingerprints than this are cut further. No bucket is dropped.
 HOT = 4096
-#: Minimum hashes: a pair of similarity 0.8 is no candidate with a chance of (1 - 0.8^5)^40 = 1.2e-7.
-BANDS, ROWS = 40, 5
-#: Rounds in which a bucket's members meet one member only, before what is still apart meets all.
-PIVOTS = 2
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -164,124 +158,3 @@ def components(docs: DataFrame, words: int = 3) -> DataFrame:
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = salted_join(placed, smallest, ["root"], ["fp"], how="inner").select("fp", "component_id")
     return salted_join(own, named, ["fp"], ["doc_id"])
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, words), dtype=np.uint64))
-
-
-def set_number(own: np.ndarray) -> int:
-    """A signed 64-bit number of the set; equal sets are one class."""
-    from xxhash import xxh64_intdigest as digest
-
-    return int(np.uint64(digest(own.tobytes(), 1)).astype(np.int64))
-
-
-def band_keys(own: np.ndarray) -> list[int]:
-    """One signed number for each group of minimum hashes; none for an empty set."""
-    from xxhash import xxh64_intdigest as digest
-
-    if not len(own):
-        return []
-    rng = np.random.default_rng(5)
-    factor, shift = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for lo in range(0, len(own), 512):  # in pieces that stay in the cache
-        least = np.minimum(least, (own[lo : lo + 512, None] * (factor | np.uint64(1)) + shift).min(axis=0))
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([digest(row.tobytes(), k) for k, row in enumerate(bands)], np.uint64).astype(np.int64).tolist()
-
-
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, class (number of the shingle set), n (its size) and keys (of its bands) of every row."""
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column("text")]
-            columns = [pa.array(map(set_number, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "class", "n", "keys"])
-
-    return docs.select("doc_id", "text").mapInArrow(signed, T.StructType(fields))
-
-
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """class and own (the sorted set as bytes) of every row."""
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_number, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["class", "own"])
-
-    return docs.select("text").mapInArrow(listed, "class long, own binary")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of classes whose sets have the similarity."""
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("a"), b.column("b")):
-                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both / (len(x) + len(y) - both) >= similarity)
-            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    first = sets.select(F.col("class").alias("u"), F.col("own").alias("a")).join(pairs.select("u").distinct(), "u", "left_semi")
-    met = salted_join(pairs, first, ["u"], ["v"], salts=8, how="inner")
-    return met.join(sets.select(F.col("class").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(alike, "u long, v long")
-
-
-def similar_components(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """One row per document: doc_id, component_id (the smallest doc_id reachable over links, itself included).
-
-    Texts link whose sets of word shingles have at least this Jaccard similarity (1 for equal sets, two empty ones as well).
-    In a bucket of candidates all first meet one member, another one each round; only members whose components are then still
-    different meet in pairs, so that a large group of copies gives no quadratic list.
-    """
-    own = stage_table(signatures(docs, words), "signatures")
-    classes = stage_table(own.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    rows = classes.select("class", "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
-    rows = stage_table(salted_join(rows, shared, ["key"], ["class"], salts=8, how="inner").select("class", "n", "key"), "candidates")
-    asked = classes.join(rows.select("class").distinct(), "class", "left_semi").select("class", F.col("first_id").alias("__id"))
-    texts = docs.select("doc_id", "text")
-    texts = texts.join(asked.select("__id").distinct(), texts["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    sets = shingle_sets(texts, words).join(asked.select("class"), "class", "left_semi").groupBy("class").agg(F.first("own").alias("own"))
-    sets = stage_table(sets, "shingle_sets")
-
-    fits = F.least("n", "m") / F.greatest("n", "m") >= similarity
-    placed, edges = rows.withColumn("root", F.col("class")), None
-    for k in range(PIVOTS + 1):
-        if k < PIVOTS:
-            one = placed.groupBy("key").agg(F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", F.lit(k))).alias("one")).select("key", F.col("one.class").alias("u"), F.col("one.n").alias("m"), F.col("one.root").alias("other"))
-            pairs = salted_join(placed, one, ["key"], ["class"], salts=8, how="inner").where((F.col("root") != F.col("other")) & fits)
-        else:
-            one = placed.select("key", F.col("class").alias("u"), F.col("n").alias("m"), F.col("root").alias("other"))
-            pairs = placed.join(one, "key").where((F.col("root") > F.col("other")) & fits)
-        pairs = stage_table(pairs.select("u", F.col("class").alias("v")).distinct(), "pairs")
-        new = stage_table(verified(pairs, sets, similarity), "similar")
-        edges = new if edges is None else edges.unionAll(new)
-        root = stars(edges)
-        if k < PIVOTS:
-            to = root.select(F.col("node").alias("class"), "root")
-            placed = rows.join(to, "class", "left").withColumn("root", F.coalesce("root", "class"))
-            apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            placed = stage_table(salted_join(placed, apart, ["key"], ["class"], salts=8, how="inner").select("class", "n", "key", "root"), "apart")
-
-    named = classes.select("class", "first_id").join(root.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = salted_join(named, smallest, ["root"], ["class"], how="inner").select("class", "component_id")
-    return salted_join(own.select("doc_id", "class"), named, ["class"], ["doc_id"]).select("doc_id", "component_id")
-
-
-def deduplicated(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
-    """The documents with one of each component left, that with the smallest doc_id; rows repeating a doc_id count as one.
-
-    With a ``similarity`` the components are those of texts of this Jaccard similarity, otherwise those of near fingerprints.
-    """
-    found = components(docs, words) if similarity is None else similar_components(docs, words, similarity)
-    keep = found.groupBy("component_id").agg(F.lit(1).alias("__kept")).withColumnRenamed("component_id", "__keep_id")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])

@@ -79,7 +79,7 @@ def test_long_chain(spark):
     assert roots == {**{i: 0 for i in range(1, 301)}, 1001: 1000}
 
 
-def test_components_and_dedup(spark, documents):
+def test_components(spark, documents):
     base = " ".join(f"word{i}" for i in range(300))
     rows = [(5, base), (3, base), (9, base + " tail"), (4, None), (2, ""), (8, "  "), (7, "other text here"), (7, "other text here"), (None, base)]
     docs = documents(rows).withColumn("fp", F.lit("clash")).withColumn("component_id", F.lit(1))
@@ -88,8 +88,4 @@ def test_components_and_dedup(spark, documents):
     low = {c: min(r[0] for r, e in zip(rows, labels) if e == c and r[0] is not None) for c in labels}
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.fp, r.component_id) for r in simhash.components(docs).collect())
     assert got == sorted((-1 if r[0] is None else r[0], signed(f), low[c]) for r, f, c in zip(rows, fps, labels))
-    kept = simhash.deduplicated(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low.values()))
     assert simhash.components(documents([])).collect() == []
-    assert simhash.deduplicated(documents([])).collect() == []
