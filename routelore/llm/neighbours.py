@@ -4,8 +4,8 @@ A vector of length 1 is projected on Gaussian directions, shifted, and cut into
 bucket, and there are several tables. A query visits, beside its own bucket, those whose cells are one off where that is most
 likely: perturbations in rising order of the summed squared distances to the cell borders that are crossed. Queries and vectors
 meet by an equality shuffle on (table, bucket, block); inside, scores are products of matrices, and each query leaves with its
-best few only. Queries that find too few, or whose last neighbour is so far that hashing may miss nearer ones, then meet every
-vector of their size exactly, in blocks. Equal vectors are one vector with their smallest ids, and large buckets are cut into blocks that every query of
+best few only. Queries that find too few, or whose last neighbour is so far that probes reach its like with less than ``SURE``, then meet every
+vector of their size exactly, in blocks; that chance follows from the parameters alone. Equal vectors are one vector with their smallest ids, and large buckets are cut into blocks that every query of
 the bucket visits, so nothing is dropped and no pair list is written.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from routelore.sources.staging import stage_table
 TABLES, HASHES, WIDTH, PROBES = 8, 8, 2.0, 128
 BLOCK = 4096
 TOP = 5
-#: A query whose last found score is below this meets all vectors: at lower cosines the probes reach too few.
-SURE = 0.4
+#: A query meets all vectors if its last found neighbour's cosine is one that the probes reach with a smaller chance than this.
+SURE = 0.9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -110,19 +111,44 @@ def keyed(vectors: DataFrame, keep: str, tables: int, hashes: int, width: float,
     return vectors.mapInArrow(hashed, f"dim int, table int, bucket long, {keep} long")
 
 
+@lru_cache(maxsize=None)
+def trials(hashes: int, probes: int, many: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Made-up queries: where they lie in their cells, the steps that they probe, and a standard normal step for each hash."""
+    rng = np.random.default_rng(11)
+    inside = rng.uniform(0, 1, (many, hashes))
+    return inside, np.array([probe_steps(at, probes) for at in inside]), rng.normal(size=(many, hashes))
+
+
+def reach(cosine: float, tables: int, hashes: int, width: float, probes: int) -> float:
+    """The chance that a vector of this cosine to a query lies in a bucket that the query visits, by simulation: a hash moves it
+    by a normal step as wide as the distance of the two unit vectors."""
+    inside, steps, normal = trials(hashes, probes)
+    moved = np.floor(inside + normal * np.sqrt(2 - 2 * cosine) / width).astype(int)
+    return 1 - (1 - (steps == moved[:, None]).all(axis=2).any(axis=1).mean()) ** tables
+
+
+def surely_reached(tables: int, hashes: int, width: float, probes: int, sure: float = SURE) -> float:
+    """The least cosine, to a hundredth, that probes reach with the chance ``sure``; above 1 if none is."""
+    low, high = -100, 101
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if reach(middle / 100, tables, hashes, width, probes) >= sure else (middle + 1, high)
+    return low / 100
+
+
 def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Cosines in double precision."""
-    unit = lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.einsum("qd,nd->qn", unit(queries), unit(vectors), optimize=False)
+    """Cosines in double precision; powers of two, which round nothing, keep squares in range."""
 
+    def unit(m: np.ndarray) -> np.ndarray:
+        m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``top`` nearest found of each query (rows of ``vectors`` named by ``queries``, vec_id).
+    return np.einsum("qd,nd->qn", unit(queries), unit(vectors), optimize=False)
 
-    Score is the cosine of the original vectors in double precision; ties go to the smaller vec_id, and the query's own id is no
-    candidate (nor are rows repeating it). Vectors that are null, zero or have null or non-finite parts take no part, on either
-    side; vectors of different sizes do not meet. Only fewer candidates give fewer rows, an empty table none.
-    """
+
+def probed_nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK):
+    """The usable vectors, their classes, the queries, each one's best rows (query_id, vec_id, score, rank) found by probing, and the
+    function that scores a block of vectors for some queries."""
     own = stage_table(usable(vectors).where("vec_id IS NOT NULL").dropDuplicates(["vec_id"]), "vectors")
     # Equal vectors: the smallest ids suffice, one more than asked for as the query may be among them.
     by_vector = Window.partitionBy("v").orderBy("vec_id")
@@ -163,13 +189,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
     found = stage_table(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return own, classes, asked, best, meet
 
-    # What was found too little or too far meets all blocks of its size.
+
+def unsure(own: DataFrame, asked: DataFrame, best: DataFrame, top: int, sure: float) -> DataFrame:
+    """query_id and dim of the queries that found fewer than they should, or whose last score is below ``sure``."""
     sizes = stage_table(own.groupBy(F.size("v").alias("dim")).agg(F.least(F.count("*") - 1, F.lit(top)).alias("due")), "sizes")
     got = best.groupBy("query_id").agg(F.count("*").alias("got"), F.min("score").alias("last"))
     named = salted_join(asked.select("query_id", F.size("v").alias("dim")), sizes, ["dim"], ["query_id"], salts=8, how="inner")
-    short = named.join(got, "query_id", "left").where((F.coalesce("got", F.lit(0)) < F.col("due")) | (F.col("last") < SURE))
-    short = stage_table(short.select("query_id", "dim"), "short_queries")
+    short = named.join(got, "query_id", "left").where((F.coalesce("got", F.lit(0)) < F.col("due")) | (F.col("last") < sure))
+    return short.select("query_id", "dim")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``top`` nearest found of each query (rows of ``vectors`` named by ``queries``, vec_id).
+
+    Score is the cosine of the original vectors in double precision; ties go to the smaller vec_id, and the query's own id is no
+    candidate (nor are rows repeating it). Vectors that are null, zero or have null or non-finite parts take no part, on either
+    side; vectors of different sizes do not meet. Only fewer candidates give fewer rows, an empty table none.
+    """
+    own, classes, asked, best, meet = probed_nearest(vectors, queries, top, tables, hashes, width, probes, block)
+    short = stage_table(unsure(own, asked, best, top, surely_reached(tables, hashes, width, probes)), "short_queries")
 
     def pieces(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
@@ -185,5 +225,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
     right = right.withColumn("block", part("class", "blocks")).withColumn("set", every("sets"))
     key = ["dim", "block", "set"]
     exact = left.select(*key, "query_id", "v").groupBy(*key).cogroup(right.select(*key, "ids", "v").groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     merged = best.select("query_id", "vec_id", "score").unionAll(exact).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -21,15 +21,21 @@ def op6() -> str:
     parts = [f"""marked AS (SELECT doc_id, source AS own_source, lang AS own_lang, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {mixing.TOPIC_SQL} AS topic,
       coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM documents)""",
              f"counted AS (SELECT {keys}, sum(tokens)::BIGINT AS tokens FROM marked GROUP BY {keys})",
-             "w0 AS MATERIALIZED (SELECT *, tokens / (SELECT sum(tokens) FROM counted)::DOUBLE AS weight FROM counted)"]
+             f"w0 AS MATERIALIZED (SELECT *, weight / {mixing.FRACTION}::DOUBLE AS most FROM (SELECT *, coalesce(tokens / nullif((SELECT sum(tokens) FROM counted), 0)::DOUBLE, 0) AS weight FROM counted))"]
     for k in mixing.KEYS:
-        parts.append(f"t_{k} AS MATERIALIZED (SELECT {k}, part / sum(part) OVER () AS target FROM (SELECT {k}, pow(sum(weight), {mixing.POWERS[k]}) AS part FROM w0 GROUP BY {k}))")
+        parts.append(f"t_{k}_0 AS MATERIALIZED (SELECT {k}, coalesce(part / nullif(sum(part) OVER (), 0), 0) AS target, most FROM (SELECT {k}, pow(sum(weight), {mixing.POWERS[k]}) AS part, sum(most) AS most FROM w0 GROUP BY {k}))")
+        for i in range(mixing.FILLS):
+            parts.append(f"""t_{k}_{i + 1} AS MATERIALIZED (SELECT {k}, CASE WHEN target >= most THEN most ELSE target * coalesce((1 - coalesce(sum(most) FILTER (target >= most) OVER (), 0)) / nullif(sum(target) FILTER (target < most) OVER (), 0), 0) END AS target, most FROM t_{k}_{i})""")
+        parts.append(f"t_{k} AS MATERIALIZED (SELECT {k}, least(target, most) AS target FROM t_{k}_{mixing.FILLS})")
+    full = "weight >= most * (1 - 1e-12::DOUBLE)"
     n = 0
     for _ in range(mixing.SWEEPS):
         for k in mixing.KEYS:
-            parts.append(f"w{n + 1} AS MATERIALIZED (SELECT {keys}, tokens, coalesce(weight * target / nullif(sum(weight) OVER (PARTITION BY {k}), 0), 0) AS weight FROM w{n} JOIN t_{k} USING ({k}))")
+            parts.append(f"""r{n + 1} AS MATERIALIZED (SELECT {k}, CASE WHEN target > now THEN CASE WHEN now > held THEN (target - held) / (now - held) ELSE 1 END ELSE coalesce(target / nullif(now, 0), 0) END AS ratio
+              FROM (SELECT {k}, sum(weight) AS now, sum(CASE WHEN {full} THEN weight ELSE 0 END) AS held FROM w{n} GROUP BY {k}) JOIN t_{k} USING ({k}))""")
+            parts.append(f"w{n + 1} AS MATERIALIZED (SELECT {keys}, tokens, most, CASE WHEN {full} AND ratio > 1 THEN weight ELSE least(weight * ratio, most) END AS weight FROM w{n} JOIN r{n + 1} USING ({k}))")
             n += 1
-    parts.append(f"""chances AS (SELECT {keys}, CASE WHEN tokens > 0 THEN least(1.0, {mixing.FRACTION} * (SELECT sum(tokens) FROM counted)::DOUBLE * weight / tokens) ELSE 1.0 END AS p FROM w{n})""")
+    parts.append(f"chances AS (SELECT {keys}, CASE WHEN tokens > 0 THEN least(1.0, weight / most) ELSE 1.0 END AS p FROM w{n})")
     uniform = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / pow(16, 13)"
     return f"""WITH {", ".join(parts)}
 SELECT doc_id, own_source AS source, own_lang AS lang, topic, marked.tokens, round(p, 9) AS probability, {uniform} < p AS sampled

@@ -90,30 +90,34 @@ def fitted(rows: Sequence[np.ndarray], y: np.ndarray, before: np.ndarray, epochs
 
 
 def chain(rows: Sequence[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> list[Linear]:
-    """One model per column of ``labels``, each with out-of-fold probabilities of those before it."""
+    """One model per column of ``labels``, each with out-of-fold probabilities of those before it.
+
+    A category is learned from the documents whose label of it is known (0 or 1; -1 is unknown); all get its probability."""
     models, before = [], np.zeros((len(rows), 0))
     sets = [set(r.tolist()) for r in rows]
     for k in range(labels.shape[1]):
-        y = labels[:, k].astype(float)
-        models.append(fitted(rows, y, before))
+        y, known = labels[:, k].astype(float), labels[:, k] >= 0
+        some = lambda kept: fitted([rows[i] for i in np.flatnonzero(kept)], y[kept], before[kept])
+        models.append(some(known))
         held = np.zeros(len(rows))
         for f in range(FOLDS if k < labels.shape[1] - 1 else 0):
-            own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-            model = fitted([rows[i] for i in rest], y[rest], before[rest])
+            own = np.flatnonzero(fold == f)
+            model = some(known & (fold != f))
             held[own] = [model.probability(sets[i], before[i]) for i in own]
         before = np.column_stack([before, held])
     return models
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """text, fold and a 0/1 column for each category, for a bounded sample of labelled documents, chosen by a hash.
+    """text, fold and a column for each category (1, 0, or -1 where no row knows it), for a bounded sample of labelled documents,
+    chosen by a hash.
 
-    Labels of one doc_id are merged: a category holds if any row says so. Rows whose labels are all null are left out.
+    Labels of one doc_id are merged: a category holds if any row says so. Documents whose labels are all null are left out.
     """
     merged = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.expr(f"CAST({c} AS INT)")).alias(f"__{n}") for n, c in categories])
     merged = stage_table(merged.where(F.coalesce(*[f"__{n}" for n, _ in categories]).isNotNull()), "merged_labels")
     chance = int((sample_rows << 30) / max(1, merged.count()))
-    chosen = merged.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.lit(chance)).fillna(0)
+    chosen = merged.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.lit(chance)).fillna(-1)
     chosen = chosen.withColumn("__fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     # At most about sample_rows narrow rows are broadcast.
     return docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id")
@@ -125,11 +129,14 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [sorted({f for w in text_words(t.as_py()) for f in word_features(w)}) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "__fold", *names)] + [pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "__fold", *names, "own"])
-
-    sample = training_rows(docs, labels, categories, sample_rows)
-    fields = [sample.schema["doc_id"], *[T.StructField(n, T.IntegerType()) for n in ("__fold", *names)], T.StructField("own", T.ArrayType(T.IntegerType()))]
-    held = sample.select("doc_id", "text", "__fold", *names).mapInArrow(numbered, T.StructType(fields)).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "__hash", "__fold", *names)] + [pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "__hash", "__fold", *names, "own"])
+
+    sample = training_rows(docs, labels, categories, sample_rows).withColumn("__hash", F.xxhash64("text"))
+    fields = [sample.schema["doc_id"], T.StructField("__hash", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("__fold", *names)], T.StructField("own", T.ArrayType(T.IntegerType()))]
+    held = sample.select("doc_id", "text", "__hash", "__fold", *names).mapInArrow(numbered, T.StructType(fields))
+    # Of several texts under one id the one of the least hash is learned from.
+    one = held.groupBy("doc_id").agg(F.min_by(F.struct("__fold", *names, "own"), "__hash").alias("one"))
+    held = one.select("doc_id", "one.*").toArrow().sort_by("doc_id")
     rows = [np.array(r, np.int64) for r in held.column("own").to_pylist()]
     return chain(rows, np.column_stack([held.column(n).to_numpy() for n in names]).reshape(-1, len(names)), held.column("__fold").to_numpy())
 
@@ -152,7 +159,7 @@ def judged(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_row
     """doc_id, p_<category> for each category, and flagged: whether the last category's probability reaches the threshold.
 
     A null or empty text is judged by the models' intercepts. A category whose labels are all alike, or that has none, gets
-    probability (almost) 1 or 0. Repeated rows stay; other columns are left out; an empty table gives an empty table.
+    probability (almost) 1 or 0. A label that is null in one category only tells nothing about that category. Repeated rows stay; other columns are left out; an empty table gives an empty table.
     """
     models = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, categories, sample_rows))
     names = [f"p_{n}" for n, _ in categories]

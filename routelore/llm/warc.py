@@ -2,7 +2,7 @@
 
 An archive is a ZIP file whose members are stored, not deflated: ``archive/data.warc.gz`` (one gzip member per WARC record) and
 ``indexes/index.cdxj`` (one line per record with its place). Reading takes two steps: the end records and the central directory,
-both also in their ZIP64 form, give the place of every member and its index gives ranges of records; then the ranges are dealt
+both also in their ZIP64 form, give the place of every member, and the indexes give ranges of records; then the ranges are dealt
 out and read where they lie. Nothing is extracted, and no archive is read whole. Files are reached through ``pyarrow.fs``, by the
 path's own scheme; each task attempt writes under a name of its own, and only the files of committed tasks are listed.
 """
@@ -26,6 +26,7 @@ from routelore.llm.shared import salted_join
 from routelore.sources.staging import scratch_folder, stage_table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+PAGE = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of records after which a task starts the next archive, and bytes read at once.
 ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 1 << 20
@@ -66,21 +67,35 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parsed(raw: bytes) -> dict:
-    """The fields of a WARC record and its payload (None for a revisit), with the payload's size by the HTTP head."""
+    """The fields of a WARC record and its payload (None for a revisit), with the payload's size by the HTTP head.
+
+    record_id and refers_to_id are kept as written, less their brackets; page_id and refers_to are the numbers in ids of this writer's
+    records, whose payloads must have their digest. Records of other kinds have their whole block as payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
-    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
-    size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    page = lambda k: int(fields[k][10:-1]) if fields.get(k, "<urn:page:>") != "<urn:page:>" else None
-    kind = fields["WARC-Type"]
-    if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    block = rest[: int(fields["content-length"])]
+    if len(block) < int(fields["content-length"]):
+        raise ValueError("the record is cut off")
+    kind, size, payload = fields["warc-type"], None, block
+    if fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    digest = fields.get("warc-payload-digest")
+    if digest and digest.startswith("sha1:") and len(digest) == 37:
+        digest = base64.b32decode(digest[5:].upper()).hex()
+    ids = {k: fields[k].strip("<>") if k in fields else None for k in ("warc-record-id", "warc-refers-to")}
+    own = (ids["warc-record-id"] or "").startswith(PAGE)
+    page = lambda k: int(ids[k][len(PAGE):]) if (ids[k] or "").startswith(PAGE) and ids[k] != PAGE else None
+    if own and kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError("payload differs from its digest")
-    return {"page_id": page("WARC-Record-ID"), "url": json.loads(f'"{fields["WARC-Target-URI"]}"') if "WARC-Target-URI" in fields else None, "payload": payload if kind == "response" else None,
-            "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page("WARC-Refers-To")}
+    url = fields.get("warc-target-uri")
+    payload = None if kind == "revisit" else payload
+    return {"page_id": page("warc-record-id"), "url": json.loads(f'"{url}"') if own and url is not None else url, "payload": payload,
+            "payload_bytes": size if kind == "revisit" else len(payload), "payload_digest": digest, "record_type": kind, "refers_to": page("warc-refers-to"),
+            "record_id": ids["warc-record-id"], "refers_to_id": ids["warc-refers-to"]}
 
 
 def write_archives(typed: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> DataFrame:
@@ -105,7 +120,7 @@ def write_archives(typed: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                 raw = record(page_id.as_py(), url.as_py(), payload.as_py(), digest.as_py(), refers_to.as_py())
                 gzip = zlib.compressobj(5, zlib.DEFLATED, 31)
                 part = gzip.compress(raw) + gzip.flush()
-                lines.append(json.dumps({"page": page_id.as_py(), "offset": size, "length": len(part)}) + "\n")
+                lines.append(json.dumps({"filename": DATA.rpartition("/")[2], "page": page_id.as_py(), "offset": size, "length": len(part)}) + "\n")
                 data.append(part)
                 size += len(part)
                 if size >= archive_bytes:
@@ -117,8 +132,9 @@ def write_archives(typed: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     return stage_table(typed.mapInArrow(written, "path string, records long"), "archives")
 
 
-def members(read, size: int) -> dict[str, tuple[int, int]]:
-    """Place of the data (offset, length) of every stored member, from the central directory. ``read(offset, length)`` gives bytes."""
+def directory(read, size: int) -> dict[str, tuple[int, int, int]]:
+    """Of every member where its data lies (offset, bytes) and how it is packed (0: stored, 8: deflated), from the central directory.
+    ``read(offset, length)`` gives bytes."""
     tail_at = max(0, size - (22 + 65535))
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(b"PK\x05\x06")
@@ -129,67 +145,162 @@ def members(read, size: int) -> dict[str, tuple[int, int]]:
     if locator[:4] == b"PK\x06\x07":
         (end64,) = struct.unpack("<Q", locator[8:16])
         total, length, start = struct.unpack("<QQQ", read(end64, 56)[32:56])
-    directory, found, p = read(start, length), {}, 0
+    entries, found, p = read(start, length), {}, 0
     for _ in range(total):
-        if directory[p : p + 4] != b"PK\x01\x02":
+        if entries[p : p + 4] != b"PK\x01\x02":
             raise ValueError("broken central directory")
-        method, packed, plain, n, extra, comment = struct.unpack("<H8xLLHHH", directory[p + 10 : p + 34])
-        (local,) = struct.unpack("<L", directory[p + 42 : p + 46])
-        name = directory[p + 46 : p + 46 + n].decode()
+        method, packed, plain, n, extra, comment = struct.unpack("<H8xLLHHH", entries[p + 10 : p + 34])
+        (local,) = struct.unpack("<L", entries[p + 42 : p + 46])
+        name = entries[p + 46 : p + 46 + n].decode()
         q, stop = p + 46 + n, p + 46 + n + extra
         while q + 4 <= stop:
-            tag, m = struct.unpack("<HH", directory[q : q + 4])
+            tag, m = struct.unpack("<HH", entries[q : q + 4])
             if tag == 1:  # ZIP64: only the fields that did not fit, in this order
-                wide = iter(struct.unpack(f"<{m // 8}Q", directory[q + 4 : q + 4 + m // 8 * 8]))
+                wide = iter(struct.unpack(f"<{m // 8}Q", entries[q + 4 : q + 4 + m // 8 * 8]))
                 plain = next(wide) if plain == 0xFFFFFFFF else plain
                 packed = next(wide) if packed == 0xFFFFFFFF else packed
                 local = next(wide) if local == 0xFFFFFFFF else local
             q += 4 + m
-        if method == 0:
-            head = read(local, 30)
-            found[name] = (local + 30 + sum(struct.unpack("<HH", head[26:30])), plain)
+        head = read(local, 30)
+        found[name] = (local + 30 + sum(struct.unpack("<HH", head[26:30])), packed, method)
         p = stop + comment
     return found
 
 
+def members(read, size: int) -> dict[str, tuple[int, int]]:
+    """Place of the data (offset, length) of every stored member."""
+    return {name: (at, length) for name, (at, length, method) in directory(read, size).items() if method == 0}
+
+
+def stream(read, offset: int, length: int, method: int = 0, step: int = RANGE_BYTES) -> Iterator[bytes]:
+    """A member's bytes in steps, inflated if it is deflated."""
+    inflate = zlib.decompressobj(-15) if method == 8 else None
+    for at in range(offset, offset + length, step):
+        part = read(at, min(step, offset + length - at))
+        yield inflate.decompress(part) if inflate else part
+
+
+def index_places(read, found: dict[str, tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Member, offset and length of every record that the archive's indexes list, read in steps.
+
+    A line is JSON, after sort key and time if it has these; ``filename`` names a member of ``archive/`` (it may be left out where there
+    is one only). Indexes may be gzipped or deflated."""
+    data = [n for n in found if n.startswith("archive/")]
+    for name, (offset, length, method) in found.items():
+        if not name.startswith("indexes/") or not name.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")):
+            continue
+        parts, rest = stream(read, offset, length, method), b""
+        for part in plain_text(parts) if name.endswith(".gz") else parts:
+            *lines, rest = (rest + part).split(b"\n")
+            yield from filter(None, (place(line, data) for line in lines))
+        yield from filter(None, [place(rest, data)])
+
+
+def place(line: bytes, data: list[str]) -> tuple[str, int, int] | None:
+    at = line.find(b"{")
+    if at < 0 or line.startswith(b"!"):  # a head line or blank
+        return None
+    own = json.loads(line[at:])
+    member = "archive/" + own["filename"].rpartition("/")[2] if "filename" in own else data[0] if len(data) == 1 else None
+    if member not in data:
+        raise ValueError(f"an index line names no member of the archive: {line[:200]!r}")
+    return member, int(own["offset"]), int(own["length"])
+
+
+def plain_text(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The text of concatenated gzip members."""
+    gunzip = zlib.decompressobj(31)
+    for part in parts:
+        while part:
+            yield gunzip.decompress(part)
+            part = gunzip.unused_data
+            gunzip = zlib.decompressobj(31) if gunzip.eof else gunzip
+
+
+def gzip_places(parts: Iterator[bytes]) -> Iterator[tuple[int, int]]:
+    """Offset and length of every gzip member, found by inflating the stream step by step; a step's text is dropped at once."""
+    gunzip, start, at = zlib.decompressobj(31), 0, 0
+    for part in parts:
+        while part:
+            left = len(part)
+            gunzip.decompress(part)
+            part = gunzip.unused_data
+            at += left - len(part)
+            if gunzip.eof:
+                yield start, at - start
+                gunzip, start = zlib.decompressobj(31), at
+    if at > start:
+        raise ValueError("the last gzip member is cut off")
+
+
+def plain_places(read, offset: int, length: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of every record of an uncompressed member, from one head to the next."""
+    at = 0
+    while at < length:
+        head = b""
+        while b"\r\n\r\n" not in head:
+            more = read(offset + at + len(head), min(4096, length - at - len(head)))
+            if not more:
+                raise ValueError("the last record is cut off")
+            head += more
+        head = head[: head.index(b"\r\n\r\n") + 4]
+        size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        yield at, len(head) + size + 4
+        at += len(head) + size + 4
+
+
 def record_ranges(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Byte ranges (path, offset, length) of whole records, by each archive's index; the whole member where it has none."""
+    """Byte ranges (path, offset, length) of whole records, about ``range_bytes`` each, from the archives' indexes.
+
+    A member that no index names is scanned in steps for its records. Members must be stored: a deflated one is an error, as
+    ranges of it can't be read."""
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path in b.column("path").to_pylist():
-                system, name = opened(path)
-                with system.open_input_file(name) as f:
-                    found = members(lambda offset, length: f.read_at(length, offset), f.size())
-                    rows = []
-                    for member, (start, length) in found.items():
-                        if not member.startswith("archive/"):
-                            continue
-                        if INDEX not in found:
-                            rows.append((start, length))
-                            continue
-                        at, n = found[INDEX]
-                        first = size = 0
-                        for line in f.read_at(n, at).splitlines():
-                            place = json.loads(line)
-                            if size and size + place["length"] > range_bytes:
-                                rows.append((start + first, size))
-                                first, size = place["offset"], 0
-                            size += place["length"]
-                        if size:
-                            rows.append((start + first, size))
+        for path in (p for b in batches for p in b.column("path").to_pylist()):
+            system, name = opened(path)
+            with system.open_input_file(name) as f:
+                read = lambda offset, length: f.read_at(length, offset)
+                found = directory(read, f.size())
+                data = {n: v for n, v in found.items() if n.startswith("archive/") and not n.endswith("/")}
+                for n, (_, _, method) in data.items():
+                    if method != 0:
+                        raise ValueError(f"{path}: {n} is not stored")
+                rows, open_, named = [], {}, set()
+
+                def listed() -> Iterator[tuple[str, int, int]]:
+                    for found_place in index_places(read, found):
+                        named.add(found_place[0])
+                        yield found_place
+                    for n, (at, length, _) in data.items():
+                        if n not in named:
+                            scan = gzip_places(stream(read, at, length)) if n.endswith(".gz") else plain_places(read, at, length)
+                            yield from ((n, *x) for x in scan)
+
+                for member, offset, length in listed():
+                    first, size = open_.get(member, (offset, 0))
+                    if size and (size + length > range_bytes or offset != first + size):
+                        rows.append((data[member][0] + first, size))
+                        first, size = offset, 0
+                    open_[member] = (first, size + length)
+                    if len(rows) >= 10_000:
+                        yield batch(path, rows)
+                        rows = []
+                rows += [(data[n][0] + first, size) for n, (first, size) in open_.items()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["path", "offset", "length"])
+                    yield batch(path, rows)
+
+    def batch(path: str, rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["path", "offset", "length"])
 
     return archives.select("path").mapInArrow(ranges, "path string, offset long, length long")
 
 
 def read_records(ranges: DataFrame, payload: bool = True) -> DataFrame:
     """The records of the ranges: page_id, url, payload (on request; null for revisits), payload_bytes, payload_digest,
-    record_type, refers_to. Digests of payloads are checked."""
-    names = ["page_id", "url", *["payload"] * payload, "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    types = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
-    sql = {"page_id": "long", "url": "string", "payload": "binary", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long"}
+    record_type, refers_to, and both ids as text. Digests of this writer's payloads are checked."""
+    names = ["page_id", "url", *["payload"] * payload, "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id"]
+    types = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "record_id": pa.string(), "refers_to_id": pa.string()}
+    sql = {"page_id": "long", "url": "string", "payload": "binary", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long", "record_id": "string", "refers_to_id": "string"}
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,6 +310,11 @@ def read_records(ranges: DataFrame, payload: bool = True) -> DataFrame:
                     raw = f.read_at(length, offset)
                 rows = []
                 while raw:
+                    if raw.startswith(b"WARC/"):
+                        size = next(plain_places(lambda at, n: raw[at : at + n], 0, len(raw)))[1]  # noqa: B023
+                        rows.append(parsed(raw[:size]))
+                        raw = raw[size:]
+                        continue
                     gunzip = zlib.decompressobj(31)
                     rows.append(parsed(gunzip.decompress(raw)))
                     raw = gunzip.unused_data

@@ -43,3 +43,34 @@ def test_expected_tokens(spark):
     total, expected, got = mixing.calibrated(docs).agg(F.sum("__tokens"), F.sum(F.col("__tokens") * F.col("__probability")), F.sum(F.when(F.col("__sampled"), F.col("__tokens")))).first()
     assert expected <= mixing.FRACTION * total * 1.0001
     assert abs(got - expected) < 0.05 * total
+
+
+def test_sample_meets_its_marginals(spark):
+    """Shares of the expected tokens against the targets, whatever cells are taken whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = mixing.calibrated(docs).groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens"), F.max("__probability").alias("p")).collect()
+    total = sum(r.tokens for r in found)
+    expected = sum(r.tokens * r.p for r in found)
+    assert abs(expected / total - mixing.FRACTION) < 1e-3 * mixing.FRACTION
+    for at, key in enumerate(mixing.KEYS):
+        shares, reached = {}, {}
+        for r in found:
+            shares[r[at]] = shares.get(r[at], 0) + r.tokens / total
+            reached[r[at]] = reached.get(r[at], 0) + r.tokens * r.p / expected
+        target = {v: s ** mixing.POWERS[key] for v, s in shares.items()}
+        target = {v: t / sum(target.values()) for v, t in target.items()}
+        for _ in range(20):
+            whole = sum(t for v, t in target.items() if t < 2 * shares[v])
+            held = sum(2 * shares[v] for v, t in target.items() if t >= 2 * shares[v])
+            target = {v: 2 * shares[v] if t >= 2 * shares[v] else t * (1 - held) / whole for v, t in target.items()}
+        assert all(abs(reached[v] - t) < 1e-3 * t for v, t in target.items()), key
+
+
+def test_rare_values_are_taken_whole(spark):
+    rows = [("big", "en", "a", 100_000), ("small", "en", "a", 10), ("big", "de", "b", 50), ("small", "de", "b", 0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    raked = mixing.raked(cells)
+    assert all(c.weight <= c.most * (1 + 1e-9) for c in raked.collect())
+    by = {(r.marginal, r.value): (r.target, r.reached) for r in mixing.marginals(raked).collect()}
+    assert by["source", "small"][0] == by["source", "small"][1] == 2 * 10 / 100_060
+    assert mixing.marginals(mixing.raked(cells.limit(0))).collect() == []

@@ -39,6 +39,45 @@ def test_recall_on_the_table(spark):
         assert all(abs(known[v] - s) < 1e-12 for _, v, s in found[q])
 
 
+def test_probes_alone_answer_the_given_queries(spark):
+    """Recall of the method without its exact path, which no query of the table takes; and the share of vectors visited."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    queries = [i for i, _ in rows if i % 50 == 0]
+    own, _, asked, best, _ = neighbours.probed_nearest(vectors, vectors.where("vec_id % 50 = 0"))
+    sure = neighbours.surely_reached(neighbours.TABLES, neighbours.HASHES, neighbours.WIDTH, neighbours.PROBES)
+    assert neighbours.unsure(own, asked, best, 5, sure).count() == 0
+    found, truth = {}, exact(rows, queries)
+    for r in best.collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(found[q] & {v for v, _ in truth[q]}) for q in queries) >= 0.9 * 5 * len(queries)
+
+
+def test_chance_of_being_reached():
+    """The simulated chance against hashing itself."""
+    rng = np.random.default_rng(5)
+    for cosine in (0.0, 0.3, 0.7):
+        hits = 0
+        for _ in range(150):
+            q = rng.normal(size=64)
+            q /= np.linalg.norm(q)
+            o = rng.normal(size=64)
+            o -= q * (o @ q)
+            v = cosine * q + np.sqrt(1 - cosine**2) * o / np.linalg.norm(o)
+            turn = np.linalg.qr(rng.normal(size=(64, 64)))[0]  # fixed directions, so turn the vectors
+            cell, inside = neighbours.cells(np.array([turn @ q, turn @ v]), 8, 8, 2.0)
+            hits += any((neighbours.probe_steps(inside[0, t], 64) == cell[1, t] - cell[0, t]).all(axis=1).any() for t in range(8))
+        assert abs(hits / 150 - neighbours.reach(cosine, 8, 8, 2.0, 64)) < 0.12
+    assert neighbours.surely_reached(8, 8, 2.0, 128) < 0.3 < neighbours.surely_reached(1, 8, 0.5, 2)
+
+
+def test_very_large_numbers(spark):
+    rows = [(0, [1e200, 0.0]), (1, [3e200, 0.0]), (2, [0.0, 1e-200]), (3, [5e-324, 5e-324])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in neighbours.nearest(vectors, vectors.where("vec_id = 0")).collect()}
+    assert got[1] == 1.0 and got[2] == 0.0 and abs(got[3] - 0.5**0.5) < 1e-15
+
+
 def test_copies_odd_vectors_and_blocks(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=8)

@@ -82,3 +82,79 @@ def test_archives_roll_and_lack_an_index(spark, tmp_path):
 def open_member(path):
     with zipfile.ZipFile(path) as z:
         return z.read(warc.DATA)
+
+
+def foreign(kind, number, payload, head=b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"):
+    block = head + payload
+    fields = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:%d>" % number, b"WARC-Target-URI: http://x/%d?\\u" % number, b"Content-Length: %d" % len(block)]
+    fields += [b"Content-Type: application/http; msgtype=response"] if head else [b"Content-Type: application/warc-fields"]
+    return b"\r\n".join(fields) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("index", ["two", "gzipped", "deflated", "none"])
+def test_several_members_of_another_writer(spark, tmp_path, index):
+    import gzip
+    import json
+
+    texts = {f"archive/part{k}.warc{'.gz' if k < 2 else ''}": [foreign(b"warcinfo", 100 * k, b"software: x", b"")] + [foreign(b"response", 100 * k + i, b"page %d " % i * (50 * i)) for i in range(1, 30)] for k in range(3)}
+    files, lines = {}, {}
+    for name, records in texts.items():
+        parts = [gzip.compress(r) for r in records] if name.endswith(".gz") else records
+        files[name] = b"".join(parts)
+        at = 0
+        for k, p in enumerate(parts):
+            lines.setdefault(name, []).append(f"x,{k:03d})/ 2020 " + json.dumps({"filename": name.rpartition("/")[2], "offset": str(at), "length": str(len(p))}))
+            at += len(p)
+    own = {n: "\n".join(["!meta {}", *reversed(x)]).encode() for n, x in lines.items()}  # not in the order of the data
+    both = b"\n".join(own.values())
+    if index == "two":
+        files |= {f"indexes/i{k}.cdxj": v for k, v in enumerate(list(own.values())[:2])}  # the third member is in no index
+    elif index == "gzipped":
+        files["indexes/all.cdx.gz"] = gzip.compress(both[:999]) + gzip.compress(both[999:])
+    data = zip_bytes(files)
+    if index == "deflated":
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, raw in files.items():
+                z.writestr(name, raw, zipfile.ZIP_STORED)
+            z.writestr("indexes/all.cdxj", both, zipfile.ZIP_DEFLATED)
+        data = out.getvalue()
+    (tmp_path / "other.wacz").write_bytes(data)
+    archive = spark.createDataFrame([(str(tmp_path / "other.wacz"),)], "path string")
+    for size in (500, 1 << 20):
+        got = {r.record_id: r for r in warc.read_records(warc.record_ranges(archive, size)).collect()}
+        assert got.keys() == {f"urn:uuid:{100 * k + i}" for k in range(3) for i in range(30)}
+        for i in range(1, 30):
+            r = got[f"urn:uuid:{100 + i}"]
+            assert (r.page_id, r.record_type, r.payload, r.url, r.payload_bytes) == (None, "response", b"page %d " % i * (50 * i), f"http://x/{100 + i}?\\u", len(b"page %d " % i * (50 * i)))
+        assert got["urn:uuid:200"].record_type == "warcinfo" and got["urn:uuid:200"].payload == b"software: x"
+
+
+def test_members_that_cannot_be_read_are_errors(spark, tmp_path):
+    import gzip
+
+    packed = {"packed": zip_bytes({"archive/a.warc.gz": b"x" * 99}, method=zipfile.ZIP_DEFLATED), "cut": zip_bytes({"archive/a.warc.gz": gzip.compress(foreign(b"response", 1, b"x" * 99))[:-9]})}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/a.warc.gz", b"x" * 99, zipfile.ZIP_DEFLATED)
+    packed["packed"] = out.getvalue()
+    for name, match in (("packed", "not stored"), ("cut", "cut off")):
+        (tmp_path / name).write_bytes(packed[name])
+        with pytest.raises(Exception, match=match):
+            warc.record_ranges(spark.createDataFrame([(str(tmp_path / name),)], "path string")).collect()
+
+
+def test_long_member_is_scanned_in_steps():
+    """No step holds more than its own bytes, whatever the member's size."""
+    import gzip
+
+    data = b"".join(gzip.compress(foreign(b"response", i, b"z" * 5000), mtime=0) for i in range(40))
+    asked = []
+
+    def read(offset, length):
+        asked.append(length)
+        return data[offset : offset + length]
+
+    places = list(warc.gzip_places(warc.stream(read, 0, len(data), step=64)))
+    assert max(asked) <= 64 and len(places) == 40 and sum(n for _, n in places) == len(data)
+    assert all(gzip.decompress(data[a : a + n]).startswith(b"WARC/") for a, n in places)
