@@ -6,11 +6,12 @@ from catalog import views as V
 from catalog.registry import cte, lazy_view, staged_view
 from routelore.operators import coverage as K
 from routelore.operators import features as X
+from routelore.operators.travel import of_source
 
 
 @staged_view
 def lookup(spark, d):
-    return K.source_lookup(V.transitions(spark, d), V.edges(spark, d))
+    return K.source_lookup(V.transitions(spark, d), V.travel(spark, d))
 
 
 cte(
@@ -22,15 +23,15 @@ cte(
     ELSE 'duplicate_route_in_multiple_sources' END AS source_status
 FROM (SELECT t.route_id, coalesce(bool_or(source = 'training_build'), false) AS b, coalesce(bool_or(source = 'training_apply'), false) AS a,
   coalesce(bool_or(source = 'evaluation_apply'), false) AS v, count(DISTINCT source) AS n
-  FROM (SELECT DISTINCT route_id FROM transitions) t LEFT JOIN edges e ON t.route_id = e.route_id GROUP BY t.route_id)""",
+  FROM (SELECT DISTINCT route_id FROM transitions) t LEFT JOIN edge_sources e ON t.route_id = e.route_id GROUP BY t.route_id)""",
     "transitions",
-    "edges",
+    "edge_sources",
 )
 
 
 @staged_view
 def travel_detail(spark, d):
-    return K.multi_source_detail(V.transitions(spark, d), V.edges(spark, d), lookup(spark, d))
+    return K.multi_source_detail(V.transitions(spark, d), V.travel(spark, d), lookup(spark, d))
 
 
 cte(
@@ -69,7 +70,7 @@ cte(
 @lazy_view
 def build_detail(spark, d):
     """Coverage against the first source alone."""
-    build = V.edges(spark, d).where("source = 'training_build'")
+    build = of_source(V.travel(spark, d), "training_build")
     return K.single_source_detail(V.transitions(spark, d), build)
 
 

@@ -255,6 +255,9 @@ DECIMALS: dict[str, dict[int, str]] = {
             "test_f1 test_average_precision test_log_loss"
         ),
     },
+    "m5_median_fills": {
+        6: "fill",
+    },
     "m5_class_weights": {
         6: "class_weight",
     },
@@ -264,8 +267,23 @@ DECIMALS: dict[str, dict[int, str]] = {
             "candidate_has_time_window travel_norm zone_penalty time_window_risk workload_norm"
         ),
     },
+    "f23_weights_from_text": {
+        9: "travel_weight preference_weight zone_weight time_window_weight workload_weight",
+    },
+    "g13_grid_mean_costs": {
+        6: "mean_cost",
+    },
+    "m4_served_features": {
+        6: "travel_time_ij same_zone candidate_package_count",
+    },
+    "t9_named_metrics_and_comparisons": {
+        6: "a b",
+    },
+    "u2_pooled_routes": {
+        6: "lcs_similarity",
+    },
     "g5_greedy_routes": {
-        6: "travel_time probability",
+        6: "travel_time probability cost",
     },
     "g6_actual_route_totals": {
         6: "total_travel_time same_zone_ratio",
@@ -324,6 +342,19 @@ DECIMALS: dict[str, dict[int, str]] = {
             "paired_t_statistic"
         ),
     },
+    "t6_bootstrap_intervals": {
+        6: "bootstrap_ci_low bootstrap_ci_high",
+    },
+    "t7_tests_without_tails": {
+        6: (
+            "mean_a mean_b mean_difference_a_minus_b mean_improvement median_a median_b "
+            "median_difference_a_minus_b percent_improvement_vs_b cohens_dz_raw cohens_dz_improvement "
+            "paired_t_statistic wilcoxon_statistic bootstrap_ci_low bootstrap_ci_high"
+        ),
+    },
+    "t8_summary_without_tails": {
+        6: "mean_a mean_b mean_improvement percent_improvement_vs_b cohens_dz_improvement",
+    },
     "t5_wilcoxon_statistics": {
         6: "wilcoxon_statistic tie_sum",
     },
@@ -358,6 +389,9 @@ DECIMALS: dict[str, dict[int, str]] = {
     "x4_weight_correlations": {
         6: "pearson_correlation spearman_correlation",
     },
+    "x6_finding_ids": {
+        6: "value",
+    },
     "x5_method_tradeoff": {
         6: "hybrid_value baseline_value hybrid_improvement_vs_baseline hybrid_percent_improvement_vs_baseline",
     },
@@ -383,6 +417,13 @@ DECIMALS: dict[str, dict[int, str]] = {
             "avg_zone_change_count"
         ),
     },
+    "r1_overall_metrics": {
+        6: (
+            "positive_rate accuracy precision recall f1 log_loss roc_auc average_precision sampled_top1_accuracy "
+            "sampled_top3_accuracy sampled_top5_accuracy mean_actual_positive_rank mrr "
+            "median_actual_positive_rank"
+        ),
+    },
     "r1_subgroup_route_progress": {
         6: (
             "positive_rate accuracy precision recall f1 log_loss roc_auc average_precision sampled_top1_accuracy "

@@ -103,7 +103,7 @@ def q26(spark, d):
 @query("m1_pairwise_samples", "SELECT * FROM samples", "samples")
 def m1(spark, d):
     return P.pairwise_samples(
-        V.transitions(spark, d), V.edges(spark, d), V.stops(spark, d), V.packages(spark, d), PV.requested(spark, d),
+        V.transitions(spark, d), V.travel(spark, d), V.stops(spark, d), V.packages(spark, d), PV.requested(spark, d),
         negatives=PV.NEGATIVES, seed=PV.SEED, generation_timestamp="fixed",
     )
 
@@ -111,7 +111,7 @@ def m1(spark, d):
 @lazy_view
 def sample_summary(spark, d):
     return P.sample_summary(
-        PV.drawn(spark, d), PV.requested(spark, d), V.transitions(spark, d), V.edges(spark, d), PV.NEGATIVES, PV.SEED
+        PV.drawn(spark, d), PV.requested(spark, d), V.transitions(spark, d), V.travel(spark, d), PV.NEGATIVES, PV.SEED
     )
 
 
@@ -123,12 +123,12 @@ cte(
   CASE WHEN positive_samples_written = 0 THEN 0.0 ELSE CAST(negative_samples_written AS DOUBLE) / positive_samples_written END AS average_negatives_per_positive,
   CAST(5 AS BIGINT) AS negative_samples_per_positive_requested, CAST(42 AS BIGINT) AS seed, 'parquet' AS output_format
 FROM (SELECT split, count(*) AS routes_requested, count(*) FILTER (m AND t) AS routes_processed, count(*) FILTER (source IS NULL) AS routes_skipped_missing_source,
-  count(*) FILTER (m AND NOT t) AS routes_skipped_missing_transitions FROM (SELECT *, EXISTS (SELECT 1 FROM edges e WHERE e.route_id = r.route_id AND e.source = r.source) AS m,
+  count(*) FILTER (m AND NOT t) AS routes_skipped_missing_transitions FROM (SELECT *, EXISTS (SELECT 1 FROM edge_sources e WHERE e.route_id = r.route_id AND e.source = r.source) AS m,
   EXISTS (SELECT 1 FROM transitions t WHERE t.route_id = r.route_id) AS t FROM requested r) GROUP BY split) r
 JOIN (SELECT split, count(*) FILTER (label = 1 AND travel_time_ij IS NOT NULL) AS positive_samples_written, count(*) FILTER (label = 0 AND travel_time_ij IS NOT NULL) AS negative_samples_written,
   count(*) FILTER (label = 1 AND travel_time_ij IS NULL) AS skipped_positive_missing_travel_time, count(*) FILTER (label = 0 AND travel_time_ij IS NULL) AS skipped_negative_missing_travel_time
-  FROM drawn d WHERE EXISTS (SELECT 1 FROM edges e WHERE e.route_id = d.route_id AND e.source = d.travel_time_source) GROUP BY split) d ON r.split = d.split""",
-    "requested", "edges", "transitions", "drawn",
+  FROM drawn d WHERE EXISTS (SELECT 1 FROM edge_sources e WHERE e.route_id = d.route_id AND e.source = d.travel_time_source) GROUP BY split) d ON r.split = d.split""",
+    "requested", "edge_sources", "transitions", "drawn",
 )
 query("m2_sample_summary", "SELECT * FROM sample_summary", "sample_summary")(sample_summary)
 
@@ -369,3 +369,38 @@ FROM samples WHERE split = 'train') GROUP BY label""", "samples")
 def m5(spark, d):
     weighted = ML.with_class_weights(PV.samples(spark, d).where("split = 'train'"))
     return weighted.groupBy("label").agg(F.count("*").alias("rows"), F.round(F.max("class_weight"), 9).alias("class_weight"))
+
+
+@query(
+    "m5_median_fills",
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(quantile_cont(CAST(CAST({c} AS FLOAT) AS DOUBLE), 0.5), 0) AS fill FROM samples WHERE split = 'train'" for c in ML.FEATURE_COLUMNS),
+    "samples",
+)
+def m5b(spark, d):
+    return ML.median_fills(ML.prepare(PV.samples(spark, d).where("split = 'train'"), ML.FEATURE_COLUMNS), ML.FEATURE_COLUMNS)
+
+
+_saved = ["travel_time_ij", " same_zone", "", "route_score", "candidate_package_count", "same_zone", "never_recorded"]
+
+
+@query(
+    "m4_served_features",
+    """SELECT split, count(*) AS rows, sum(travel_time_ij) AS travel_time_ij, sum(same_zone::DOUBLE) AS same_zone, sum(candidate_package_count) AS candidate_package_count, 0.0::DOUBLE AS never_recorded FROM samples GROUP BY split""",
+    "samples",
+)
+def m4(spark, d):
+    """A saved feature list read again: blanks, repeats and the route's score go, what the table lacks is served as 0."""
+    names = ML.serving_columns(_saved)
+    served = ML.serving_frame(PV.samples(spark, d), names)
+    return served.groupBy("split").agg(F.count("*").alias("rows"), *[F.sum(n).alias(n) for n in names])
+
+
+@query(
+    "m7_training_status",
+    """SELECT 'logistic_regression' AS model_name, 'trained' AS status, '' AS reason WHERE (SELECT count(*) FROM samples WHERE split = 'train') > 0
+UNION ALL SELECT 'no_such_model', 'skipped', 'ValueError: unknown model: no_such_model'""",
+    "samples",
+)
+def m7(spark, d):
+    rows = PV.samples(spark, d)
+    return ML.train_all(["logistic_regression", "no_such_model"], rows.where("split = 'train'"), ML.feature_columns([rows]))[1]

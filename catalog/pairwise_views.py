@@ -76,7 +76,7 @@ FROM splits s LEFT JOIN routes r ON s.route_id = r.route_id LEFT JOIN chosen l O
 @staged_view
 def drawn(spark, d):
     return P.candidate_rows(
-        V.transitions(spark, d), V.edges(spark, d), V.stops(spark, d), V.packages(spark, d), requested(spark, d),
+        V.transitions(spark, d), V.travel(spark, d), V.stops(spark, d), V.packages(spark, d), requested(spark, d),
         negatives=NEGATIVES, seed=SEED, generation_timestamp="fixed",
     )
 

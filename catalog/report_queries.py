@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import pairwise_queries as PQ
 from catalog import routing_views as RV
+from catalog import views as V
 from catalog.eda_queries import corr_sql
 from catalog.registry import cte, lazy_view, query, staged_view
 from routelore.operators import ablation as X
@@ -14,6 +15,7 @@ from routelore.operators import routing as G
 from routelore.operators import stats as T
 from routelore.operators import weights as WT
 from routelore.operators.metrics import subgroup_metrics
+from routelore.operators.sampling import top_rows
 from routelore.schemas import WEIGHTS
 
 COMPARISONS = [(G.BEST_LABEL, G.NEAREST), (G.BEST_LABEL, G.PREFERENCE)]
@@ -65,8 +67,8 @@ def t1(spark, d):
 query("t2_paired_values", "SELECT * FROM pairs", "pairs", recursive=True)(pairs.lazy)
 
 
-@query(
-    "t3_paired_effects",
+cte(
+    "effects",
     f"""SELECT split, comparison, metric, method_a, method_b, CASE WHEN {LOWER} THEN 'lower_is_better' ELSE 'higher_is_better' END AS metric_direction, count(*) AS n_pairs, avg(a) AS mean_a, avg(b) AS mean_b,
   avg(a - b) AS mean_difference_a_minus_b, avg(CASE WHEN {LOWER} THEN b - a ELSE a - b END) AS mean_improvement, quantile_cont(a, 0.5) AS median_a, quantile_cont(b, 0.5) AS median_b,
   quantile_cont(a - b, 0.5) AS median_difference_a_minus_b, CASE WHEN avg(b) <> 0 THEN avg(CASE WHEN {LOWER} THEN b - a ELSE a - b END) / abs(avg(b)) * 100 END AS percent_improvement_vs_b,
@@ -75,14 +77,17 @@ query("t2_paired_values", "SELECT * FROM pairs", "pairs", recursive=True)(pairs.
   CASE WHEN count(*) >= 2 AND stddev_samp(a - b) > 1e-8 THEN avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) END AS paired_t_statistic,
   CASE WHEN abs(avg(a) - avg(b)) <= 1e-9 * greatest(abs(avg(a)), abs(avg(b))) THEN 'tie' WHEN ({LOWER}) = (avg(a) < avg(b)) THEN method_a ELSE method_b END AS preferred_method_by_mean
 FROM pairs GROUP BY split, comparison, metric, method_a, method_b""",
-    "pairs", recursive=True,
+    "pairs",
 )
+
+
+@query("t3_paired_effects", "SELECT * FROM effects", "effects", recursive=True)
 def t3(spark, d):
     return T.paired_effects(pairs(spark, d)).drop("__sd", "__largest")
 
 
-@query(
-    "t5_wilcoxon_statistics",
+cte(
+    "signed_ranks",
     """SELECT g.split, g.comparison, g.metric, g.n AS n_pairs, CASE WHEN g.n < 2 THEN NULL WHEN g.most <= 1e-8 THEN 0.0::DOUBLE ELSE least(up, down) END AS wilcoxon_statistic,
   coalesce(nz, 0) AS n_nonzero, g.n - coalesce(nz, 0) AS n_zero, coalesce(ties, 0.0) AS tie_sum, g.most <= 1e-8 AS all_zero
 FROM (SELECT split, comparison, metric, count(*) AS n, max(abs(a - b)) AS most FROM pairs GROUP BY ALL) g LEFT JOIN (
@@ -90,13 +95,33 @@ SELECT split, comparison, metric, coalesce(sum(r) FILTER (x > 0), 0) AS up, coal
   SELECT *, rank() OVER (PARTITION BY split, comparison, metric ORDER BY abs(x)) + (count(*) OVER (PARTITION BY split, comparison, metric, abs(x)) - 1) / 2.0::DOUBLE AS r,
     count(*) OVER (PARTITION BY split, comparison, metric, abs(x)) AS c FROM (SELECT split, comparison, metric, a - b AS x FROM pairs WHERE a <> b)) GROUP BY split, comparison, metric) w
 ON g.split = w.split AND g.comparison = w.comparison AND g.metric = w.metric""",
-    "pairs", recursive=True,
+    "pairs",
 )
+
+
+@query("t5_wilcoxon_statistics", "SELECT * FROM signed_ranks", "signed_ranks", recursive=True)
 def t5(spark, d):
     return T.wilcoxon_statistics(pairs(spark, d))
 
 
-@query("t6_bootstrap_intervals")
+def intervals_sql(seeds: dict[str, int], iterations: int = 2000, alpha: float = 0.05) -> str:
+    """Bootstrap intervals with the seed of each split ('' for the others)."""
+    other = seeds[""]
+    named = {k: v for k, v in seeds.items() if k}
+    seed = ("CASE split " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in named.items()) + f" ELSE {other} END") if named else str(other)
+    count = " + ".join(f"(u >= {float(c)!r}::DOUBLE)::INT" for c in T._POISSON)
+    digits = lambda m, at: f"(('0x' || substr({m}, {at}, 8))::BIGINT % {T.PRIME})"
+    return f"""WITH reps AS MATERIALIZED (SELECT seed, r, {digits('m', 1)} AS f, {digits('m', 9)} AS g FROM (SELECT seed, r, md5(seed || '|' || r) AS m
+  FROM (SELECT unnest([{', '.join(map(str, sorted(set(seeds.values()))))}]) AS seed), (SELECT unnest(range({iterations})) AS r))),
+held AS MATERIALIZED (SELECT split, comparison, metric, CASE WHEN {LOWER} THEN b - a ELSE a - b END AS x, {digits("md5(concat_ws('|', split, comparison, metric, route_id))", 1)} AS h, {seed} AS seed FROM pairs),
+means AS (SELECT split, comparison, metric, r, sum(n * x) / nullif(sum(n), 0) AS value FROM (SELECT *, {count} AS n FROM (SELECT held.*, r, ((h * f + g) % {T.PRIME})::DOUBLE / {T.PRIME} AS u FROM held JOIN reps USING (seed))) GROUP BY ALL)
+SELECT split, comparison, metric, quantile_cont(value, {alpha / 2}) AS bootstrap_ci_low, quantile_cont(value, {1 - alpha / 2}) AS bootstrap_ci_high FROM means GROUP BY ALL"""
+
+
+cte("intervals", intervals_sql({"": 42, "all_splits": 1042}), "pairs")
+
+
+@query("t6_bootstrap_intervals", intervals_sql({"": 42}), "pairs", recursive=True)
 def t6(spark, d):
     return T.bootstrap_intervals(pairs(spark, d))
 
@@ -114,6 +139,62 @@ def t8(spark, d):
     return T.comparison_summary(tests(spark, d))
 
 
+#: What rests on a tail probability, which SQL lacks; the tails themselves are tested on known values.
+TAILS = ("paired_t_p_value", "wilcoxon_p_value", "paired_t_significant", "wilcoxon_significant", "interpretation")
+cte(
+    "tested",
+    """SELECT e.*, s.wilcoxon_statistic, CASE WHEN s.n_nonzero <= 50 AND s.n_zero = 0 AND s.tie_sum = 0 THEN 'exact' ELSE 'normal_approximation' END AS wilcoxon_p_method,
+  i.bootstrap_ci_low, i.bootstrap_ci_high, CAST(2000 AS BIGINT) AS bootstrap_iterations, 0.05::DOUBLE AS alpha,
+  coalesce((i.bootstrap_ci_low > 0 AND i.bootstrap_ci_high > 0) OR (i.bootstrap_ci_low < 0 AND i.bootstrap_ci_high < 0), false) AS bootstrap_ci_excludes_zero
+FROM effects e LEFT JOIN signed_ranks s ON e.split = s.split AND e.comparison = s.comparison AND e.metric = s.metric
+LEFT JOIN intervals i ON e.split = i.split AND e.comparison = i.comparison AND e.metric = i.metric""",
+    "effects", "signed_ranks", "intervals",
+)
+
+
+@query("t7_tests_without_tails", "SELECT * FROM tested", "tested", recursive=True)
+def t7b(spark, d):
+    return tests(spark, d).drop(*TAILS)
+
+
+_summary = [c for c in T.COMPARISON_COLUMNS if c not in TAILS]
+
+
+@query("t8_summary_without_tails", f"SELECT {', '.join(_summary)} FROM tested", "tested", recursive=True)
+def t8b(spark, d):
+    return T.comparison_summary(tests(spark, d)).drop(*TAILS)
+
+
+@query(
+    "t9_named_metrics_and_comparisons",
+    f"SELECT * FROM pairs WHERE metric IN ('lcs_similarity', 'zone_change_count') AND method_b = '{G.NEAREST}' AND split <> 'all_splits'",
+    "pairs", recursive=True,
+)
+def t9(spark, d):
+    m = RV.metrics(spark, d)
+    return T.paired_values(m, [T.parse_comparison(f" {G.BEST_LABEL}: {G.NEAREST} ")], T.select_metrics(m, ["lcs_similarity", "not_measured", "zone_change_count"]))
+
+
+@query(
+    "u2_pooled_routes",
+    "SELECT split, method, route_id, stop_count, lcs_similarity FROM metrics_all WHERE split = 'all_splits'",
+    "metrics_all", recursive=True,
+)
+def u2(spark, d):
+    return T.pooled_splits(RV.metrics(spark, d)).select("split", "method", "route_id", "stop_count", "lcs_similarity")
+
+
+_top = "SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE {} ORDER BY l_extendedprice DESC, l_returnflag, l_orderkey, l_linenumber LIMIT 25"
+
+
+@query("k4_preferred_top_rows", f"(SELECT 'held' AS asked, * FROM ({_top.format("lower(l_returnflag) = 'a'")})) UNION ALL (SELECT 'absent', * FROM ({_top.format('true')}))")
+def k4(spark, d):
+    """The dearest lines of a preferred kind, and of all where none has it."""
+    rows = V.table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+    held, absent = (top_rows(rows, "l_extendedprice", 25, prefer=("l_returnflag", kind)) for kind in ("a", "by hand"))
+    return held.select(F.lit("held").alias("asked"), "*").unionAll(absent.select(F.lit("absent").alias("asked"), "*"))
+
+
 # ---- ablation ---------------------------------------------------------------------------------------------------
 def targets_sql() -> str:
     rows = [f"SELECT '{n}' AS target_name, " + ", ".join(f"{v}::DOUBLE AS target_{w}" for w, v in zip(WEIGHTS, vs)) for n, vs in X.TARGETS]
@@ -231,12 +312,16 @@ def x5(spark, d):
 
 @query(
     "x6_finding_ids",
-    "SELECT unnest(['selected_weight_structure', 'p1_preliminary_competitiveness', 'zero_proxy_terms_interpretation', 'hybrid_tradeoff']) AS finding_id WHERE (SELECT count(*) FROM results) > 0",
-    "results",
+    f"""SELECT 'selected_weight_structure' AS finding_id, 'best_weight_summary' AS evidence, item, value FROM (SELECT unnest([{', '.join(f"{{'item': '{w}', 'value': {w}::DOUBLE}}" for w in WEIGHTS)}], recursive := true) FROM best)
+UNION ALL SELECT 'p1_preliminary_competitiveness', 'ablation_weight_candidates', item, value FROM (SELECT unnest([{', '.join(f"{{'item': '{c}', 'value': {c}::DOUBLE}}" for c in ('rank', 'validation_score', 'target_l1_distance'))}], recursive := true)
+  FROM candidates WHERE target_name = 'p1_preliminary_all_components' AND matched)
+UNION ALL SELECT 'zero_proxy_terms_interpretation', 'best_weight_summary', item, value FROM (SELECT unnest([{', '.join(f"{{'item': '{w}_is_zero', 'value': ({w} = 0)::INT::DOUBLE}}" for w in WEIGHTS)}], recursive := true) FROM best)
+UNION ALL SELECT 'hybrid_tradeoff', 'route_generation_method_tradeoff_summary', split || '/' || baseline_method || '/' || metric, hybrid_improvement_vs_baseline FROM tradeoff""",
+    "best", "candidates", "tradeoff", recursive=True,
 )
 def x6(spark, d):
     results = RV.results(spark, d)
-    return X.findings(WT.best_weights(results), candidates(spark, d), X.method_tradeoff(method_summary(spark, d))).select("finding_id")
+    return X.findings(WT.best_weights(results), candidates(spark, d), X.method_tradeoff(method_summary(spark, d)))
 
 
 # ---- report tables ----------------------------------------------------------------------------------------------
@@ -286,6 +371,33 @@ def r1c(spark, d):
     return R.statistical_table(T.comparison_summary(tests(spark, d)))
 
 
+def display_sql(c: str, names) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {c} END"
+
+
+_rounded = ("mean_a", "mean_b", "mean_improvement", "percent_improvement_vs_b", "cohens_dz_improvement")
+
+
+@query(
+    "r1_statistics_without_tails",
+    f"""SELECT split, comparison, {display_sql('method_a', R.METHOD_NAMES)} AS method_a_display, {display_sql('method_b', R.METHOD_NAMES)} AS method_b_display, metric, {display_sql('metric', R.METRIC_LABELS)} AS metric_display,
+  metric_direction, n_pairs, {r4(_rounded)}, preferred_method_by_mean FROM effects WHERE metric IN ({', '.join(f"'{m}'" for m in R.KEY_TEST_METRICS)}) OR NOT EXISTS (SELECT 1 FROM effects WHERE metric IN ({', '.join(f"'{m}'" for m in R.KEY_TEST_METRICS)}))""",
+    "effects", recursive=True,
+)
+def r1c2(spark, d):
+    return R.statistical_table(T.comparison_summary(tests(spark, d))).drop(*TAILS)
+
+
+@query(
+    "r1_component_families",
+    f"SELECT component_family, candidate_count, best_weight_id, best_rank, {r4([c for w in WEIGHTS for c in (f'best_{w}',)] + ['best_validation_score'])}, {r4([f'{k}_{m}' for m in X.WEIGHT_METRICS for k in ('mean', 'median')])} FROM families",
+    "families",
+)
+def r1f(spark, d):
+    found = families(spark, d)
+    return R.select_present(found, found.columns)
+
+
 @query(
     "r1_ablation_table",
     f"""SELECT target_name AS candidate_label, weight_id, {r4(WEIGHTS)}, rank, {r4(['validation_score', 'avg_travel_time_ratio_to_actual', 'avg_lcs_similarity', 'avg_generated_same_zone_ratio', 'avg_zone_change_count'])} FROM candidates""",
@@ -305,15 +417,21 @@ def subgroups(spark, d):
 cte("subgroup_metrics", PQ.all_sql("subgroup_rows", "split, group_name, group_value"), "subgroup_rows")
 
 
-@query(
-    "r1_subgroup_route_progress",
-    "SELECT * REPLACE (" + ", ".join(
+def subgroup_table_sql(group: str) -> str:
+    rounded = ", ".join(
         f"round({c}, 4) AS {c}"
         for c in ("positive_rate", "accuracy", "precision", "recall", "f1", "log_loss", "roc_auc", "average_precision", "sampled_top1_accuracy",
                   "sampled_top3_accuracy", "sampled_top5_accuracy", "mean_actual_positive_rank", "mrr", "median_actual_positive_rank")
-    ) + ") FROM subgroup_metrics WHERE group_name = 'route_progress_bin'",
-    "subgroup_metrics",
-)
+    )
+    return f"SELECT * REPLACE ({rounded}) FROM subgroup_metrics WHERE group_name = '{group}'"
+
+
+@query("r1_overall_metrics", subgroup_table_sql("overall"), "subgroup_metrics")
+def r1h(spark, d):
+    return R.subgroup_table(subgroups(spark, d), "overall")
+
+
+@query("r1_subgroup_route_progress", subgroup_table_sql("route_progress_bin"), "subgroup_metrics")
 def r1e(spark, d):
     return R.subgroup_table(subgroups(spark, d), "route_progress_bin")
 

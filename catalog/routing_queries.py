@@ -8,9 +8,11 @@ from catalog import pairwise_views as PV
 from catalog import routing_views as RV
 from catalog import views as V
 from catalog.registry import query
+from routelore.functions import scalars as S
 from routelore.operators import joins as J
 from routelore.operators import routing as G
 from routelore.operators import weights as WT
+from routelore.operators.ordering import attach_single_row
 from routelore.schemas import WEIGHTS
 
 
@@ -56,7 +58,7 @@ FIRST = "(SELECT route_id, 'x' AS method, CAST(0 AS BIGINT) AS step, CAST(0 AS B
 
 def _first(spark, d):
     decisions, unvisited = G.first_decisions(RV.members(spark, d))
-    return G.decision_candidates(decisions, unvisited, RV.chosen_edges(spark, d), ["route_id"])
+    return G.decision_candidates(decisions, unvisited, RV.chosen_travel(spark, d), ["route_id"])
 
 
 @query(
@@ -87,7 +89,7 @@ def g4(spark, d):
     return G.choose_next(rows, ["route_id", "method"], F.col("method")).select("route_id", "method", "candidate_count", "candidate_stop")
 
 
-query("g5_greedy_routes", "SELECT * FROM steps", "steps", recursive=True)(lambda spark, d: RV.steps.lazy(spark, d).drop("cost"))
+query("g5_greedy_routes", "SELECT * FROM steps", "steps", recursive=True)(lambda spark, d: RV.steps.lazy(spark, d).drop("plans_sharing"))
 
 
 @query(
@@ -103,7 +105,7 @@ def s8(spark, d):
 @query("g6_actual_route_totals", "SELECT route_id, total_travel_time, same_zone_ratio, zone_change_count FROM driven_legs", "driven_legs")
 def g6(spark, d):
     legs = G.sequence_legs(RV.actual(spark, d), ["route_id"])
-    return G.leg_totals(legs, RV.chosen_edges(spark, d), RV.zones(spark, d), ["route_id"])
+    return G.leg_totals(legs, RV.chosen_travel(spark, d), RV.zones(spark, d), ["route_id"])
 
 
 KEYS = ["route_id", "method", "weight_id"]
@@ -116,7 +118,7 @@ def g7(spark, d):
 
 @query("g9_generated_leg_totals", "SELECT * FROM made_legs", "made_legs", recursive=True)
 def g9(spark, d):
-    return G.leg_totals(G.sequence_legs(RV.steps(spark, d), KEYS), RV.chosen_edges(spark, d), RV.zones(spark, d), KEYS)
+    return G.leg_totals(G.sequence_legs(RV.steps(spark, d), KEYS), RV.chosen_travel(spark, d), RV.zones(spark, d), KEYS)
 
 
 query("g11_route_metrics", "SELECT * FROM metrics", "metrics", recursive=True)(RV.metrics.lazy)
@@ -132,7 +134,7 @@ def g15(spark, d):
     """300 vectors of the 0.05 grid on all admitted routes, averaged, scored and ranked."""
     grid = WT.weight_grid(spark, 0.05, 300)
     members = RV.members(spark, d)
-    evaluated = WT.evaluate_weights(members, RV.chosen_edges(spark, d), grid, RV.SCORER, RV.actual(spark, d))
+    evaluated = WT.evaluate_weights(members, RV.chosen_travel(spark, d), grid, RV.SCORER, RV.actual(spark, d))
     return WT.weight_results(evaluated)
 
 
@@ -177,3 +179,22 @@ ON a.route_id = b.route_id AND a.stop_id = b.stop_id""",
 )
 def g19(spark, d):
     return G.stops_from_samples(PV.samples(spark, d))
+
+
+_terms = ("travel_norm", "1.0::DOUBLE - p", "zone_penalty", "time_window_risk", "workload_norm")
+_parts = ", ".join(f"avg({c}) AS c{i}" for i, c in enumerate(_terms))
+_grid = "SELECT a, b, c, e, 20 - a - b - c - e AS f FROM " + ", ".join(f"(SELECT unnest(range(21)) AS {x})" for x in "abce") + " WHERE a + b + c + e <= 20"
+
+
+@query(
+    "g13_grid_mean_costs",
+    f"""SELECT {', '.join(f'round({x} / 20.0::DOUBLE, 10) AS {w}' for x, w in zip("abcef", WEIGHTS))}, {' + '.join(f'round({x} / 20.0::DOUBLE, 10) * c{i}' for i, x in enumerate("abcef"))} AS mean_cost
+FROM ({_grid}), (SELECT {_parts} FROM ({RV.candidates_sql(FIRST)}))""",
+    "members", "chosen_edges",
+)
+def g13(spark, d):
+    """Every vector of the weight grid with the mean cost that it gives the first decisions' candidates."""
+    scored = G.with_costs(_first(spark, d), RV.SCORER.column(), [0.2] * 5)
+    means = scored.agg(*[F.avg(c).alias(c) for c in G.COMPONENTS])
+    grid = attach_single_row(WT.full_grid(spark, 0.05), means)
+    return grid.select(*WEIGHTS, S.weighted_cost([F.col(c) for c in G.COMPONENTS], [F.col(w) for w in WEIGHTS]).alias("mean_cost"))

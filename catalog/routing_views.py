@@ -27,7 +27,7 @@ def sequence(spark, d):
 def admitted(spark, d):
     ids = PV.splits(spark, d)
     checked = G.sequence_admission(ids, sequence(spark, d))
-    return G.route_admission(checked, CV.lookup(spark, d), V.edges(spark, d))
+    return G.route_admission(checked, CV.lookup(spark, d), V.travel(spark, d))
 
 
 cte(
@@ -60,9 +60,9 @@ LEFT JOIN stops s ON s.route_id = q.route_id AND s.stop_id = q.stop_id LEFT JOIN
 )
 
 
-@staged_view
-def chosen_edges(spark, d):
-    return G.edges_of_admitted(V.edges(spark, d), admitted(spark, d))
+@lazy_view
+def chosen_travel(spark, d):
+    return G.edges_of_admitted(V.travel(spark, d), admitted(spark, d))
 
 
 cte(
@@ -85,7 +85,7 @@ def zones(spark, d):
 
 @staged_view
 def steps(spark, d):
-    return G.generate_routes(members(spark, d), chosen_edges(spark, d), PLANS, SCORER)
+    return G.generate_routes(members(spark, d), chosen_travel(spark, d), PLANS, SCORER)
 
 
 def probability(c: str) -> str:
@@ -114,24 +114,24 @@ COST = " + ".join(f"{w}::DOUBLE * {c}" for w, c in zip(BEST, ("travel_norm", "(1
 BADNESS = f"CASE method WHEN '{G.NEAREST}' THEN coalesce(tt, 1e300::DOUBLE) WHEN '{G.PREFERENCE}' THEN -p ELSE cost END"
 cte(
     "walk",
-    f"""SELECT m.route_id, t.method, CAST(0 AS BIGINT) AS step, m.pos AS cur, [m.pos] AS visited, m.n AS cand, CAST(NULL AS DOUBLE) AS tt, CAST(NULL AS DOUBLE) AS p
+    f"""SELECT m.route_id, t.method, CAST(0 AS BIGINT) AS step, m.pos AS cur, [m.pos] AS visited, m.n AS cand, CAST(NULL AS DOUBLE) AS tt, CAST(NULL AS DOUBLE) AS p, CAST(NULL AS DOUBLE) AS cost
 FROM members m, (VALUES ('{G.NEAREST}'), ('{G.PREFERENCE}'), ('{G.HYBRID}')) t(method) WHERE m.pos = 0
-UNION ALL SELECT route_id, method, step + 1, b.pos, list_append(visited, b.pos), cand, b.tt, b.p FROM (
-  SELECT route_id, method, any_value(step) AS step, any_value(visited) AS visited, count(*) AS cand, arg_min({{'pos': pos, 'tt': tt, 'p': p}}, [{BADNESS}, CAST(pos AS DOUBLE)]) AS b
+UNION ALL SELECT route_id, method, step + 1, b.pos, list_append(visited, b.pos), cand, b.tt, b.p, b.cost FROM (
+  SELECT route_id, method, any_value(step) AS step, any_value(visited) AS visited, count(*) AS cand, arg_min({{'pos': pos, 'tt': tt, 'p': p, 'cost': CASE WHEN method = '{G.HYBRID}' THEN cost ELSE 0.0::DOUBLE END}}, [{BADNESS}, CAST(pos AS DOUBLE)]) AS b
   FROM (SELECT *, {COST} AS cost FROM ({candidates_sql('walk')})) GROUP BY route_id, method)""",
     "members", "chosen_edges",
 )
 cte(
     "steps",
     f"""SELECT w.route_id, w.method, CASE w.method WHEN '{G.HYBRID}' THEN 'best' ELSE '' END AS weight_id, w.step AS position, m.stop_id, w.cur AS actual_position, w.cand AS candidate_count,
-  w.tt AS travel_time, w.p AS probability FROM walk w JOIN members m ON m.route_id = w.route_id AND m.pos = w.cur""",
+  w.tt AS travel_time, w.p AS probability, w.cost FROM walk w JOIN members m ON m.route_id = w.route_id AND m.pos = w.cur""",
     "walk", "members",
 )
 
 
 @staged_view
 def metrics(spark, d):
-    raw = G.route_metrics(steps(spark, d), actual(spark, d), chosen_edges(spark, d), zones(spark, d))
+    raw = G.route_metrics(steps(spark, d), actual(spark, d), chosen_travel(spark, d), zones(spark, d))
     header = members(spark, d).where("position = 0").select("route_id", "split")
     return raw.join(header, "route_id").withColumn(
         "method", F.when(F.col("method") == G.HYBRID, G.BEST_LABEL).otherwise(F.col("method"))

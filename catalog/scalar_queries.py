@@ -9,6 +9,7 @@ from catalog.registry import cte, query
 from routelore.functions import scalars as S
 from routelore.operators import report as R
 from routelore.operators.distribution import counts_with_share, fixed_bins
+from routelore.schemas import WEIGHTS
 
 cte(
     "texts",
@@ -25,6 +26,20 @@ def texts(spark, d):
     return V.table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", t.otherwise(F.col("p_brand")).alias("t"))
 
 
+_text = "CASE s_suppkey % 10 WHEN 0 THEN 'a,1,1,1,1' WHEN 1 THEN '0,0,-2,0,0' WHEN 2 THEN '1,2' ELSE concat_ws(',', s_suppkey % 4 - 1, s_suppkey % 3, s_suppkey % 5, s_suppkey % 2, ' 1.5') END"
+
+
+@query(
+    "f23_weights_from_text",
+    f"""SELECT s_suppkey, {', '.join(f'CASE WHEN fits THEN list_extract(w, {i}) / list_sum(w) END AS {name}' for i, name in enumerate(WEIGHTS, 1))} FROM (
+SELECT s_suppkey, list_transform(v, lambda x: greatest(x, 0)) AS w, len(v) = 5 AND len(list_filter(v, lambda x: x IS NULL)) = 0 AND list_sum(list_transform(v, lambda x: greatest(x, 0))) > 0 AS fits
+FROM (SELECT s_suppkey, list_transform(string_split({_text}, ','), lambda x: try_cast(x AS DOUBLE)) AS v FROM supplier))""",
+)
+def f23(spark, d):
+    rows = V.table(spark, d, "supplier").select("s_suppkey", F.expr(_text).alias("t"))
+    return rows.select("s_suppkey", S.weights_of_text(F.col("t"), WEIGHTS).alias("w")).select("s_suppkey", *[F.col(f"w.{n}").alias(n) for n in WEIGHTS])
+
+
 @query(
     "f1_missing_and_lenient_values",
     """SELECT p_partkey, t IS NULL OR trim(t) = '' AS missing, coalesce(lower(trim(t)) IN ('true', '1', 'yes', 'y'), false) AS truth, try_cast(CASE WHEN trim(t) = 'nan' THEN NULL ELSE t END AS DOUBLE) AS number,

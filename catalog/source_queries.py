@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from catalog import coverage_views as CV
 from catalog import pairwise_views as PV
 from catalog import views as V
 from catalog.registry import query
 from routelore import schemas
+from routelore.operators.coverage import SOURCES
 from routelore.operators.models import FEATURE_COLUMNS
+from routelore.operators.travel import with_times
 from routelore.sources import files, nested
 from routelore.sources.staging import scratch_folder
 
@@ -20,24 +23,29 @@ def fresh(spark, name: str) -> str:
     return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _write_nested(df, path: str) -> str:
-    """Rows of (route_id, body) as JSON Lines."""
-    df.write.json(path)
-    return f"{path}/*.json"
+def _write_keyed(df, path: str, files: int) -> str:
+    """Rows of (route_id, body) as JSON objects keyed by route, one per file, in lines that begin anywhere in an entry."""
 
+    def lines(batches):
+        head = "{"
+        for b in batches:
+            own = [f"{head if k == 0 else ','}\n{e}" for k, e in enumerate(b.column("entry").to_pylist())]
+            head = "," if own else head
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}" if head == "{" else "}"])], names=["value"])
 
-def _read_lines(spark, pattern: str, value: T.DataType):
-    line = T.StructType([T.StructField("route_id", T.StringType()), T.StructField("body", value)])
-    return spark.read.schema(line).option("mode", "FAILFAST").json(pattern)
+    entry = F.concat(F.lit('"'), "route_id", F.lit('": '), F.to_json("body", {"ignoreNullFields": "false"})).alias("entry")
+    df.select(entry).repartition(files, "entry").mapInArrow(lines, "value string").write.text(path)
+    return f"{path}/*.txt"
 
 
 @query("s1_nested_stops", "SELECT route_id, stop_id, lat, lng, type, zone_id FROM raw_stops", "raw_stops")
 def s1(spark, d):
-    """Stops as nested JSON Lines, one stop per object, and back."""
+    """Stops as nested objects keyed by route, one stop per entry, in two files and back, cut in chunks of 64 KB."""
     s = V.raw_stops(spark, d)
     body = F.struct(F.create_map("stop_id", F.struct("lat", "lng", "type", "zone_id")).alias("stops"))
-    pattern = _write_nested(s.select("route_id", body.alias("body")), fresh(spark, "stops"))
-    return nested.stop_rows(_read_lines(spark, pattern, schemas.RAW_ROUTE)).drop("stop_order")
+    pattern = _write_keyed(s.select("route_id", body.alias("body")), fresh(spark, "stops"), 2)
+    return nested.stop_rows(nested.read_keyed(spark, pattern, schemas.RAW_ROUTE, 1 << 16)).drop("stop_order")
 
 
 @query(
@@ -46,29 +54,28 @@ def s1(spark, d):
 )
 def s2(spark, d):
     orders = V.table(spark, d, "orders")
-    frames = []
+    parts = []
     for status in ("F", "O", "P"):
         body = F.struct(F.col("o_totalprice").alias("executor_capacity_cm3"))
         rows = orders.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").cast("string").alias("route_id"), body.alias("body"))
-        pattern = _write_nested(rows, fresh(spark, f"part-{status}"))
-        frames.append(nested.route_rows(_read_lines(spark, pattern, schemas.RAW_ROUTE)).withColumn("part", F.lit(f"part_{status}")))
-    out = frames[0].unionByName(frames[1]).unionByName(frames[2])
-    return out.select("route_id", "part", "executor_capacity_cm3")
+        parts.append(nested.Part(f"part_{status}", routes=_write_keyed(rows, fresh(spark, f"part-{status}"), 2)))
+    return nested.read_parts(spark, parts, "routes").select("route_id", "part", "executor_capacity_cm3")
 
 
-@query("s3_travel_matrix_edges", "SELECT route_id, from_stop, to_stop, travel_time, source FROM edges", "edges")
+@query(
+    "s3_travel_matrix_edges",
+    "SELECT e.route_id, e.from_stop, e.to_stop, e.travel_time, e.source FROM edges e JOIN transitions t ON e.route_id = t.route_id AND e.from_stop = t.from_stop AND e.to_stop = t.to_stop WHERE e.travel_time IS NOT NULL",
+    "edges", "transitions",
+)
 def s3(spark, d):
-    """Matrix rows per (route, from stop) as nested JSON Lines for each source, read back as edges."""
-    edges = V.edges(spark, d)
-    out = None
-    for source in ("training_build", "training_apply", "evaluation_apply"):
-        row = F.map_from_entries(F.collect_list(F.struct("to_stop", "travel_time")))  # one matrix row: at most one entry per neighbour
-        rows = edges.where(F.col("source") == source).groupBy("route_id", "from_stop").agg(row.alias("row"))
-        pattern = _write_nested(rows.select("route_id", F.create_map("from_stop", "row").alias("body")), fresh(spark, source))
-        keyed = _read_lines(spark, pattern, schemas.RAW_TRAVEL_TIMES)
-        part = nested.edge_rows(keyed, source)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Matrix rows of the driven legs as keyed objects for each source, read back as edges."""
+    legs = V.transitions(spark, d).select("route_id", "from_stop", "to_stop").join(V.route_sources(spark, d), "route_id")
+    edges = with_times(legs, V.travel(spark, d), "travel_time", source="source").where("travel_time IS NOT NULL")
+    paths = {}
+    for source in SOURCES:
+        cell = F.create_map("from_stop", F.create_map("to_stop", "travel_time"))
+        paths[source] = _write_keyed(edges.where(F.col("source") == source).select("route_id", cell.alias("body")), fresh(spark, source), 4)
+    return nested.read_edges(spark, paths)
 
 
 @query("s4_checked_csv", "SELECT * FROM packages", "packages")

@@ -1,18 +1,17 @@
 """Route domain over the driver's tables: users are routes, events are stops, order lines are packages.
 
-Each Spark view has a SQL twin of the same name in ``registry.CTES``. Views are linear in the driver's tables:
-the travel graph links each stop to the 3 before and the 10 after it, not to every other stop.
+Each Spark view has a SQL twin of the same name in ``registry.CTES``. Views are linear in the driver's tables: the travel time
+between any two stops of a route follows from both, and only the pairs that are asked for are made.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.registry import cte, lazy_view, staged_view
 from routelore.operators import cleaning as C
-from routelore.operators.ordering import ordered_positions
-
-BAND_BACK, BAND_AHEAD = 3, 100
+from routelore.operators.travel import StopTravel
 
 
 @lazy_view
@@ -265,56 +264,42 @@ cte(
 )
 
 
-# ---- travel graph -----------------------------------------------------------------------------------------------
+# ---- travel times -----------------------------------------------------------------------------------------------
+def _seconds(a, b, source):
+    """No time from an error to a signup (the matrix lacks the pair) nor between errors (it holds none)."""
+    none = (a["event_type"] == "error") & b["event_type"].isin("error", "signup")
+    late = F.when(source == "training_apply", 5.0).otherwise(0.0)
+    return F.when(~none, F.round(F.abs(a["value"] - b["value"]) * 100) + 1 + late)
+
+
+def _seconds_row(a, b, source):
+    none = (a["event_type"] == "error") & np.isin(b["event_type"].astype(str), ("error", "signup"))
+    seconds = np.floor(np.abs(a["value"] - b["value"]) * 100 + 0.5) + 1 + (5.0 if source == "training_apply" else 0.0)
+    return np.where(none, np.nan, seconds)
+
+
 @staged_view
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """route_id, from_stop, to_stop, travel_time, source. A route can be in several sources or in none."""
-    e = table(spark, d, "events").select(
-        F.col("user_id").cast("string").alias("route_id"),
-        F.col("event_id").cast("string").alias("stop_id"),
-        "ts",
-        "event_type",
-        "value",
-    )
-    at = ordered_positions(e.withColumn("o", F.unix_micros(F.col("ts").cast("timestamp"))), ["route_id"], ["o", "stop_id"])
-    band = F.sequence(F.lit(-BAND_BACK), F.lit(BAND_AHEAD)).cast("array<bigint>")
-    left = at.select(
-        "route_id",
-        F.col("stop_id").alias("from_stop"),
-        F.col("event_type").alias("from_type"),
-        F.col("value").alias("from_value"),
-        "position",
-        F.explode(F.filter(band, lambda x: x != 0)).alias("step"),
-    ).withColumn("position", F.col("position") + F.col("step"))
-    right = at.select(
-        "route_id",
-        "position",
-        F.col("stop_id").alias("to_stop"),
-        F.col("event_type").alias("to_type"),
-        F.col("value").alias("to_value"),
-    )
-    c = table(spark, d, "customer").select(
-        F.col("c_custkey").cast("string").alias("route_id"), "c_nationkey", "c_acctbal"
-    )
+def route_sources(spark: SparkSession, d: str) -> DataFrame:
+    """route_id and source. A route can be in several sources or in none; one of a single stop has no pairs."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey", "c_acctbal")
     main = (
         F.when(F.col("c_nationkey") < 14, "training_build")
         .when(F.col("c_nationkey") < 20, "training_apply")
         .otherwise("evaluation_apply")
     )
     second = F.when(F.col("c_acctbal") > 9000, "training_apply")
-    none = F.col("c_acctbal") < -500
     sources = F.array_distinct(F.array_compact(F.array(main, second)))
-    per_route = c.where(~none).select("route_id", F.explode(sources).alias("source"))
-    both_error = (F.col("from_type") == "error") & (F.col("to_type") == "error")
-    absent = (F.col("from_type") == "error") & (F.col("to_type") == "signup")
-    seconds = F.round(F.abs(F.col("from_value") - F.col("to_value")) * 100) + 1
-    late = F.when(F.col("source") == "training_apply", 5.0).otherwise(0.0)
-    return (
-        left.join(right, ["route_id", "position"])
-        .where(~absent)
-        .join(per_route, "route_id")
-        .select("route_id", "from_stop", "to_stop", F.when(~both_error, seconds + late).alias("travel_time"), "source")
+    paired = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).where("n > 1")
+    per_route = c.where(~(F.col("c_acctbal") < -500)).join(paired, "user_id", "left_semi")
+    return per_route.select(F.col("user_id").cast("string").alias("route_id"), F.explode(sources).alias("source"))
+
+
+@lazy_view
+def travel(spark: SparkSession, d: str) -> StopTravel:
+    e = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("route_id"), F.col("event_id").cast("string").alias("stop_id"), "event_type", "value"
     )
+    return StopTravel(e, route_sources(spark, d), ("event_type", "value"), _seconds, _seconds_row)
 
 
 cte(
@@ -322,21 +307,17 @@ cte(
     """SELECT DISTINCT route_id, source FROM (SELECT CAST(c_custkey AS VARCHAR) AS route_id,
   CASE WHEN c_nationkey < 14 THEN 'training_build' WHEN c_nationkey < 20 THEN 'training_apply' ELSE 'evaluation_apply' END AS source
   FROM customer WHERE NOT c_acctbal < -500
-UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'training_apply' FROM customer WHERE c_acctbal > 9000)""",
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'training_apply' FROM customer WHERE c_acctbal > 9000 AND NOT c_acctbal < -500)
+WHERE route_id IN (SELECT CAST(user_id AS VARCHAR) FROM events GROUP BY user_id HAVING count(*) > 1)""",
 )
 cte(
     "edges",
-    f"""SELECT a.route_id, a.stop_id AS from_stop, b.stop_id AS to_stop,
+    """SELECT a.route_id, a.stop_id AS from_stop, b.stop_id AS to_stop,
   CASE WHEN NOT (a.event_type = 'error' AND b.event_type = 'error') THEN round(abs(a.value - b.value) * 100) + 1
     + CASE WHEN s.source = 'training_apply' THEN 5.0 ELSE 0.0 END END AS travel_time, s.source
-FROM placed a JOIN placed b ON a.route_id = b.route_id AND b.position BETWEEN a.position - {BAND_BACK} AND a.position + {BAND_AHEAD}
-  AND b.position <> a.position
+FROM placed a JOIN placed b ON a.route_id = b.route_id AND b.stop_id <> a.stop_id
 JOIN edge_sources s ON a.route_id = s.route_id WHERE NOT (a.event_type = 'error' AND b.event_type = 'signup')""",
     "placed",
     "edge_sources",
 )
-cte(
-    "placed",
-    """SELECT CAST(user_id AS VARCHAR) AS route_id, CAST(event_id AS VARCHAR) AS stop_id, event_type, value,
-  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), CAST(event_id AS VARCHAR)) - 1 AS position FROM events""",
-)
+cte("placed", "SELECT CAST(user_id AS VARCHAR) AS route_id, CAST(event_id AS VARCHAR) AS stop_id, event_type, value FROM events")

@@ -245,6 +245,14 @@ def parse_weights(text: str, names: Sequence[str]) -> dict[str, float]:
     return {n: v / total for n, v in zip(names, values)}
 
 
+def weights_of_text(c: Column, names: Sequence[str]) -> Column:
+    """``parse_weights`` of a text column, as a struct; null where that would be an error."""
+    values = F.transform(F.split(c, ","), lambda x: F.greatest(F.expr("0D"), to_number(x)))
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    fits = (F.size(values) == len(names)) & F.forall(F.split(c, ","), lambda x: to_number(x).isNotNull()) & (total > 0)
+    return F.when(fits, F.struct(*[(values[i] / total).alias(n) for i, n in enumerate(names)]))
+
+
 def metric_direction(c: Column) -> Column:
     return F.when(c.isin(*LOWER_IS_BETTER), "lower_is_better").otherwise("higher_is_better")
 

@@ -8,27 +8,23 @@ from routelore.functions import scalars as S
 from routelore.operators.distribution import quantiles
 from routelore.operators.joins import choose_source
 from routelore.operators.ordering import side_by_side
+from routelore.operators.travel import Travel, route_sources, with_times
 
 # Travel-time sources in priority order, and the labels reports use.
 SOURCES = ("training_build", "training_apply", "evaluation_apply")
 SOURCE_LABELS = (*SOURCES, "multiple_sources", "missing_source")
 
 
-def with_travel_time(transitions: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Left edge lookup on (route, from, to, *keys): adds travel_time_ij and travel_time_missing.
-
-    The key is the whole edge, so one route with a huge matrix still spreads over all tasks.
-    """
-    on = ["route_id", "from_stop", "to_stop", *keys]
-    lookup = edges.select(*on, S.finite(F.col("travel_time")).alias("travel_time_ij"))
-    return transitions.join(lookup, on, "left").withColumn(
+def with_travel_time(transitions: DataFrame, travel: Travel, source: str | None = None) -> DataFrame:
+    """Adds travel_time_ij and travel_time_missing, of the source in the named column if there may be several."""
+    return with_times(transitions, travel, "travel_time_ij", source=source).withColumn(
         "travel_time_missing", S.flag(F.col("travel_time_ij").isNull())
     )
 
 
-def single_source_detail(transitions: DataFrame, edges: DataFrame) -> DataFrame:
+def single_source_detail(transitions: DataFrame, travel: Travel) -> DataFrame:
     cols = ["route_id", "from_stop", "to_stop", "position", "travel_time_ij", "travel_time_missing"]
-    return with_travel_time(transitions, edges).select(*cols)
+    return with_travel_time(transitions, travel).select(*cols)
 
 
 def single_source_completeness(detail: DataFrame) -> DataFrame:
@@ -74,9 +70,9 @@ def single_source_summary(detail: DataFrame) -> DataFrame:
     return side_by_side(routes, _travel_stats(detail))
 
 
-def source_lookup(route_ids: DataFrame, edges: DataFrame) -> DataFrame:
+def source_lookup(route_ids: DataFrame, travel: Travel) -> DataFrame:
     """Which sources hold each route, the display source and its status."""
-    found = edges.groupBy("route_id").agg(
+    found = route_sources(travel).groupBy("route_id").agg(
         *[F.max(F.col("source") == s).alias(f"found_in_{s}") for s in SOURCES]
     )
     flags = [f"found_in_{s}" for s in SOURCES]
@@ -96,10 +92,10 @@ def source_lookup(route_ids: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def multi_source_detail(transitions: DataFrame, edges: DataFrame, lookup: DataFrame) -> DataFrame:
+def multi_source_detail(transitions: DataFrame, travel: Travel, lookup: DataFrame) -> DataFrame:
     """Transitions with the travel time of the source chosen for their route; unmatched ones are kept as missing."""
     chosen = lookup.select("route_id", "travel_time_source", choose_source(lookup).alias("source"))
-    joined = with_travel_time(transitions.join(chosen, "route_id", "left"), edges, ("source",))
+    joined = with_travel_time(transitions.join(chosen, "route_id", "left"), travel, "source")
     return joined.select(
         "route_id",
         "from_stop",

@@ -98,8 +98,8 @@ def _curve_sums() -> list[Column]:
     ]
 
 
-def _falling(df: DataFrame, by: Sequence[str], **blocks: int) -> DataFrame:
-    return running_totals(_cells(df, by), list(by), "predicted_probability", ["pos", "neg"], descending=True, **blocks)
+def _falling(cells: DataFrame, by: Sequence[str], **blocks: int) -> DataFrame:
+    return running_totals(cells, list(by), "predicted_probability", ["pos", "neg"], descending=True, **blocks)
 
 
 def curve_metrics(df: DataFrame, by: Sequence[str], **blocks: int) -> DataFrame:
@@ -107,12 +107,16 @@ def curve_metrics(df: DataFrame, by: Sequence[str], **blocks: int) -> DataFrame:
 
     Rows are first reduced to one cell per (group, probability); cells are cumulated by falling probability.
     """
-    return _falling(df, by, **blocks).groupBy(*by).agg(*_curve_sums())
+    return _falling(_cells(df, by), by, **blocks).groupBy(*by).agg(*_curve_sums())
 
 
 def classification_metrics(df: DataFrame, by: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """Threshold and curve metrics from the same cells, in one pass over the rows."""
-    sums = _falling(df, by).groupBy(*by).agg(*_threshold_sums(threshold), *_curve_sums())
+    return _classification(_cells(df, by), by, threshold)
+
+
+def _classification(cells: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
+    sums = _falling(cells, by).groupBy(*by).agg(*_threshold_sums(threshold), *_curve_sums())
     return sums.select(*by, *_threshold_columns(), "roc_auc", "average_precision")
 
 
@@ -135,8 +139,10 @@ def positive_ranks(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def ranking_metrics(df: DataFrame, by: Sequence[str], extended: bool = True) -> DataFrame:
     """Top-1/3/5 accuracy and decision counts per group; extended adds mean and median rank and MRR."""
-    by = list(by)
-    ranks = positive_ranks(df, by)
+    return _ranking(positive_ranks(df, by), list(by), extended)
+
+
+def _ranking(ranks: DataFrame, by: list[str], extended: bool) -> DataFrame:
     rank = F.col("rank")
     hits = [F.avg((rank <= k).cast("double")).alias(f"sampled_top{k}_accuracy") for k in (1, 3, 5)]
     out = ranks.groupBy(*by).agg(
@@ -178,20 +184,41 @@ def with_subgroups(df: DataFrame) -> DataFrame:
     )
 
 
-SUBGROUPS = ("route_score", *[b[0] for b in SUBGROUP_BINS], "transition_zone_type", "candidate_time_window_group")
+#: Subgroups that all candidates of a decision share, and those that differ between them.
+DECISION_GROUPS = ("route_score", "number_of_stops_bin", "route_progress_bin", "remaining_stop_count_bin")
+CANDIDATE_GROUPS = ("candidate_package_count_bin", "candidate_service_time_bin", "transition_zone_type", "candidate_time_window_group")
+SUBGROUPS = (*DECISION_GROUPS, *CANDIDATE_GROUPS)
+_KEPT = ("split", "route_id", "position", "candidate_stop", "negative_sample_rank", "label", "predicted_probability")
+
+
+def _by_group(df: DataFrame, kept: Sequence[str], groups: Sequence[str], overall: bool = False) -> DataFrame:
+    """The rows once for each named group column, as group_name and group_value, and once for all of them."""
+    named = [F.struct(F.lit("overall").alias("group_name"), F.lit("all").alias("group_value"))] if overall else []
+    named += [F.struct(F.lit(g).alias("group_name"), F.col(g).alias("group_value")) for g in groups]
+    return df.select(*kept, F.explode(F.array(*named)).alias("g")).select(*kept, "g.*")
 
 
 def subgroup_rows(df: DataFrame) -> DataFrame:
     """Scored rows repeated once for the whole split and once per subgroup column they belong to."""
-    named = [F.struct(F.lit("overall").alias("group_name"), F.lit("all").alias("group_value"))]
-    named += [F.struct(F.lit(g).alias("group_name"), F.col(g).alias("group_value")) for g in SUBGROUPS]
-    keep = ["split", "route_id", "position", "candidate_stop", "negative_sample_rank", "label", "predicted_probability"]
-    return with_subgroups(df).select(*keep, F.explode(F.array(*named)).alias("g")).select(*keep, "g.*")
+    return _by_group(with_subgroups(df), _KEPT, SUBGROUPS, overall=True)
 
 
 def subgroup_metrics(df: DataFrame) -> DataFrame:
-    """All metrics per split, overall and for every value of every subgroup, as one long table."""
-    return all_metrics(subgroup_rows(df), ["split", "group_name", "group_value"])
+    """All metrics per split, overall and for every value of every subgroup, as one long table.
+
+    A decision is ranked once for all groups that it belongs to as a whole, and its one rank row is repeated for these; only groups that divide
+    its candidates rank them anew. Threshold and curve metrics come from counts per probability, made once over the
+    combinations of groups before they are repeated per group.
+    """
+    by = ["split", "group_name", "group_value"]
+    rows = with_subgroups(df)
+    whole = _by_group(positive_ranks(rows, ["split", *DECISION_GROUPS]), ["split", "positives", "rank"], DECISION_GROUPS, overall=True)
+    parted = positive_ranks(_by_group(rows, _KEPT, CANDIDATE_GROUPS), by).select("split", "positives", "rank", "group_name", "group_value")
+    ranked = _ranking(whole.unionAll(parted), by, True)
+    cells = _cells(rows, ["split", *SUBGROUPS])
+    cells = _by_group(cells, ["split", "predicted_probability", "pos", "neg", "n"], SUBGROUPS, overall=True)
+    cells = cells.groupBy(*by, "predicted_probability").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "n")])
+    return null_safe_join(_classification(cells, by, 0.5), ranked, by, "left")
 
 
 def select_best_model(metrics: DataFrame) -> DataFrame:

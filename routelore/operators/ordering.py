@@ -5,7 +5,8 @@ the window runs inside each block, and the (few) block totals are added back as
 by hash, not by sampling, so a recomputed task sees the same blocks.
 
 There is one plan for every size: the number of blocks is the number of rows by ``rows_per_block``, so small keys
-have one block and need no offsets.
+have one block and need no offsets. Blocks are found in two levels, so that no row meets more split points than about twice the
+square root of a key's blocks.
 """
 
 from __future__ import annotations
@@ -33,8 +34,27 @@ def attach_single_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return held.select(*df.columns, "__row.*")
 
 
-def _block_index(splits: Column, value: Column) -> Column:
-    return F.size(F.filter(splits, lambda s: s <= value))
+BLOCK = ["__top", "__low"]
+
+
+def _with_blocks(sized: DataFrame, keys: Sequence[str], value: Column, pick: Column) -> DataFrame:
+    """Adds the two levels of a row's block from its key's number of blocks ``__nb`` (null or 1: one block).
+
+    A split is the value of the least hash in each of ``__nb`` hash classes. Of a key's splits in order every sqrt(``__nb``)-th is a top split; those
+    that follow it are met by an equality join on (key, top block)."""
+    keys = list(keys)
+    classes = sized.where(F.col("__nb") > 1).groupBy(*keys, "__nb", F.pmod(F.xxhash64(pick, F.lit(17)), F.col("__nb")).alias("__p"))
+    chosen = classes.agg(F.min_by(value, pick).alias("__s"))
+    place, step = F.row_number().over(W.partitionBy(*keys).orderBy("__s")) - 1, F.ceil(F.sqrt("__nb")).cast("int")
+    placed = chosen.select(*keys, "__s", F.floor(place / step).cast("int").alias("__top"), (place % step).alias("__rest"))
+
+    def index(df: DataFrame, splits: DataFrame, on: list[str], name: str) -> DataFrame:
+        listed = splits.groupBy(*on).agg(F.array_sort(F.collect_list("__s")).alias("__splits"))
+        at = F.coalesce(F.size(F.filter("__splits", lambda s: s <= value)), F.lit(0))
+        return null_safe_join(df, listed, on).withColumn(name, F.when(F.col("__splits").isNull(), 0).otherwise(at)).drop("__splits")
+
+    tagged = index(sized, placed.where("__rest = 0"), keys, "__top")
+    return index(tagged, placed.where("__rest > 0").withColumn("__top", F.col("__top") + 1), [*keys, "__top"], "__low")
 
 
 def ordered_positions(
@@ -58,42 +78,32 @@ def ordered_positions(
         df.groupBy(*keys)
         .agg(F.count("*").alias("__n"))
         .where(F.col("__n") > rows_per_block)
-        .withColumn("__nb", F.ceil(F.col("__n") / rows_per_block).cast("long"))
-    )
-    splits = (
-        df.select(*keys, *order)
-        .join(big, keys)
-        .groupBy(*keys, F.pmod(F.xxhash64(*order, F.lit(17)), F.col("__nb")).alias("__p"))
-        .agg(F.min_by(value, pick_hash).alias("__s"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("__s")).alias("__splits"))
-    )
-    tagged = df.join(splits, keys, "left").withColumn(
-        "__block", F.when(F.col("__splits").isNotNull(), _block_index(F.col("__splits"), value)).otherwise(F.lit(0))
+        .select(*keys, F.ceil(F.col("__n") / rows_per_block).cast("long").alias("__nb"))
     )
-    inside = W.partitionBy(*keys, "__block").orderBy(*order)
+    tagged = _with_blocks(df.join(big, keys, "left"), keys, value, pick_hash)
+    inside = W.partitionBy(*keys, *BLOCK).orderBy(*order)
     blocks = (
-        tagged.where(F.col("__splits").isNotNull())
-        .groupBy(*keys, "__block")
+        tagged.where(F.col("__nb").isNotNull())
+        .groupBy(*keys, *BLOCK)
         .agg(
             F.count("*").alias("__rows"),
             *[F.min_by(src, value).alias(f"__first_{out}") for out, src in following.items()],
         )
     )
-    across = W.partitionBy(*keys).orderBy("__block")
+    across = W.partitionBy(*keys).orderBy(*BLOCK)
     offsets = blocks.select(
         *keys,
-        "__block",
+        *BLOCK,
         F.coalesce(F.sum("__rows").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
         *[F.lead(f"__first_{out}").over(across).alias(f"__first_{out}") for out in following],
     )
     ranked = tagged.select(
         *[c for c in df.columns],
-        "__block",
+        *BLOCK,
         (F.row_number().over(inside) - 1).cast("long").alias("__local"),
         *[F.lead(src).over(inside).alias(f"__next_{out}") for out, src in following.items()],
     )
-    return ranked.join(offsets, [*keys, "__block"], "left").select(
+    return ranked.join(offsets, [*keys, *BLOCK], "left").select(
         *df.columns,
         (F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))).cast("long").alias("position"),
         *[F.coalesce(F.col(f"__next_{out}"), F.col(f"__first_{out}")).alias(out) for out in following],
@@ -119,30 +129,20 @@ def running_totals(
         F.ceil(F.count("*") / rows_per_block).cast("long").alias("__nb"), *[F.sum(m).alias(f"all_{m}") for m in measures]
     )
     sized = null_safe_join(cells, sizes, keys, "inner")
-    splits = (
-        sized.where(F.col("__nb") > 1)
-        .groupBy(*keys, F.pmod(F.xxhash64(F.col(value), F.lit(17)), F.col("__nb")).alias("__p"))
-        .agg(F.min_by(value, F.xxhash64(value)).alias("__s"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("__s")).alias("__splits"))
-    )
-    found = null_safe_join(sized, splits, keys) if keys else attach_single_row(sized, splits.agg(F.first("__splits").alias("__splits")))
-    tagged = found.withColumn(
-        "__block", F.when(F.col("__splits").isNotNull(), _block_index(F.col("__splits"), F.col(value))).otherwise(F.lit(0))
-    )
-    per_block = tagged.groupBy(*keys, "__block").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
-    across = W.partitionBy(*keys).orderBy(way("__block")).rowsBetween(W.unboundedPreceding, -1)
+    tagged = _with_blocks(sized, keys, F.col(value), F.xxhash64(F.col(value)))
+    per_block = tagged.groupBy(*keys, *BLOCK).agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
+    across = W.partitionBy(*keys).orderBy(*map(way, BLOCK)).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_block.select(
-        *keys, "__block", *[F.coalesce(F.sum(f"__t_{m}").over(across), F.lit(0)).alias(f"__o_{m}") for m in measures]
+        *keys, *BLOCK, *[F.coalesce(F.sum(f"__t_{m}").over(across), F.lit(0)).alias(f"__o_{m}") for m in measures]
     )
-    inside = W.partitionBy(*keys, "__block").orderBy(way(value)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*keys, *BLOCK).orderBy(way(value)).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = tagged.select(
         *cells.columns,
         *[f"all_{m}" for m in measures],
-        "__block",
+        *BLOCK,
         *[F.sum(m).over(inside).alias(f"__c_{m}") for m in measures],
     )
-    return null_safe_join(local, offsets, [*keys, "__block"], "inner").select(
+    return null_safe_join(local, offsets, [*keys, *BLOCK], "inner").select(
         *cells.columns,
         *[(F.col(f"__c_{m}") + F.col(f"__o_{m}")).alias(f"cum_{m}") for m in measures],
         *[f"all_{m}" for m in measures],

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from routelore.functions import scalars as S
 from routelore.operators.features import PACKAGE_COLUMNS
 from routelore.operators.joins import choose_source
+from routelore.operators.travel import Travel, route_sources, with_times
 from routelore.schemas import PAIRWISE_SAMPLES
 
 
@@ -124,7 +125,7 @@ def attributed_sequence(transitions: DataFrame, stops: DataFrame, packages: Data
 
 def candidate_rows(
     transitions: DataFrame,
-    edges: DataFrame,
+    travel: Travel,
     stops: DataFrame,
     packages: DataFrame,
     requested: DataFrame,
@@ -134,8 +135,8 @@ def candidate_rows(
 ) -> DataFrame:
     """All drawn positives and negatives with features; travel_time_ij is null where the matrix lacks the edge.
 
-    Attributes join to the stops once, before drawing. The draws then meet stops by (route, position) and edges by
-    (route, from, to, source), so the work is (1 + negatives) rows per decision and no key is as coarse as a route.
+    Attributes join to the stops once, before drawing. The draws then meet stops by (route, position) and travel times
+    by the pair, so the work is (1 + negatives) rows per decision and no key is as coarse as a route.
     """
     known = attributed_sequence(transitions, stops, packages, requested.where(F.col("source").isNotNull()))
     header = ["route_id", "split", "route_score", "number_of_stops", "source", "position", "sequence_length", "next_stop"]
@@ -153,14 +154,7 @@ def candidate_rows(
     pairs = draws.join(candidates, ["route_id", "candidate_position"]).where(
         (F.col("label") == 1) | (F.col("candidate_stop") != F.col("next_stop"))
     )
-    times = edges.select(
-        "route_id",
-        F.col("from_stop").alias("current_stop"),
-        F.col("to_stop").alias("candidate_stop"),
-        "source",
-        S.finite(F.col("travel_time")).alias("travel_time_ij"),
-    ).where(F.col("travel_time_ij").isNotNull())
-    timed = pairs.join(times, ["route_id", "current_stop", "candidate_stop", "source"], "left")
+    timed = with_times(pairs, travel, "travel_time_ij", "current_stop", "candidate_stop", "source")
     flags = S.zone_pair_flags(F.col("current_zone"), F.col("candidate_zone"))
     full = timed.withColumns(flags).withColumns(
         {
@@ -182,14 +176,14 @@ def pairwise_samples(*tables: DataFrame, **options) -> DataFrame:
 
 
 def sample_summary(
-    drawn: DataFrame, requested: DataFrame, transitions: DataFrame, edges: DataFrame, negatives: int = 5, seed: int = 42,
+    drawn: DataFrame, requested: DataFrame, transitions: DataFrame, travel: Travel, negatives: int = 5, seed: int = 42,
     output_format: str = "parquet",
 ) -> DataFrame:
     """Per split: routes requested, processed and skipped, and samples written and dropped.
 
     ``drawn`` are ``candidate_rows``; a route is processed when its source holds it and it has transitions.
     """
-    has_matrix = edges.select("route_id", "source").distinct().withColumn("in_matrix", F.lit(True))
+    has_matrix = route_sources(travel).withColumn("in_matrix", F.lit(True))
     has_moves = transitions.select("route_id").distinct().withColumn("has_moves", F.lit(True))
     routes = requested.join(has_matrix, ["route_id", "source"], "left").join(has_moves, "route_id", "left")
     seen = F.coalesce("in_matrix", F.lit(False))

@@ -11,6 +11,7 @@ from routelore.functions import scalars as S
 from routelore.operators import routing as G
 from routelore.operators.ordering import attach_single_row
 from routelore.operators.sampling import top_rows
+from routelore.operators.weights import best_weights
 from routelore.schemas import WEIGHTS
 
 # Display names and the column choice of each table.
@@ -66,9 +67,9 @@ def model_comparison(validation: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def best_weights_table(searched: DataFrame, used: DataFrame | None = None) -> DataFrame:
-    parts = [searched.limit(1).withColumn("source", F.lit("validation_weight_search"))]
+    parts = [best_weights(searched).withColumn("source", F.lit("validation_weight_search"))]
     if used is not None:
-        parts.append(used.limit(1).withColumn("source", F.lit("route_generation_used")))
+        parts.append(best_weights(used).withColumn("source", F.lit("route_generation_used")))
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return select_present(both, ["source", "weight_id", *WEIGHTS, "validation_score", "rank", "route_count"])
 

@@ -1,29 +1,36 @@
 """Route generation by greedy next-stop choice, and the evaluation of generated against driven routes.
 
-Members are ``pairwise.attributed_sequence`` rows of admitted routes; edges hold one source per route
+Members are ``pairwise.attributed_sequence`` rows of admitted routes; travel times hold one source per route
 (``edges_of_admitted``). Ties go to the stop that comes first in the driven order.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from routelore.functions import scalars as S
 from routelore.operators.joins import choose_source
 from routelore.operators.ordering import null_safe_join
+from routelore.operators.travel import StopTravel, Travel, route_sources, with_times
 from routelore.schemas import WEIGHTS
+from routelore.sources.staging import stage_table
 
 NEAREST, PREFERENCE, HYBRID = "travel_time_nearest_neighbor", "preference_greedy", "hybrid_greedy"
 BEST_LABEL = "hybrid_greedy_best_weight"
+#: Positions of a sequence that one task compares at a time.
+ROUTE_BLOCK = 200_000
 #: Weight plans of a route that one task walks together.
 PLANS_AT_ONCE = 50
 STEP_SCHEMA = (
     "route_id string, method string, weight_id string, position long, stop_id string, actual_position long, "
-    "candidate_count long, travel_time double, probability double, cost double"
+    "candidate_count long, travel_time double, probability double, cost double, plans_sharing long"
 )
 STOP_FEATURES = (
     "package_count",
@@ -54,12 +61,12 @@ def sequence_admission(ids: DataFrame, sequence: DataFrame) -> DataFrame:
     )
 
 
-def route_admission(admission: DataFrame, lookup: DataFrame, edges: DataFrame) -> DataFrame:
+def route_admission(admission: DataFrame, lookup: DataFrame, travel: Travel) -> DataFrame:
     """Adds the source to use and route_status: ok, the sequence problem, missing_source or missing_matrix."""
     sources = lookup.select(
         "route_id", "travel_time_source", choose_source(lookup).alias("found")
     )
-    matrices = edges.select("route_id", F.col("source").alias("found")).distinct().withColumn("__m", F.lit(True))
+    matrices = route_sources(travel).select("route_id", F.col("source").alias("found"), F.lit(True).alias("__m"))
     joined = admission.join(sources, "route_id", "left").join(matrices, ["route_id", "found"], "left")
     listed = F.coalesce(F.col("travel_time_source"), F.lit("missing_source")) != "missing_source"
     status = (
@@ -85,9 +92,11 @@ def admission_counts(admitted: DataFrame) -> DataFrame:
     )
 
 
-def edges_of_admitted(edges: DataFrame, admitted: DataFrame) -> DataFrame:
-    """Finite edges of each admitted route's chosen source."""
+def edges_of_admitted(edges: Travel, admitted: DataFrame) -> Travel:
+    """Finite travel times of each admitted route's chosen source."""
     wanted = admitted.where(F.col("route_status") == "ok").select("route_id", "source")
+    if isinstance(edges, StopTravel):
+        return edges.only(edges.sources.join(wanted, ["route_id", "source"], "left_semi"))
     kept = edges.join(wanted, ["route_id", "source"], "left_semi")
     return kept.select("route_id", "from_stop", "to_stop", S.finite(F.col("travel_time")).alias("travel_time")).where(
         F.col("travel_time").isNotNull()
@@ -95,7 +104,7 @@ def edges_of_admitted(edges: DataFrame, admitted: DataFrame) -> DataFrame:
 
 
 # ---- one decision, set-based ------------------------------------------------------------------------------------
-def decision_candidates(decisions: DataFrame, unvisited: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def decision_candidates(decisions: DataFrame, unvisited: DataFrame, travel: Travel, keys: Sequence[str]) -> DataFrame:
     """Feature and component rows of every unvisited stop of every decision.
 
     decisions: keys, route_id, step, current_zone, current_is_station, current_is_dropoff, current_stop, one row per
@@ -106,8 +115,7 @@ def decision_candidates(decisions: DataFrame, unvisited: DataFrame, edges: DataF
     on = list(dict.fromkeys([*keys, "route_id"]))
     pairs = unvisited.join(decisions, on)
     remaining = unvisited.groupBy(*on).agg(F.count("*").alias("remaining_stop_count"))
-    times = edges.select("route_id", F.col("from_stop").alias("current_stop"), F.col("to_stop").alias("stop_id"), F.col("travel_time").alias("__t"))
-    timed = pairs.join(times, ["route_id", "current_stop", "stop_id"], "left").join(remaining, on)
+    timed = with_times(pairs, travel, "__t", "current_stop", "stop_id").join(remaining, on)
     flags = S.zone_pair_flags(F.col("current_zone"), F.col("zone"))
     load = S.workload(*[F.col(c) for c in ("package_count", "total_planned_service_time", "time_window_package_count", "total_package_volume_cm3")])
     rows = timed.withColumns(flags).withColumns({"__load": load}).select(
@@ -202,12 +210,12 @@ def _masked_scale(values: np.ndarray, use: np.ndarray, missing: float) -> np.nda
     return np.where(use, scaled, missing)
 
 
-def _greedy_batch(m: pd.DataFrame, edges: tuple[np.ndarray, ...], plans: Sequence[Plan], scorer) -> dict[str, np.ndarray]:
+def _greedy_batch(m: pd.DataFrame, times, plans: Sequence[Plan], scorer) -> dict[str, np.ndarray]:
     """Some plans of one route at once: arrays (plan, step) of chosen stops and their figures.
 
-    ``edges``: where each stop's edges begin, the stops they lead to, and their times. Memory is plans x stops.
+    ``times``: the travel times from a stop's place to all of the route's. Plans that have made the same choices so far are one state, worked out
+    once: a step costs the features of its distinct states, and of each plan only the weighted sum. Memory is plans x stops.
     """
-    begin, to, time = edges
     n, w = len(m), len(plans)
     zone = m["zone"].to_numpy()
     codes = pd.factorize(zone)[0]
@@ -225,80 +233,69 @@ def _greedy_batch(m: pd.DataFrame, edges: tuple[np.ndarray, ...], plans: Sequenc
     by_candidate = {f"candidate_{c}": a[None, :] for c, a in arrays.items()}
     by_candidate |= {"candidate_is_station": station[None, :], "candidate_is_dropoff": dropoff[None, :]}
     by_candidate |= {f: np.zeros((1, n)) for f in scorer.features if f not in by_candidate}  # unknown features serve as 0
-    rows = np.arange(w)
-    current = np.zeros(w, int)
-    free = np.ones((w, n), bool)
+    state, current, free = np.zeros(w, int), np.zeros(1, int), np.ones((1, n), bool)
     free[:, 0] = False
     out = {k: np.full((w, n - 1), np.nan) for k in ("travel", "probability", "cost")}
-    picked = np.zeros((w, n - 1), int)
+    picked, shared = np.zeros((w, n - 1), int), np.zeros((w, n - 1), int)
     for step in range(n - 1):
-        tt = np.full((w, n), np.nan)
-        for row, stop in enumerate(current):
-            own = slice(begin[stop], begin[stop + 1])
-            tt[row, to[own]] = time[own]
+        many = len(current)
+        tt = np.array([times(stop) for stop in current]).reshape(many, n)
         known = np.isfinite(tt)
         missing = unknown[current][:, None] | unknown[None, :]
         same = ~missing & (codes[current][:, None] == codes[None, :])
         changed = ~missing & ~same
-        penalty = np.where(missing, 0.5, changed.astype(float))
         step_features = {
             "travel_time_ij": lambda: np.where(known, tt, 0.0),
             "same_zone": lambda: same.astype(float),
             "zone_changed": lambda: changed.astype(float),
             "zone_missing_in_pair": lambda: missing.astype(float),
-            "number_of_stops": lambda: np.full((w, 1), n_stops),
-            "route_progress": lambda: np.full((w, 1), step / max(n_stops - 1, 1)),
-            "remaining_stop_count": lambda: np.full((w, 1), float(n - 1 - step)),
+            "number_of_stops": lambda: np.full((many, 1), n_stops),
+            "route_progress": lambda: np.full((many, 1), step / max(n_stops - 1, 1)),
+            "remaining_stop_count": lambda: np.full((many, 1), float(n - 1 - step)),
             "current_is_station": lambda: station[current][:, None],
             "current_is_dropoff": lambda: dropoff[current][:, None],
         }
         features = {f: step_features[f]() if f in step_features else by_candidate[f] for f in scorer.features}
-        p = np.broadcast_to(scorer.probability(features), (w, n))
+        p = np.broadcast_to(scorer.probability(features), (many, n))
         p = np.clip(np.nan_to_num(p, nan=0.0, posinf=1.0, neginf=0.0), 0.0, 1.0)
         parts = (
-            _masked_scale(tt, free & known, 1.0), 1.0 - p, penalty, np.broadcast_to(risk, (w, n)),
-            _masked_scale(np.broadcast_to(load, (w, n)), free, 0.0),
+            _masked_scale(tt, free & known, 1.0), 1.0 - p, np.where(missing, 0.5, changed.astype(float)),
+            np.broadcast_to(risk, (many, n)), _masked_scale(np.broadcast_to(load, (many, n)), free, 0.0),
         )
-        cost = weights[:, 0:1] * parts[0]
+        cost = weights[:, 0:1] * parts[0][state]
         for i in range(1, 5):
-            cost = cost + weights[:, i : i + 1] * parts[i]
+            cost = cost + weights[:, i : i + 1] * parts[i][state]
         far = np.where(known, tt, np.finfo(float).max)
-        badness = np.where((methods == NEAREST)[:, None], far, np.where((methods == PREFERENCE)[:, None], -p, cost))
-        choice = np.where(free, badness, np.inf).argmin(axis=1)
+        badness = np.where((methods == NEAREST)[:, None], far[state], np.where((methods == PREFERENCE)[:, None], -p[state], cost))
+        choice = np.where(free[state], badness, np.inf).argmin(axis=1)
         picked[:, step] = choice
-        out["travel"][:, step] = tt[rows, choice]
-        out["probability"][:, step] = p[rows, choice]
-        out["cost"][:, step] = cost[rows, choice]
-        free[rows, choice] = False
-        current = choice
-    return {"picked": picked, **out}
+        shared[:, step] = np.bincount(state, minlength=many)[state]
+        out["travel"][:, step] = tt[state, choice]
+        out["probability"][:, step] = p[state, choice]
+        out["cost"][:, step] = cost[np.arange(w), choice]
+        reached, state = np.unique(state * n + choice, return_inverse=True)
+        free, current = free[reached // n], reached % n
+        free[np.arange(len(reached)), current] = False
+    return {"picked": picked, "shared": shared, **out}
 
 
-def _greedy_route(batches: Sequence[Sequence[Plan]], scorer, cells: int = 2_000_000):
-    """Function for the (members, edges) frames of one route and batch of plans: its steps under every plan of the batch."""
+def _greedy_route(batches: Sequence[Sequence[Plan]], scorer, times_of, cells: int = 2_000_000):
+    """Function for the members of one route and batch of plans, and what ``times_of`` needs: its steps under every plan of the batch."""
 
-    def run(key: tuple, m: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, m: pd.DataFrame, *more: pd.DataFrame) -> pd.DataFrame:
         m = m.sort_values("position", kind="stable").reset_index(drop=True)
         n = len(m)
-        at = pd.Series(np.arange(n), index=m["stop_id"])
-        e = e[e["from_stop"].isin(at.index) & e["to_stop"].isin(at.index)]
-        source = at.reindex(e["from_stop"]).to_numpy(int)
-        order = np.argsort(source, kind="stable")
-        begin = np.searchsorted(source[order], np.arange(n + 1))
-        edges = (begin, at.reindex(e["to_stop"]).to_numpy(int)[order], e["travel_time"].to_numpy(float)[order])
         stop_ids = m["stop_id"].to_numpy()
         plans = batches[key[1]]
         parts = []
         size = max(1, cells // max(n, 1))
+        times = times_of(m, *more) if n else None
         for start in range(0, len(plans) if n else 0, size):
             batch = plans[start : start + size]
-            got = _greedy_batch(m, edges, batch, scorer)
+            got = _greedy_batch(m, times, batch, scorer)
             w = len(batch)
-            picked = np.concatenate([np.zeros((w, 1), int), got["picked"]], axis=1)
-
-            def filled(x: np.ndarray) -> np.ndarray:
-                return np.concatenate([np.full((w, 1), np.nan), x], axis=1).ravel()
-
+            first = lambda x, v: np.concatenate([np.full((w, 1), v), x], axis=1).ravel()
+            picked = first(got["picked"], 0)
             parts.append(
                 pd.DataFrame(
                     {
@@ -306,12 +303,11 @@ def _greedy_route(batches: Sequence[Sequence[Plan]], scorer, cells: int = 2_000_
                         "method": np.repeat([p[0] for p in batch], n),
                         "weight_id": np.repeat([p[1] for p in batch], n),
                         "position": np.tile(np.arange(n), w),
-                        "stop_id": stop_ids[picked.ravel()],
-                        "actual_position": picked.ravel(),
+                        "stop_id": stop_ids[picked],
+                        "actual_position": picked,
                         "candidate_count": np.tile(n - np.arange(n), w),
-                        "travel_time": filled(got["travel"]),
-                        "probability": filled(got["probability"]),
-                        "cost": filled(got["cost"]),
+                        **{c: first(got[k], np.nan) for c, k in (("travel_time", "travel"), ("probability", "probability"), ("cost", "cost"))},
+                        "plans_sharing": first(got["shared"], w),
                     }
                 )
             )
@@ -320,26 +316,75 @@ def _greedy_route(batches: Sequence[Sequence[Plan]], scorer, cells: int = 2_000_
     return run
 
 
+def _times_of_edges(m: pd.DataFrame, e: pd.DataFrame):
+    """Travel times from a stop's place, from the route's edges as a sparse index."""
+    at = pd.Series(np.arange(len(m)), index=m["stop_id"])
+    e = e[e["from_stop"].isin(at.index) & e["to_stop"].isin(at.index)]
+    source = at.reindex(e["from_stop"]).to_numpy(int)
+    order = np.argsort(source, kind="stable")
+    begin = np.searchsorted(source[order], np.arange(len(m) + 1))
+    to, time = at.reindex(e["to_stop"]).to_numpy(int)[order], e["travel_time"].to_numpy(float)[order]
+
+    def times(stop: int) -> np.ndarray:
+        out, own = np.full(len(m), np.nan), slice(begin[stop], begin[stop + 1])
+        out[to[own]] = time[own]
+        return out
+
+    return times
+
+
+def _times_of_stops(columns: Sequence[str], row):
+    """Travel times from a stop's place, worked out from the stops' own columns."""
+
+    def times_of(m: pd.DataFrame):
+        values, source = {c: m[f"__{c}"].to_numpy() for c in columns}, m["__source"].iloc[0]
+
+        def times(stop: int) -> np.ndarray:
+            out = np.asarray(row({c: v[stop] for c, v in values.items()}, values, source), float)
+            out[stop] = np.nan
+            return out
+
+        return times
+
+    return times_of
+
+
 def generate_routes(
-    members: DataFrame, edges: DataFrame, plans: Sequence[Plan], scorer, plans_at_once: int = PLANS_AT_ONCE
+    members: DataFrame, travel: Travel, plans: Sequence[Plan], scorer, plans_at_once: int = PLANS_AT_ONCE
 ) -> DataFrame:
     """Every step of the greedy route of every (route, plan); position 0 is the given start.
 
     Choosing the next stop depends on all earlier choices, so a route is walked in one task, whatever its length, with
-    its edges as a sparse index. Work is dealt by (route, batch of plans), so no task holds the whole weight grid.
+    its edges as a sparse index or its times worked out as they are asked for. Work is dealt by (route, batch of plans), so no task holds the
+    whole weight grid. ``plans_sharing`` is the number of plans of a batch for which the step was worked out at once.
     """
     needed = ["route_id", "position", "stop_id", "zone", "is_station", "is_dropoff", "number_of_stops", *STOP_FEATURES]
     own = [(a, b, tuple(c)) for a, b, c in plans]
     batches = [own[i : i + plans_at_once] for i in range(0, len(own), plans_at_once)]
-    run = _greedy_route(batches, scorer)
-    # Walking is heavy per row, so both sides keep a full set of partitions instead of being coalesced by their size.
+    # Walking is heavy per row, so all sides keep a full set of partitions instead of being coalesced by their size.
     tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     dealt = F.explode(F.array(*[F.lit(i) for i in range(len(batches))])).alias("batch")
-    wanted = edges.join(members.where(F.col("position") == 0).select("route_id"), "route_id", "left_semi")
-    left, right = (
-        x.repartition(tasks, "route_id", "batch").groupBy("route_id", "batch")
-        for x in (members.select(*needed, dealt), wanted.select("route_id", "from_stop", "to_stop", "travel_time", dealt))
-    )
+
+    def groups(df: DataFrame):
+        return df.repartition(tasks, "route_id", "batch").groupBy("route_id", "batch")
+
+    if isinstance(travel, StopTravel):
+        known = members.select(*needed).join(travel.sources.select("route_id", F.col("source").alias("__source")), "route_id", "left")
+        values = travel.stops.select("route_id", "stop_id", *[F.col(c).alias(f"__{c}") for c in travel.columns])
+        known = known.join(values, ["route_id", "stop_id"], "left").select("*", dealt)
+        walk = _greedy_route(batches, scorer, _times_of_stops(travel.columns, travel.row))
+
+        def run(key: tuple, m: pd.DataFrame) -> pd.DataFrame:
+            return walk(key, m)
+
+        return S.sanitize(groups(known).applyInPandas(run, STEP_SCHEMA))
+    wanted = travel.join(members.where(F.col("position") == 0).select("route_id"), "route_id", "left_semi")
+    walk = _greedy_route(batches, scorer, _times_of_edges)
+
+    def run(key: tuple, m: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        return walk(key, m, e)
+
+    left, right = groups(members.select(*needed, dealt)), groups(wanted.select("route_id", "from_stop", "to_stop", "travel_time", dealt))
     return S.sanitize(left.cogroup(right).applyInPandas(run, STEP_SCHEMA))
 
 
@@ -351,9 +396,9 @@ def sequence_legs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sequence.select(*keys, "position", F.col("stop_id").alias("from_stop")).join(following, [*keys, "position"])
 
 
-def leg_totals(legs: DataFrame, edges: DataFrame, zones: DataFrame, keys: Sequence[str]) -> DataFrame:
+def leg_totals(legs: DataFrame, travel: Travel, zones: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per sequence: total travel time (null if any leg has none), same-zone ratio over all legs, zone changes."""
-    timed = legs.join(edges.select("route_id", "from_stop", "to_stop", "travel_time"), ["route_id", "from_stop", "to_stop"], "left")
+    timed = with_times(legs, travel, "travel_time")
     left = zones.select("route_id", F.col("stop_id").alias("from_stop"), F.col("zone").alias("__a"))
     right = zones.select("route_id", F.col("stop_id").alias("to_stop"), F.col("zone").alias("__b"))
     zoned = timed.join(left, ["route_id", "from_stop"], "left").join(right, ["route_id", "to_stop"], "left")
@@ -365,31 +410,76 @@ def leg_totals(legs: DataFrame, edges: DataFrame, zones: DataFrame, keys: Sequen
     )
 
 
-def longest_increasing(values: np.ndarray) -> int:
-    """Length of the longest strictly increasing subsequence."""
-    tails: list = []
-    import bisect
-
-    for v in values:
-        k = bisect.bisect_left(tails, v)
-        tails[k : k + 1] = [v]
-    return len(tails)
-
-
-def lcs_lengths(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
+def patience_tile(tails: Sequence[int], moves: Sequence[tuple[int, int | None]]) -> tuple[list[int], list[int]]:
+    """One tile of patience sorting: the tails left, and the positions whose move takes the least tail of a higher range.
+
+    ``tails`` are the rising tails of a range of values before a block of positions. A move (position, value) puts the value in place of
+    the first tail that is not below it; if the range has none, the value is added and the tail to take is in a higher range.
+    A move (position, None) takes the range's least tail, coming from a lower range."""
+    tails, least, on = list(tails), 0, []
+    for position, value in moves:
+        if value is None:
+            if least < len(tails):
+                least += 1
+            else:
+                on.append(position)
+            continue
+        k = bisect_left(tails, value, least)
+        if k == len(tails):
+            tails.append(value)
+            on.append(position)
+        else:
+            tails[k] = value
+    return tails[least:], on
+
+
+def lcs_lengths(matched: DataFrame, keys: Sequence[str], block: int = ROUTE_BLOCK) -> DataFrame:
     """Longest common subsequence of two orders of the same distinct stops, per key.
 
-    ``matched``: keys, position (generated), actual_position. It equals the longest increasing run of actual positions,
-    found in one pass over a sequence's positions (one number per stop) by a small Arrow function, whatever its length.
+    ``matched``: keys, position (generated), actual_position. It equals the longest increasing run of actual positions, which
+    patience sorting finds as its number of tails. The sort is cut into tiles of ``block`` positions by ``block`` values: a tile needs the tails that
+    the block before left in its range, and the moves that lower ranges passed on, both staged. Tiles on a diagonal are worked
+    side by side, so no task holds more than some blocks of a sequence; one within a block is a single tile.
     """
     keys = list(keys)
-    arrays = matched.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "actual_position"))).alias("__p"))
-
-    @F.pandas_udf("long")
-    def length(rows: pd.Series) -> pd.Series:
-        return rows.map(longest_increasing)
-
-    return arrays.select(*keys, length(F.transform("__p", lambda x: x["actual_position"])).alias("lcs_length"))
+    tile = ["__k", "i", "j"]
+    rows = matched.select(F.struct(*keys).alias("__k"), F.floor(F.col("position") / block).alias("i"), F.floor(F.col("actual_position") / block).alias("j"),
+                          F.col("position").cast("long").alias("position"), F.col("actual_position").cast("long").alias("value"))
+    last = rows.groupBy("__k").agg(F.max("i").alias("last_i"), F.max("j").alias("last_j"))
+    rows = null_safe_join(rows, last, ["__k"], "inner")
+    schema = rows.schema
+
+    def work(key: tuple, held: pa.Table) -> pa.Table:
+        own = sorted(zip(held.column("position").to_pylist(), held.column("value").to_pylist()), key=lambda m: (m[0], m[1] or 0))
+        start = sum(p < 0 for p, _ in own)  # tails come as values at position -1
+        tails, on = patience_tile([v for _, v in own[:start]], own[start:])
+        i, j = key[1].as_py(), key[2].as_py()
+        moves = [(i + 1, j, -1, v) for v in tails] + [(i, j + 1, p, None) for p in on]
+        names = [n for n in held.column_names if n not in ("i", "j", "position", "value")]
+        columns = {n: pa.chunked_array([pa.concat_arrays([held.column(n).slice(0, 1).combine_chunks()] * len(moves))]) if moves else held.column(n).slice(0, 0) for n in names}
+        for n, c in zip(("i", "j", "position", "value"), zip(*moves) if moves else ((),) * 4):
+            columns[n] = pa.chunked_array([pa.array(c, pa.int64())])
+        return pa.table([columns[n] for n in schema.names], names=schema.names)
+
+    def sweep(tiles: DataFrame) -> DataFrame:
+        return tiles.groupBy(*tile).applyInArrow(work, schema)
+
+    long = last.where("last_i + last_j > 0")
+    rounds = (long.agg(F.max(F.col("last_i") + F.col("last_j"))).first()[0] or 0) + 1 if long.take(1) else 1
+    done, carried = [], None
+    if rounds > 1:
+        rows = stage_table(rows, "order_tiles")
+    for r in range(rounds):
+        here = rows.where(F.col("i") + F.col("j") == r)
+        if carried is not None:
+            here = here.unionAll(carried.where(f"i + j = {r}"))
+        found = sweep(here)
+        if rounds > 1:
+            found = stage_table(found, "order_tiles")
+        done.append(found.where("value IS NOT NULL AND i > last_i").groupBy("__k").agg(F.count("*").alias("n")))
+        carried = found.where("i <= last_i AND j <= last_j")
+    lengths = reduce(DataFrame.unionAll, done).groupBy("__k").agg(F.sum("n").alias("lcs_length"))
+    return lengths.select("__k.*", "lcs_length")
 
 
 def order_agreement(generated: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -419,12 +509,12 @@ def order_agreement(generated: DataFrame, actual: DataFrame, keys: Sequence[str]
 
 
 def route_metrics(
-    generated: DataFrame, actual: DataFrame, edges: DataFrame, zones: DataFrame, keys: Sequence[str] = ("route_id", "method", "weight_id")
+    generated: DataFrame, actual: DataFrame, travel: Travel, zones: DataFrame, keys: Sequence[str] = ("route_id", "method", "weight_id")
 ) -> DataFrame:
     """One metric row per generated sequence, with the ratio to the driven route."""
     keys = list(keys)
-    made = leg_totals(sequence_legs(generated, keys), edges, zones, keys)
-    driven = leg_totals(sequence_legs(actual, ["route_id"]), edges, zones, ["route_id"]).select(
+    made = leg_totals(sequence_legs(generated, keys), travel, zones, keys)
+    driven = leg_totals(sequence_legs(actual, ["route_id"]), travel, zones, ["route_id"]).select(
         "route_id",
         F.col("total_travel_time").alias("actual_total_travel_time"),
         F.col("same_zone_ratio").alias("actual_same_zone_ratio"),

@@ -11,12 +11,29 @@ from routelore.functions import scalars as S
 from routelore.operators.ordering import attach_single_row, hash_positions, hash_running_total, ordered_positions
 
 
+def _below(hashed: DataFrame, share: float) -> DataFrame:
+    """Rows whose hash ``__h`` lies in the first ``share`` of all hashes: about that share of the rows, and a prefix of their hash order."""
+    return hashed.where(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") < int(min(share, 1.0) * 2**32))
+
+
+def _first_by_hash(hashed: DataFrame, tie: str, cap: int) -> DataFrame:
+    """The ``cap`` rows of least hash ``__h``. Only rows below a threshold are ranked, which the number of rows sets so that ``cap`` of them fall
+    below it but for a chance of 1e-9; if they don't, all are ranked."""
+    many = hashed.count()
+    if many <= cap:
+        return hashed
+    near = _below(hashed, (cap + 6 * cap**0.5 + 36) / many)
+    if near.count() < cap:
+        near = hashed
+    return hash_positions(near, [], "__h", tie).where(F.col("position") < cap).drop("position")
+
+
 def sample_rows(
     df: DataFrame, keys: Sequence[str], fraction: float | None = None, max_rows: int | None = None, seed: int = 42
 ) -> DataFrame:
     """Rows kept with the given chance, then at most ``max_rows`` of them. ``keys`` identify a row.
 
-    The fraction is a filter on the hash, without any shuffle; only the cap needs ranks.
+    The fraction is a filter on the hash, without any shuffle; the cap needs a count, and ranks of little more than ``max_rows`` rows.
     """
     out = df
     hashed = [F.col(k) for k in keys]
@@ -26,7 +43,7 @@ def sample_rows(
         out = out.where(S.hash_number(seed, *hashed) < int(fraction * 2**32))
     if max_rows is not None and max_rows > 0:
         held = out.select(F.struct(*df.columns).alias("row"), S.hash_key(seed + 1, *hashed).alias("__h"))
-        out = hash_positions(held, [], "__h", "row").where(F.col("position") < max_rows).select("row.*")
+        out = _first_by_hash(held, "row", max_rows).select("row.*")
     return out
 
 
@@ -35,19 +52,26 @@ def sample_contexts(df: DataFrame, keys: Sequence[str], contexts: int | None, se
     if contexts is None or contexts <= 0:
         return df
     distinct = df.select(*keys).distinct().withColumn("__h", S.hash_key(seed, *[F.col(k) for k in keys]))
-    renamed = distinct.select(F.struct(*keys).alias("key"), "__h")
-    chosen = hash_positions(renamed, [], "__h", "key").where(F.col("position") < contexts).select("key.*")
+    chosen = _first_by_hash(distinct.select(F.struct(*keys).alias("key"), "__h"), "key", contexts).select("key.*")
     return df.join(chosen, list(keys), "left_semi")
 
 
 def sample_contexts_to_budget(df: DataFrame, keys: Sequence[str], max_rows: int | None, seed: int = 42) -> DataFrame:
-    """Whole decisions in hash order while their total rows stay within the budget; at least the first one."""
+    """Whole decisions in hash order while their total rows stay within the budget; at least the first one.
+
+    Decisions below a threshold of the hash are summed up, which holds the budget one and a half times if sizes are even; if
+    it doesn't hold it once, all are.
+    """
     if max_rows is None or max_rows <= 0:
         return df
     sizes = df.groupBy(*keys).agg(F.count("*").alias("rows"))
     hashed = sizes.select(
         F.struct(*keys).alias("key"), "rows", S.hash_key(seed, *[F.col(k) for k in keys]).alias("__h")
     )
+    many, total = hashed.agg(F.count("*"), F.sum("rows")).first()
+    if many and total > max_rows:
+        near = _below(hashed, 1.5 * max_rows / total + 36 / many)
+        hashed = near if (near.agg(F.sum("rows")).first()[0] or 0) > max_rows else hashed
     running = hash_running_total(hashed, "rows", "__h", "key")
     chosen = running.where((F.col("running") <= max_rows) | (F.col("running") == F.col("rows"))).select("key.*")
     return df.join(chosen, list(keys), "left_semi")
@@ -98,11 +122,12 @@ def best_row(df: DataFrame, order: Sequence) -> DataFrame:
 
 def top_rows(df: DataFrame, column: str, n: int, prefer: tuple[str, str] | None = None) -> DataFrame:
     """The ``n`` largest rows by a column, from the rows holding the preferred value if there are any."""
+    ties = [c for c in df.columns if c != column]
     if prefer is None:
-        return df.orderBy(F.desc(column)).limit(n)
+        return df.orderBy(F.desc(column), *ties).limit(n)
     name, value = prefer
     hit = F.lower(F.col(name)) == value
     flagged = attach_single_row(df, df.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("__any")))
     kept = flagged.where(~F.col("__any") | hit).select(*df.columns)
-    return kept.orderBy(F.desc(column), *[c for c in df.columns if c != column]).limit(n)
+    return kept.orderBy(F.desc(column), *ties).limit(n)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -102,9 +103,9 @@ def paired_effects(pairs: DataFrame) -> DataFrame:
         F.stddev_samp("diff").alias("__sd"),
         F.max(F.abs("diff")).alias("__largest"),
     )
-    out = base
-    for value, name in (("a", "median_a"), ("b", "median_b"), ("diff", "median_difference_a_minus_b")):
-        out = out.join(quantiles(rows, GROUP, {name: 0.5}, value).drop("n"), GROUP)
+    medians = {"a": "median_a", "b": "median_b", "diff": "median_difference_a_minus_b"}
+    middles = quantiles(long_form(rows, GROUP, list(medians), "of"), [*GROUP, "of"], {"middle": 0.5})
+    out = base.join(middles.groupBy(*GROUP).agg(*[F.max(F.when(F.col("of") == v, F.col("middle"))).alias(n) for v, n in medians.items()]), GROUP)
     sd, n = F.col("__sd"), F.col("n_pairs")
     root = F.sqrt(n.cast("double"))
     return out.withColumns(
@@ -235,14 +236,21 @@ def with_p_values(effects: DataFrame, signed_ranks: DataFrame) -> DataFrame:
 _POISSON = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(20)])
 
 
-def _poisson_counts(row_hash: np.ndarray, replicates: np.ndarray) -> np.ndarray:
-    """Resampling counts (row, replicate), a pure function of the row's hash and the replicate number."""
-    with np.errstate(over="ignore"):
-        x = row_hash.astype(np.int64).view(np.uint64)[:, None] + replicates[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
-    return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(float) * 2.0**-53)
+#: Row and replicate hashes are whole numbers below this prime.
+PRIME = 2**31 - 1
+
+
+def replicate_factors(iterations: int, seed: int) -> np.ndarray:
+    """Factor and shift of each replicate, from the digits of a hash of seed and number."""
+    digits = [hashlib.md5(f"{seed}|{r}".encode()).hexdigest() for r in range(iterations)]
+    return np.array([(int(x[:8], 16) % PRIME, int(x[8:16], 16) % PRIME) for x in digits], np.uint64).reshape(-1, 2)
+
+
+def _poisson_counts(row_hash: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Resampling counts (row, replicate). A replicate maps row hashes by a linear function modulo the prime, which makes the counts of
+    any two rows independent, as the variance of a mean asks for; SQL can do the same."""
+    spread = (row_hash.astype(np.uint64)[:, None] * factors[None, :, 0] + factors[None, :, 1]) % np.uint64(PRIME)
+    return np.searchsorted(_POISSON, spread.astype(float) / PRIME, side="right")
 
 
 def bootstrap_intervals(pairs: DataFrame, iterations: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
@@ -251,10 +259,9 @@ def bootstrap_intervals(pairs: DataFrame, iterations: int = 2000, alpha: float =
     Each row gets a Poisson(1) count per replicate, so partial sums of all replicates are formed where the rows are
     and only (partition x group x replicate) sums are shuffled; no group is gathered.
     """
-    rows = with_difference(pairs).select(
-        *GROUP, "improvement", F.xxhash64(F.lit(seed), *GROUP, "route_id").alias("h")
-    )
-    replicates = np.arange(1, iterations + 1, dtype=np.uint64)
+    key = F.concat_ws("|", *GROUP, "route_id")
+    rows = with_difference(pairs).select(*GROUP, "improvement", (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % PRIME).alias("h"))
+    factors = replicate_factors(iterations, seed)
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
@@ -263,7 +270,7 @@ def bootstrap_intervals(pairs: DataFrame, iterations: int = 2000, alpha: float =
                 n, s = totals.setdefault(key, (np.zeros(iterations), np.zeros(iterations)))
                 x, h = part["improvement"].to_numpy(float), part["h"].to_numpy()
                 for i in range(0, len(x), 512):
-                    counts = _poisson_counts(h[i : i + 512], replicates)
+                    counts = _poisson_counts(h[i : i + 512], factors)
                     n += counts.sum(axis=0)
                     s += x[i : i + 512] @ counts
         for key, (n, s) in totals.items():

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from routelore.functions import scalars as S
 from routelore.operators import (
     ablation,
     cleaning,
@@ -232,13 +233,16 @@ def search_weights(t: Tables, scorer, step: float = 0.05, max_vectors: int | Non
     t.write("best_weight_summary", weights.best_weights(results))
 
 
-def generate(t: Tables, scorer, split_names: Sequence[str] = ("validation", "test")) -> None:
-    """Routes of the three methods with the best weights, and their metrics."""
+def generate(t: Tables, scorer, split_names: Sequence[str] = ("validation", "test"), weights_text: str | None = None) -> None:
+    """Routes of the three methods and their metrics, with the best weights or those given as text, five numbers with commas between."""
     best = t.read("best_weight_summary").first()
+    plan = (best["weight_id"], [best[w] for w in WEIGHTS])
+    if weights_text is not None:
+        plan = ("given", list(S.parse_weights(weights_text, WEIGHTS).values()))
     plans = [
         (routing.NEAREST, "", (0.0,) * 5),
         (routing.PREFERENCE, "", (0.0,) * 5),
-        (routing.HYBRID, best["weight_id"], [best[w] for w in WEIGHTS]),
+        (routing.HYBRID, *plan),
     ]
     admitted, members, edges = _admit(t, split_names)
     members, edges = t.write("route_members", members), t.write("route_edges", edges)

@@ -5,12 +5,11 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from routelore.functions import scalars as S
 from routelore.schemas import PAIRWISE_SAMPLES
 from routelore.sources.nested import count_paths, path_exists
-from routelore.sources.staging import stage_table
 
 
 def require_columns(df: DataFrame, required: Sequence[str], label: str) -> DataFrame:
@@ -85,9 +84,9 @@ def guard(spark: SparkSession, path: str, overwrite: bool) -> str:
 def write_csv(df: DataFrame, path: str, schema: T.StructType, overwrite: bool = False) -> int:
     """Fixed-schema CSV with header; returns the number of rows written."""
     mode = guard(df.sparkSession, path, overwrite)
-    out = stage_table(S.sanitize(to_schema(df, schema)), "csv_rows")
-    out.write.mode(mode).option("header", True).csv(path)
-    return out.count()
+    counted = Observation()
+    S.sanitize(to_schema(df, schema)).observe(counted, F.count(F.lit(1)).alias("rows")).write.mode(mode).option("header", True).csv(path)
+    return counted.get["rows"]
 
 
 def write_samples(df: DataFrame, folder: str, compression: str = "snappy", overwrite: bool = False) -> None:

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from routelore import schemas
 from routelore.functions import scalars as S
-
-WHOLE_FILE_LIMIT = 1 << 30
+from routelore.sources.keyed import CHUNK_BYTES, keyed_rows
 
 
 @dataclass(frozen=True)
@@ -36,21 +35,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return count_paths(spark, path) > 0
 
 
-def read_keyed(spark: SparkSession, path: str, value: T.DataType) -> DataFrame:
-    """route_id and body rows of a file, whichever of the two layouts it has.
-
-    A keyed object is one JSON value, so it is parsed by one task; it must be below 1 GB, and malformed text is an
-    error. Larger data belongs in JSON Lines, which is split over tasks.
-    """
+def read_keyed(spark: SparkSession, path: str, value: T.DataType, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """route_id and body rows of files of either layout. Both are split over tasks, whatever their size; malformed text is an error."""
     if path.endswith((".jsonl", ".ndjson")):
         line = T.StructType([T.StructField("route_id", T.StringType()), T.StructField("body", value)])
         return spark.read.schema(line).option("mode", "FAILFAST").json(path)
-    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
-    if largest > WHOLE_FILE_LIMIT:
-        raise ValueError(f"{path} holds a keyed object of {largest} bytes; convert it to JSON Lines first")
-    text = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", T.MapType(T.StringType(), value), {"mode": "FAILFAST", "allowNonNumericNumbers": "true"})
-    return text.select(F.explode(parsed).alias("route_id", "body"))
+    return keyed_rows(spark, path, value, chunk_bytes)
 
 
 def _text(c: Column) -> Column:

@@ -16,6 +16,7 @@ from routelore.operators import routing as G
 from routelore.operators import stats as T
 from routelore.operators import weights as WT
 from routelore.operators.scoring import LogitScorer, from_pipeline
+from routelore.operators.travel import StopTravel, route_sources, with_times
 from routelore.schemas import WEIGHTS
 
 
@@ -140,6 +141,83 @@ def test_lcs_lengths(spark):
     assert G.lcs_lengths(long, ["key"]).first()["lcs_length"] == 5000
 
 
+def test_lcs_in_tiles_equals_one_pass(spark):
+    """Blocks of positions by blocks of values pass tails and moves on, also through tiles without positions of their own."""
+    rng = np.random.default_rng(2)
+    orders = {"shuffled": rng.permutation(97), "rising": np.arange(60), "falling": np.arange(60)[::-1], "short": rng.permutation(5),
+              "waves": np.concatenate([np.arange(40, 80), np.arange(0, 40), np.arange(80, 100)]), "sparse": rng.choice(400, 70, replace=False)}
+
+    def one_pass(a):
+        return len(G.patience_tile([], list(enumerate(map(int, a))))[0])
+
+    rows = [(k, i, int(v)) for k, p in orders.items() for i, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "key string, position long, actual_position long")
+    got = {r["key"]: r["lcs_length"] for r in G.lcs_lengths(df, ["key"], block=20).collect()}
+    assert got == {k: one_pass(p) for k, p in orders.items()}
+    assert all(one_pass(p) == brute_lis(list(map(int, p))) for p in (rng.permutation(9) for _ in range(20)))
+
+
+def test_lcs_of_a_hundred_thousand_positions(spark):
+    values = np.random.default_rng(3).permutation(100_000)
+    rows = spark.createDataFrame(pd.DataFrame({"key": "k", "position": np.arange(len(values)), "actual_position": values}))
+    want = len(G.patience_tile([], list(enumerate(values.tolist())))[0])
+    assert G.lcs_lengths(rows, ["key"], block=25_000).first()["lcs_length"] == want
+
+
+def test_plans_share_their_common_choices(spark):
+    members, edges = members_frame(spark, (30,))
+    plans = [(G.HYBRID, f"w{i}", (0.5 + i / 1000, 0.5 - i / 1000, 0.0, 0.0, 0.0)) for i in range(40)]
+    out = G.generate_routes(members, edges, plans, SCORER).where("position > 0").toPandas()
+    worked_out = (1 / out["plans_sharing"]).sum()
+    assert worked_out == pytest.approx(round(worked_out)) and worked_out < 0.5 * len(out)
+    alone = G.generate_routes(members, edges, plans, SCORER, plans_at_once=1).where("position > 0").toPandas()
+    keys = ["weight_id", "position"]
+    assert (out.sort_values(keys)["stop_id"].to_numpy() == alone.sort_values(keys)["stop_id"].to_numpy()).all()
+
+
+def stop_travel(spark, n):
+    """Times that follow from a number of each stop, none between odd stops."""
+    stops = spark.range(n).selectExpr("'r' AS route_id", "concat('s', id) AS stop_id", "CAST(id AS DOUBLE) AS x")
+    odd = lambda s: s["x"] % 2 == 1
+    return StopTravel(
+        stops, spark.createDataFrame([("r", "a")], "route_id string, source string"), ("x",),
+        lambda a, b, source: F.when(~(odd(a) & odd(b)), F.abs(a["x"] - b["x"]) + 1),
+        lambda a, b, source: np.where(odd(a) & odd(b), np.nan, np.abs(a["x"] - b["x"]) + 1),
+    )
+
+
+def test_computed_travel_times_equal_listed_ones(spark):
+    travel = stop_travel(spark, 12)
+    left = travel.stops.select("route_id", F.col("stop_id").alias("from_stop"))
+    pairs = left.join(travel.stops.select("route_id", F.col("stop_id").alias("to_stop")), "route_id")
+    listed = with_times(pairs, travel, "travel_time").where("travel_time IS NOT NULL").withColumn("source", F.lit("a"))
+    assert listed.count() == 12 * 11 - 6 * 5
+    members = members_frame(spark, (12,))[0].withColumn("route_id", F.lit("r"))
+    keys = ["method", "weight_id", "position"]
+    one, two = (G.generate_routes(members, t, PLANS, SCORER).drop("plans_sharing").orderBy(*keys).toPandas() for t in (travel, listed))
+    pd.testing.assert_frame_equal(one, two)
+    asked = pairs.withColumn("s", F.when(F.col("from_stop") == "s3", "b").otherwise("a"))
+    one, two = (with_times(asked, t, "t", source="s").orderBy("from_stop", "to_stop").toPandas() for t in (travel, listed))
+    pd.testing.assert_frame_equal(one, two[one.columns])
+    assert route_sources(travel).collect() == route_sources(listed).collect()
+
+
+def test_far_negatives_of_a_long_route_have_travel_times(spark):
+    n = 500
+    travel = stop_travel(spark, n)
+    even = travel.only(travel.sources)
+    moves = spark.range(n - 1).selectExpr("'r' AS route_id", "concat('s', 2 * id) AS from_stop", "concat('s', 2 * id + 2) AS to_stop", "id AS position", "1L AS label")
+    even = StopTravel(spark.range(n).selectExpr("'r' AS route_id", "concat('s', 2 * id) AS stop_id", "CAST(id AS DOUBLE) AS x"), travel.sources, ("x",), lambda a, b, s: F.abs(a["x"] - b["x"]), travel.row)
+    stops = even.stops.select("route_id", "stop_id", F.lit("A").alias("zone_id"), F.lit("Dropoff").alias("type"), F.lit(0).cast("long").alias("is_station"), F.lit(1).cast("long").alias("is_dropoff"))
+    packages = stops.limit(0).select("route_id", "stop_id", *[F.lit(0).cast("long").alias(c) for c in P.PACKAGE_COLUMNS])
+    wanted = spark.createDataFrame([("r", "train", "High", n, "a")], "route_id string, split string, route_score string, number_of_stops long, source string")
+    found = P.pairwise_samples(moves, even, stops, packages, wanted, negatives=5)
+    counts = {r["position"]: r["count"] for r in found.where("label = 0").groupBy("position").count().collect()}
+    assert all(counts.get(p, 0) == min(5, n - p - 2) for p in range(n - 1))
+    far = found.where("label = 0").agg(F.max(F.abs(F.substring("candidate_stop", 2, 9).cast("int") / 2 - F.col("position")))).first()[0]
+    assert far > 400
+
+
 def test_route_metrics_of_the_driven_order(spark):
     members, edges = members_frame(spark)
     actual = members.select("route_id", "position", "stop_id")

@@ -98,3 +98,25 @@ def test_split_meets_targets_and_is_complete(spark, n):
     assert [counts.get(s, 0) for s in SP.SPLITS] == want
     again = SP.stratified_split(routes.repartition(5), rows_per_block=2)
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in again.collect()}
+
+
+def test_no_row_meets_many_split_points(spark, monkeypatch):
+    """Two levels: of 400 blocks a row meets arrays of some tens of splits only, and places are right."""
+    seen = []
+    before = O._with_blocks
+
+    def watched(*args):
+        out = before(*args)
+        seen.append(out.groupBy("__top").agg(F.max("__low").alias("n")).agg(F.max("n"), F.max("__top")).first())
+        return out
+
+    monkeypatch.setattr(O, "_with_blocks", watched)
+    df = spark.range(8000).select(F.lit("k").alias("k"), F.xxhash64("id").alias("x"), "id")
+    got = O.ordered_positions(df, ["k"], ["x", "id"], rows_per_block=20).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(8000)) and [r.x for r in got] == sorted(r.x for r in got)
+    assert seen[0][0] + seen[0][1] < 200 and seen[0][1] >= 5
+    cells = df.groupBy("k", "x").agg(F.count("*").alias("n"))
+    totals = O.running_totals(cells, ["k"], "x", ["n"], rows_per_block=20).orderBy("x").collect()
+    assert [r.cum_n for r in totals] == list(range(1, 8001)) and {r.all_n for r in totals} == {8000}
+    falling = O.running_totals(cells.drop("k"), [], "x", ["n"], descending=True, rows_per_block=50).orderBy(F.desc("x")).collect()
+    assert [r.cum_n for r in falling] == list(range(1, 8001))
