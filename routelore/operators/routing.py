@@ -13,7 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from routelore.functions import scalars as S
 from routelore.operators.joins import choose_source
@@ -447,7 +447,7 @@ def lcs_lengths(matched: DataFrame, keys: Sequence[str], block: int = ROUTE_BLOC
                           F.col("position").cast("long").alias("position"), F.col("actual_position").cast("long").alias("value"))
     last = rows.groupBy("__k").agg(F.max("i").alias("last_i"), F.max("j").alias("last_j"))
     rows = null_safe_join(rows, last, ["__k"], "inner")
-    schema = rows.schema
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])  # a move passed on has no value
 
     def work(key: tuple, held: pa.Table) -> pa.Table:
         own = sorted(zip(held.column("position").to_pylist(), held.column("value").to_pylist()), key=lambda m: (m[0], m[1] or 0))
