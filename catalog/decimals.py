@@ -355,6 +355,9 @@ DECIMALS: dict[str, dict[int, str]] = {
     "t8_summary_without_tails": {
         6: "mean_a mean_b mean_improvement percent_improvement_vs_b cohens_dz_improvement",
     },
+    "r1_statistics_without_tails": {
+        6: "mean_a mean_b mean_improvement percent_improvement_vs_b cohens_dz_improvement",
+    },
     "t5_wilcoxon_statistics": {
         6: "wilcoxon_statistic tie_sum",
     },
