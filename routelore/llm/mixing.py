@@ -24,9 +24,9 @@ TOPICS = (
     ("article", "length(text) >= 2000"),
 )
 TOPIC_SQL = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in TOPICS) + " ELSE 'other' END"
-SWEEPS, FRACTION = 12, 0.5
+SWEEPS, FRACTION = 6, 0.5
 #: Rounds in which targets above what a value has are cut to it.
-FILLS = 3
+FILLS = 2
 
 
 def uniform(doc_id: Column, seed: str = "mix") -> Column:
@@ -65,8 +65,7 @@ def raked(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWE
             ratio = now.join(targets[k], k).select(k, F.when(F.col("target") > F.col("now"), raised).otherwise(lowered).alias("ratio"))
             met = salted_join(cells, ratio, [k], list(KEYS), salts=4, how="inner")
             weight = F.when(full & (F.col("ratio") > 1), F.col("weight")).otherwise(F.least(F.col("weight") * F.col("ratio"), "most"))
-            cells = met.select(*KEYS, "tokens", "most", weight.alias("weight"))
-        cells = stage_table(cells, "raked")
+            cells = stage_table(met.select(*KEYS, "tokens", "most", weight.alias("weight")), "raked")
     return cells
 
 
