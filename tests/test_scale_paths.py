@@ -120,3 +120,13 @@ def test_no_row_meets_many_split_points(spark, monkeypatch):
     assert [r.cum_n for r in totals] == list(range(1, 8001)) and {r.all_n for r in totals} == {8000}
     falling = O.running_totals(cells.drop("k"), [], "x", ["n"], descending=True, rows_per_block=50).orderBy(F.desc("x")).collect()
     assert [r.cum_n for r in falling] == list(range(1, 8001))
+
+
+def test_correlations_broadcast_no_ranks(spark, skewed):
+    """A pair may have as many ranks as rows; broadcast, they filled the driver."""
+    _, df = skewed
+    ranked = D.correlations(df.withColumn("y", F.col("x") * 2), [("x", "id"), ("x", "y"), ("y", "id")])
+    assert ranked._jdf.queryExecution().analyzed().toString().count("merge") >= 2
+    rows = {(r["x_name"], r["y_name"]): r for r in ranked.collect()}
+    assert set(rows) == {("x", "id"), ("x", "y"), ("y", "id")}
+    assert rows["x", "y"]["pearson"] == pytest.approx(1.0) and rows["x", "id"]["spearman"] == pytest.approx(rows["y", "id"]["spearman"])
