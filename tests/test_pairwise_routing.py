@@ -302,3 +302,42 @@ def test_paired_tests_table(spark):
     assert np.allclose(sorted(again["bootstrap_ci_low"]), sorted(out.loc[["validation", "test"], "bootstrap_ci_low"]))
     with pytest.raises(ValueError):
         T.parse_comparison("only_one")
+
+
+def test_figures_of_walked_routes_equal_those_of_their_steps(spark):
+    """Routes of several lengths walk together; their figures are those that route_metrics finds on the listed steps."""
+    members, edges = members_frame(spark, (9, 5, 2, 9, 14))
+    actual, zones = members.select("route_id", "position", "stop_id"), members.select("route_id", "stop_id", "zone")
+    keys = ["route_id", "method", "weight_id"]
+    plans = [*PLANS, *[(G.HYBRID, f"v{i}", (0.2 + i / 20, 0.3, 0.2, 0.1, 0.2 - i / 50)) for i in range(7)]]
+    stops = members.select("route_id", "stop_id", F.pmod(F.xxhash64("route_id", "stop_id"), F.lit(50)).cast("double").alias("x"))
+    sources = members.select("route_id", F.lit("a").alias("source")).distinct()
+    odd = lambda s: s["x"] % 2 == 1
+    worked = StopTravel(
+        stops, sources, ("x",), lambda a, b, s: F.when(~(odd(a) & odd(b)), F.abs(a["x"] - b["x"]) + 1),
+        lambda a, b, s: np.where(odd(a) & odd(b), np.nan, np.abs(a["x"] - b["x"]) + 1),
+    )
+    for travel in (edges, worked):
+        steps = G.generate_routes(members, travel, plans, SCORER, plans_at_once=4)
+        want = G.route_metrics(steps, actual, travel, zones).orderBy(*keys).toPandas()
+        got = G.generated_metrics(members, travel, plans, SCORER, actual, plans_at_once=4).orderBy(*keys).toPandas()
+        assert len(got) == 5 * len(plans) and list(got.columns) == list(want.columns)
+        pd.testing.assert_frame_equal(got, want, check_dtype=False)
+        alone = pd.concat([G.generate_routes(members.where(F.col("route_id") == f"r{r}"), travel, plans, SCORER, plans_at_once=4).toPandas() for r in range(5)])
+        order = [*keys, "position"]
+        pd.testing.assert_frame_equal(steps.toPandas().sort_values(order).reset_index(drop=True), alone.sort_values(order).reset_index(drop=True))
+
+
+def test_lcs_of_sequences_cut_by_batches(spark):
+    rng = np.random.default_rng(5)
+    orders = {(f"k{i}" if i else None): rng.permutation(int(rng.integers(1, 12))) for i in range(20)}
+    rows = [(k, i, int(v)) for k, p in orders.items() for i, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "key string, position long, actual_position long")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        got = {r["key"]: r["lcs_length"] for r in G.lcs_lengths(df, ["key"]).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {k: len(G.patience_tile([], list(enumerate(p.tolist())))[0]) for k, p in orders.items()}
