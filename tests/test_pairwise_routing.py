@@ -341,3 +341,23 @@ def test_lcs_of_sequences_cut_by_batches(spark):
     finally:
         spark.conf.set(name, before)
     assert got == {k: len(G.patience_tile([], list(enumerate(p.tolist())))[0]) for k, p in orders.items()}
+
+
+def test_drawn_rows_are_shuffled_once(spark):
+    """Where times follow from the stops, the drawn pairs meet their candidates and nothing else; rows equal those with listed times."""
+    n = 40
+    travel = stop_travel(spark, n)
+    moves = spark.range(n - 1).selectExpr("'r' AS route_id", "concat('s', id) AS from_stop", "concat('s', id + 1) AS to_stop", "id AS position", "1L AS label")
+    stops = travel.stops.select("route_id", "stop_id", F.lit("A").alias("zone_id"), F.lit("Dropoff").alias("type"), F.lit(0).cast("long").alias("is_station"), F.lit(1).cast("long").alias("is_dropoff"))
+    packages = stops.limit(0).select("route_id", "stop_id", *[F.lit(0).cast("long").alias(c) for c in P.PACKAGE_COLUMNS])
+    wanted = spark.createDataFrame([("r", "train", "High", n, "a"), ("q", "train", "High", n, "b")], "route_id string, split string, route_score string, number_of_stops long, source string")
+    left = travel.stops.select("route_id", F.col("stop_id").alias("from_stop"))
+    pairs = left.join(travel.stops.select("route_id", F.col("stop_id").alias("to_stop")), "route_id")
+    listed = with_times(pairs, travel, "travel_time").where("travel_time IS NOT NULL").withColumn("source", F.lit("a"))
+    made = P.candidate_rows(moves, travel, stops, packages, wanted)
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan[: plan.index("Generate explode")].count("Join ") == 1
+    keys = ["route_id", "position", "negative_sample_rank"]
+    one, two = (P.candidate_rows(moves, t, stops, packages, wanted).orderBy(*keys).toPandas() for t in (travel, listed))
+    assert one["travel_time_ij"].isna().any() and len(one) > 5 * (n - 6)
+    pd.testing.assert_frame_equal(one, two)
