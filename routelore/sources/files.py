@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
@@ -11,6 +12,9 @@ from routelore.functions import scalars as S
 from routelore.schemas import PAIRWISE_SAMPLES
 from routelore.sources.nested import count_paths, path_exists
 
+#: Partitions of a written table that a task keeps open at a time, more than there are splits.
+OPEN_PARTITIONS = 4
+
 
 def require_columns(df: DataFrame, required: Sequence[str], label: str) -> DataFrame:
     lacking = [c for c in required if c not in df.columns]
@@ -89,11 +93,24 @@ def write_csv(df: DataFrame, path: str, schema: T.StructType, overwrite: bool =
     return counted.get["rows"]
 
 
+@contextmanager
+def open_partitions(spark: SparkSession, writers: int = OPEN_PARTITIONS) -> Iterator[None]:
+    """Within it a task that writes partitioned files keeps up to ``writers`` of them open and sorts its rows only beyond that."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, "0")
+    spark.conf.set(name, str(max(int(before), writers)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_samples(df: DataFrame, folder: str, compression: str = "snappy", overwrite: bool = False) -> None:
-    """Typed samples, one folder per split."""
+    """Typed samples, one folder per split, in the rows' own order: a sort by split would spill all of them."""
     mode = guard(df.sparkSession, folder, overwrite)
     typed = to_schema(df, PAIRWISE_SAMPLES)
-    typed.write.mode(mode).partitionBy("split").option("compression", compression).parquet(folder)
+    with open_partitions(df.sparkSession):
+        typed.write.mode(mode).partitionBy("split").option("compression", compression).parquet(folder)
 
 
 def write_splits(splits: DataFrame, folder: str, overwrite: bool = False) -> None:
