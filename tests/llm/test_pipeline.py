@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -109,3 +110,21 @@ def test_near_dedup_against_brute_force_jaccard(spark, documents):
     assert middle > 30 and len(set(root)) > 30
     kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, documents(list(enumerate(texts))), None)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+def test_python_gets_texts_in_small_batches(spark, documents):
+    docs = documents([(i, f"{i} the and of " * 8_000, "en") for i in range(100)]).coalesce(1)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(setting)
+            stage(spark, docs.limit(0), None)
+            found = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+            assert len(found) > 1 and max(found) <= 1.5 * corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.unset(setting)
