@@ -134,3 +134,20 @@ def test_last_round_writes_a_forest_not_pairs(spark):
         assert roots(got) == want and {tuple(sorted(p, reverse=True)) for p in got} <= set(similar_pairs)
         if hot == 1024:
             assert len(got) == 90 - len(set(want))
+
+
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_pairs_that_only_share_large_buckets_are_found(spark, documents, monkeypatch, hot):
+    """Texts whose only similar one lies in another part of each large bucket are held against it all the same."""
+    monkeypatch.setattr(similar, "HOT", hot)
+    monkeypatch.setattr(similar, "SHARED", 1)
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(vocabulary) for _ in range(160)]
+    rows = [[*passage, *(rng.choice(vocabulary) for _ in range(42))] for _ in range(150)]  # 0.65 alike
+    rows += [[*own[:-8], *(rng.choice(vocabulary) for _ in range(8))] for own in rows[:50]]  # 0.92 like one of them
+    texts = [" ".join(w) for w in rows]
+    root = brute(texts)
+    got = {r.doc_id: r.component for r in similar.components(documents(list(enumerate(texts)))).collect()}
+    assert len(set(root)) == 150
+    assert all(got[i] == got[r] for i, r in enumerate(root)) and len(set(got.values())) == 150
